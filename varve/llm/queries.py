@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import mixing, quality_rules, secrets
+from varve.llm import decontaminate, mixing, quality_rules, secrets, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.judged(_table(spark, sf_dir, "documents")))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {"op4_quality_rules": op4_quality_rules, "op5_mix": op5_mix, "op8_secrets": op8_secrets}
+    return {f.__name__: f for f in (op2_decontaminate, op4_quality_rules, op5_mix, op6_near_duplicates, op8_secrets)}
 
 
 def oracle_sql() -> dict:

@@ -109,3 +109,22 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as Spark's longs."""
     return np.ascontiguousarray(x).view(np.int64)
+
+
+def trigram_counts(buf: np.ndarray, offsets: np.ndarray, dims: int, lower: bool, piece: int = 1 << 22) -> np.ndarray:
+    """Counts of hashed byte trigrams, one row of ``dims`` (a power of two) for each text.
+
+    Bytes are taken ``piece`` at a time, so a very long text needs no more memory than a short one.
+    """
+    texts = len(offsets) - 1
+    out = np.zeros(texts * dims, np.int64)
+    shift = np.uint32(32 - dims.bit_length() + 1)
+    for lo in range(0, max(0, len(buf) - 2), piece):
+        part = buf[lo : lo + piece + 2]
+        b = (_LOWER[part] if lower else part).astype(np.uint32)
+        h = ((b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)) >> shift
+        at = np.arange(lo, lo + len(h))
+        text = np.searchsorted(offsets, at, "right") - 1 if texts > 1 else np.zeros(len(h), np.int64)
+        ok = at + 2 < offsets[text + 1]
+        out += np.bincount(text[ok] * dims + h[ok], minlength=texts * dims)
+    return out.reshape(texts, dims)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import decontaminate, mixing, quality_rules, secrets, simhash_dedup
+from varve.llm import decontaminate, knn_quality, langid, mixing, quality_rules, secrets, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,17 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return knn_quality.score(docs, knn_quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontaminate, op4_quality_rules, op5_mix, op6_near_duplicates, op8_secrets)}
+    return {f.__name__: f for f in (op1_language_id, op9_quality_classifier, op2_decontaminate, op4_quality_rules, op5_mix, op6_near_duplicates, op8_secrets)}
 
 
 def oracle_sql() -> dict:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.kernels import text_slices, trigram_counts
+from varve.llm.kernels import text_slices, trigram_counts, word_hashes, words
 
 DIMS = 1024
 LATENT = 48
@@ -31,6 +31,7 @@ MAX_LABELLED = 4096
 NEIGHBOURS = 24
 SHARPNESS = 6
 PRIOR_WEIGHT = 0.5
+REPETITION = 2.0
 CUT = 0.7
 HELD_OUT = (4, 2)
 
@@ -41,10 +42,17 @@ def held_out() -> Column:
 
 
 def vectors(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Unit rows of square-rooted trigram counts; zero rows for texts without any."""
+    """Unit rows of square-rooted trigram counts (zero where there are none), and the share of words equal to the last."""
     x = np.sqrt(trigram_counts(buf, offsets, DIMS, lower=False)).astype(np.float32)
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    starts, ends, first = words(buf, offsets)
+    again = np.zeros(len(starts) + 1, np.int64)
+    if len(starts) > 1:
+        h = word_hashes(buf, starts, ends)
+        again[2:] = np.cumsum(h[1:] == h[:-1])
+    share = (again[first[1:]] - again[np.minimum(first[:-1] + 1, first[1:])]) / np.maximum(np.diff(first), 1)
+    return np.concatenate([x, share[:, None].astype(np.float32)], axis=1)
 
 
 def _unit(z: np.ndarray) -> np.ndarray:
@@ -56,17 +64,22 @@ class Model:
     """The projection and the labelled vectors."""
 
     def __init__(self, x: np.ndarray, labels: np.ndarray):
-        n = max(1, len(x))
-        self.idf = np.log((1 + n) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
-        weighed = x * self.idf
+        n, grams = max(1, len(x)), x[:, :DIMS]
+        self.idf = np.log((1 + n) / (1 + (grams > 0).sum(axis=0))).astype(np.float32) + 1
+        weighed = grams * self.idf
         _, basis = np.linalg.eigh((weighed.T @ weighed).astype(np.float64))
         self.basis = np.ascontiguousarray(basis[:, ::-1][:, :LATENT], dtype=np.float32)
-        self.labelled = _unit(weighed @ self.basis)
+        self.labelled = self.latent(x)
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
 
+    def latent(self, x: np.ndarray) -> np.ndarray:
+        """Unit vectors: the projection of the trigrams and the repetition beside it."""
+        z = _unit((x[:, :DIMS] * self.idf) @ self.basis)
+        return _unit(np.concatenate([z, REPETITION * x[:, DIMS:]], axis=1))
+
     def score(self, x: np.ndarray, block: int = 256) -> np.ndarray:
-        z = _unit((x * self.idf) @ self.basis)
+        z = self.latent(x)
         out = np.full(len(z), self.prior)
         k = min(NEIGHBOURS, len(self.labels))
         for lo in range(0, len(z) if k else 0, block):
@@ -91,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     rows = texts.select("doc_id", "label", "text").mapInArrow(_vector_rows, "doc_id long, label double, v binary")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("v", "label")).alias("r")).orderBy("doc_id").collect()
-    x = np.stack([np.frombuffer(r.r.v, np.float32) for r in rows]) if rows else np.zeros((0, DIMS), np.float32)
+    x = np.stack([np.frombuffer(r.r.v, np.float32) for r in rows]) if rows else np.zeros((0, DIMS + 1), np.float32)
     return Model(x, np.array([r.r.label for r in rows]))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import decontaminate, knn_quality, langid, mixing, quality_rules, secrets, simhash_dedup
+from varve.llm import chat, decontaminate, knn_quality, langid, licenses, mixing, quality_rules, secrets, simhash_dedup, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +44,34 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.score(docs, knn_quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_language_id,
+    op2_decontaminate,
+    op3_licenses,
+    op4_quality_rules,
+    op5_mix,
+    op6_near_duplicates,
+    op7_chat,
+    op8_secrets,
+    op9_quality_classifier,
+    op10_substrings,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op9_quality_classifier, op2_decontaminate, op4_quality_rules, op5_mix, op6_near_duplicates, op8_secrets)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: list[str] = []
+MODULES: list[str] = ["relational"]
 
 
 def _all() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: list[str] = ["relational"]
+MODULES: list[str] = ["relational", "windows", "scalars", "diversity", "statistics"]
 
 
 def _all() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import chat, decontaminate, knn_quality, langid, licenses, mixing, quality_rules, secrets, simhash_dedup, substring
+from varve.llm import chat, decontaminate, knn_quality, langid, licenses, mixing, oracle, quality_rules, secrets, simhash_dedup, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,4 +75,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_quality_rules": oracle.op4(), "op5_mix": oracle.op5(), "op7_chat": oracle.op7(), "op8_secrets": oracle.op8()}

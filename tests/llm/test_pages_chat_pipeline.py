@@ -1,0 +1,98 @@
+"""Tests of language identification, chat formatting and the pipeline."""
+
+import collections
+import random
+
+from varve.llm import chat, langid
+
+import corpus_pipeline
+
+WORDS = {"en": "the of and with from that this have were which".split(), "fr": "le de et avec pour que cette sont leur dans".split()}
+
+
+def say(rng, lang, n):
+    return " ".join(rng.choice(WORDS[lang]) for _ in range(n))
+
+
+def test_language_evidence(spark, make_docs):
+    rng = random.Random(1)
+    from pyspark.sql import functions as F
+
+    docs = make_docs([(i, say(rng, "en" if i % 2 else "fr", 60)) for i in range(80)]).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("fr"))
+    rows = [(i, f"http://{'a' if i % 2 else 'b'}.example.org/{i}", f"<html lang={'en-GB' if i % 2 else 'fr'}><script>le le</script><p>{say(rng, 'en' if i % 2 else 'fr', 40)}</p>") for i in range(100)]
+    rows += [(200, "http://a.example.org/none", None), (201, None, None), (202, "http://[bad", "<p></p>"), (None, "http://b.example.org/", "<html lang=fr>"), (3, *rows[3][1:])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("x"), "lang": F.lit("y"), "l0": F.lit(0)})
+    got = langid.identify(pages, docs).collect()
+    assert len(got) == len(rows)
+    by = {r.page_id: r for r in got}
+    assert all(by[i].lang == ("en" if i % 2 else "fr") for i in range(100))
+    assert by[200].lang == "en" and by[None].lang == "fr"  # host and declaration decide without text
+    assert all(0 <= r.confidence <= 1 for r in got)
+    assert langid.identify(pages.limit(0), docs).count() == 0
+    assert {r.lang for r in langid.identify(pages, docs.limit(0)).collect()} == {None}
+
+
+def brute_render(messages, speaker):
+    text, spans = "", []
+    for role, body in messages:
+        name = "system" if role == "system" else "assistant" if role == speaker else f"user name={role}"
+        head = f"<|{name}|>\n"
+        if role == speaker:
+            spans.append(f"{len(text) + len(head)}:{len(text) + len(head) + len(body) + 8}")
+        text += f"{head}{body}<|end|>\n"
+    return text, ",".join(spans)
+
+
+def test_perspectives_against_brute_force(spark):
+    rng = random.Random(2)
+    rows = []
+    for conv in range(20):
+        people = ["system", "ann", "bob", "cé"][: rng.randrange(1, 5)]
+        rows += [(conv, t, rng.choice(people), rng.choice(["héllo", "", "line\nbreak", None])) for t in range(rng.randrange(1, 9))]
+    rows += [(50, t, "ann" if t % 2 else "bob", f"m{t}") for t in range(700)] + [(None, 0, None, "x"), (60, None, "ann", "late"), (60, 1, "bob", "b"), (60, 1, "bob", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.perspectives(df.withColumnRenamed("x", "x")).collect()
+    groups = collections.defaultdict(list)
+    for c, t, r, x in rows:
+        groups[c, None if t is None else t // chat.TURNS].append((t is None, t or 0, r or "unknown", x or ""))
+    speakers = collections.defaultdict(set)
+    for c, _, r, _ in rows:
+        if (r or "unknown") != "system":
+            speakers[c].add(r or "unknown")
+    expected = {}
+    for (c, piece), ms in groups.items():
+        for s in speakers[c]:
+            expected[c, s, piece] = (len(ms), *brute_render([m[2:] for m in sorted(ms)], s))
+    assert {(r.conv_id, r.speaker, r.piece): (r.n_messages, r.text, r.mask_spans) for r in got} == expected
+    assert len(got) == len(expected)
+    for r in got:
+        for span in filter(None, r.mask_spans.split(",")):
+            a, b = map(int, span.split(":"))
+            assert r.text[a:b].endswith("<|end|>\n")
+    assert chat.perspectives(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages_take_effect(spark, make_docs, tmp_path):
+    rng = random.Random(3)
+    common = "the and of to in that is was with for are this on by it".split()
+    text = lambda n: " ".join(rng.choice(common) if rng.random() < 0.3 else f"w{rng.randrange(400)}" for _ in range(n))
+    item = text(40)
+    rows = [(i, text(60), f"s{i % 3}") for i in range(90)]
+    rows += [(100, rows[5][1], "s0"), (101, "junk " * 50, "s1"), (102, text(30) + " " + item + " " + text(30), "s2"), (103, text(40) + " token = abcdef1234 " + text(20), "s1"), (104, None, "s1")]
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        kept.append({r.doc_id: r.text for r in docs.collect()})
+    assert set(kept[0]) == set(range(90)) | {100, 102, 103}
+    assert set(kept[1]) == set(kept[0]) - {100}
+    assert set(kept[2]) == set(kept[1]) - {102}
+    assert set(kept[3]) == set(kept[2]) and "<secret>" in kept[3][103] and "abcdef1234" not in kept[3][103]
+    assert set(kept[4]) <= set(kept[3])
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in whole.collect()) == sorted(r.doc_id for r in docs.collect())

@@ -1,0 +1,389 @@
+"""Brute-force and edge-case tests of the operators over documents."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from varve.llm import decontaminate, kernels, knn_quality, licenses, mixing, quality_rules, secrets, simhash_dedup, substring
+from varve.llm.components import components
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+EDGE = [(1, None), (2, ""), (3, " \n\t\x0b\x0c\r "), (4, "one"), (5, "é ü x"), (None, "a null id " * 4), (7, "w " * 30000), (8, "same text here"), (8, "same text here")]
+
+
+def prose(rng, n, vocabulary=3000):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def tokens(text):
+    return [w.decode() for w in WORD.findall((text or "").encode())]
+
+
+# --- kernels ---------------------------------------------------------------------
+
+
+def test_words_and_hashes_agree_with_split():
+    texts = ["A b  c\n", "", "x", " \t", "É é A b", "c" * 10]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    starts, ends, first = kernels.words(buf, offsets)
+    got = [[bytes(buf[a:b]) for a, b in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]])] for i in range(len(texts))]
+    assert got == [r.split() for r in raw]
+    h = kernels.word_hashes(buf, starts, ends)
+    flat = [w.lower() for r in raw for w in r.split()]
+    assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
+
+
+def test_trigram_counts_do_not_depend_on_pieces():
+    rng = np.random.default_rng(0)
+    buf = rng.integers(97, 123, 5000).astype(np.uint8)
+    offsets = np.array([0, 0, 1200, 1201, 5000])
+    whole = kernels.trigram_counts(buf, offsets, 256, True)
+    assert (whole == kernels.trigram_counts(buf, offsets, 256, True, piece=37)).all()
+    assert whole.sum(axis=1).tolist() == [0, 1198, 0, 3797]
+
+
+# --- quality rules ---------------------------------------------------------------
+
+
+def brute_quality(text):
+    t = text or ""
+    w = tokens(t)
+    win = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    seen = collections.Counter(win)
+    covered = {j for i, x in enumerate(win) if seen[x] > 1 for j in range(i, i + 5)}
+    lines = [x for x in t.split("\n") if WORD.search(x.encode())]
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules_against_brute_force(make_docs):
+    rng = random.Random(1)
+    rows = EDGE + [(100 + i, " ".join(rng.choice("the a # b\n c|d x".split(" ")) for _ in range(rng.randrange(60)))) for i in range(60)]
+    got = quality_rules.apply_rules(make_docs(rows, clashing=True)).select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        expected = brute_quality(r.text)
+        assert tuple(r[2:7]) == expected
+        assert r.base_failed == (expected[0] < 10 or 100 * expected[4] > 20 * expected[0])
+        assert not (r.base_failed and r.kept)
+
+
+def test_quality_keeps_columns_and_empty_tables(make_docs):
+    docs = make_docs(EDGE, clashing=True)
+    assert quality_rules.accepted(docs).columns == docs.columns
+    assert quality_rules.accepted(docs.limit(0)).count() == 0
+
+
+# --- mixing ----------------------------------------------------------------------
+
+
+def fill(sizes, cap=3.0):
+    """Targets by resharing the excess until no source is above its cap."""
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    total, target, open_ = float(sum(sizes.values())), {}, set(order)
+    while open_:
+        left = total - sum(target.values())
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if level * weight[s] > cap * sizes[s]]
+        if not full:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        target |= {s: cap * sizes[s] for s in full}
+        open_ -= set(full)
+    return target
+
+
+def test_mixing_targets_and_draws(make_docs):
+    rng = random.Random(2)
+    rows = EDGE + [(1000 + i, prose(rng, rng.randrange(1, 40)), rng.choice(["a", "b", "b", "b", "b", "b", "é", None, "Z"])) for i in range(600)]
+    rows.append((5000, "tiny", "c"))
+    docs = make_docs(rows, clashing=True)
+    got = mixing.draws(docs).collect()
+    assert len(got) == len(rows)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[2] if len(r) > 2 else "src0"] += len(tokens(r[1]))
+    expected = fill(sizes)
+    taken = collections.Counter()
+    for r in got:
+        assert r.target == pytest.approx(expected[r.source]) and r.source_size == sizes[r.source]
+        assert 0 <= r.times <= 3
+        taken[r.source] += r.size * r.times
+    largest = collections.Counter()
+    for r in got:
+        largest[r.source] = max(largest[r.source], r.size)
+    for s in sizes:
+        assert abs(taken[s] - expected[s]) <= largest[s] / 2 + 1e-6
+    again = mixing.draws(docs.repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len(tokens(r.text)) for r in mixed.collect()) == pytest.approx(sum(taken.values()), abs=60)
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+# --- SimHash near-dedup --------------------------------------------------------------
+
+
+def brute_fingerprint(text):
+    w = WORD.findall((text or "").encode().lower())
+    sh = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(xxhash.xxh64_intdigest(s, 42) >> b & 1 for s in sh) > len(sh))
+
+
+def test_near_duplicates_against_brute_force(make_docs):
+    rng = random.Random(3)
+    rows = EDGE[:4] + EDGE[7:]
+    for i in range(40):
+        base = prose(rng, 120).split()
+        for j in range(rng.randrange(1, 5)):
+            w = list(base)
+            if j:
+                w[rng.randrange(len(w))] = "changed"
+            rows.append((100 + 10 * i + j, " ".join(w).upper() if j == 2 else " ".join(w)))
+    got = simhash_dedup.near_duplicates(make_docs(rows, clashing=True)).collect()
+    assert len(got) == len(rows)
+    fp = {r[0]: brute_fingerprint(r[1]) for r in rows}
+    label = {k: k for k in fp}
+    changed = True
+    while changed:
+        changed = False
+        for a in fp:
+            for b in fp:
+                if (fp[a] ^ fp[b]).bit_count() <= 3 and label[b] < label[a]:
+                    label[a] = label[b]
+                    changed = True
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {k: (f"{fp[k]:016x}", label[k]) for k in fp}
+    kept = simhash_dedup.deduplicated(make_docs(rows, clashing=True))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))
+    assert simhash_dedup.near_duplicates(make_docs(rows).limit(0)).count() == 0
+
+
+def test_null_ids_share_a_component(make_docs):
+    got = simhash_dedup.near_duplicates(make_docs([(None, "a b c d"), (9, "a b c d"), (None, "only here")])).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, 9), (9, 9)]
+
+
+def test_anchors_meet_within_radius():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2)
+    for flips in (0, 1, 2, 3):
+        y = x.copy()
+        for i in range(len(y)):
+            for b in rng.choice(64, flips, replace=False):
+                y[i] ^= np.uint64(1) << np.uint64(b)
+        (ai, ak), (bi, bk) = simhash_dedup.anchors_of(x), simhash_dedup.anchors_of(y)
+        met = set(zip(ai.tolist(), ak.tolist())) & set(zip(bi.tolist(), bk.tolist()))
+        assert {i for i, _ in met} == set(range(300))
+
+
+def test_components_of_a_path_and_a_hub(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(200)}
+
+
+# --- decontamination ---------------------------------------------------------------
+
+
+def test_decontamination_finds_planted_items(spark, make_docs):
+    rng = random.Random(5)
+    items = [(i, prose(rng, rng.randrange(6, 90))) for i in range(60)] + [(900, None), (901, ""), (902, "three word item")]
+    rows, expected = list(EDGE), set()
+    for k in range(200):
+        w = prose(rng, rng.randrange(20, 400)).split()
+        if k % 3 == 0:
+            i, text = items[rng.randrange(60)]
+            t = text.split()
+            if k % 2 and len(t) > 40:
+                t[len(t) // 2] = "edited"
+            at = rng.randrange(len(w))
+            w[at:at] = [x.upper() for x in t]
+            expected.add((1000 + k, i))
+        rows.append((1000 + k, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make_docs(rows, clashing=True)
+    got = decontaminate.matches(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expected
+    clean = decontaminate.uncontaminated(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(r[0]) for r in rows if r[0] not in {k for k, _ in expected})
+    assert decontaminate.matches(docs, bench.limit(0)).count() == 0
+    assert decontaminate.uncontaminated(docs.limit(0), bench).count() == 0
+
+
+def test_item_similarity_is_the_weighted_containment():
+    item = " ".join(f"i{j}" for j in range(40))
+    index = decontaminate.ItemIndex([(7, item)])
+    for edits, expected in ((1, 31 / 36), (2, 26 / 36)):
+        w = item.split()
+        for e in range(edits):
+            w[10 + 12 * e] = "x"
+        buf = np.frombuffer((" ".join(["pad"] * 30 + w + ["end"] * 30)).encode(), np.uint8)
+        starts, ends, first = kernels.words(buf, np.array([0, len(buf)]))
+        found = index.matches(kernels.word_hashes(buf, starts, ends), first)
+        assert [round(f[4], 9) for f in found] == ([round(expected, 9)] if expected >= 0.8 else [])
+
+
+# --- secrets -------------------------------------------------------------------------
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def brute_spans(t):
+    t = t or ""
+    out = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+SECRETS = [
+    "token=token: abcdefg and token = 'abcdef123'",
+    "é🙂 PassWord := x password='longenough' AKIA" + "B" * 16,
+    "key AKIAAKIA" + "C" * 20 + " " + "0a" * 12 + " " + "f" * 23,
+    "ſecret=abcdefgh toKen=abcdefgh secret=abcdefgh",
+    "ghp_" + "a1" * 20 + "\n-----BEGIN RSA PRIVATE KEY-----",
+    "token=" + "z" * 8 + "token=" + "y" * 8,
+]
+
+
+def test_secret_spans_against_brute_force(make_docs):
+    rows = EDGE + [(100 + i, s, f"s{i}") for i, s in enumerate(SECRETS)]
+    got = {(r.doc_id, r.spans): r for r in secrets.digest(secrets.judged(make_docs(rows, clashing=True))).collect()}
+    for k, text, *_ in rows:
+        spans = brute_spans(text)
+        r = next(v for (d, _), v in got.items() if d == k)
+        joined = ",".join(f"{n}:{a}:{b}" for a, _, n, b in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == i for s in spans) for i in range(3))
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    assert any("forge:" in s and "pem:" in s for _, s in got)
+    assert secrets.digest(secrets.judged(make_docs(rows).limit(0))).count() == 0
+
+
+def test_ownership_separates_examples_and_redaction_masks_live_values(make_docs):
+    shared, own = "token = sharedexample1", "password=onlymine99"
+    rows = [(i, f"use {shared} now", f"s{i % 4}") for i in range(12)] + [(50, f"é my {own} there", "s1"), (51, None, None), (52, "clean", "s2")]
+    docs = make_docs(rows, clashing=True)
+    got = {r.doc_id: (r.n_live, r.n_example) for r in secrets.digest(secrets.judged(docs)).collect()}
+    assert got[0] == (0, 1) and got[50] == (1, 0) and got[52] == (0, 0)
+    out = secrets.redacted(docs)
+    assert out.columns == docs.columns
+    texts = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert texts[50] == ("é my password=<secret> there", 28) and texts[0][0] == rows[0][1] and texts[51][0] is None and len(texts) == len(rows)
+
+
+# --- licenses ------------------------------------------------------------------------
+
+
+def test_license_scan_finds_full_and_edited_templates(make_docs):
+    rng = random.Random(6)
+    rows, expected = list(EDGE), set()
+    for i, (name, text) in enumerate(sorted(licenses.TEMPLATES.items())):
+        rows.append((100 + i, f"{prose(rng, 50)} é {text.upper()} {prose(rng, 30)}"))
+        expected.add((100 + i, name))
+    w = licenses.TEMPLATES["mit-text"].split()
+    w[30] = "somebody"
+    rows.append((500, prose(rng, 20) + " " + " ".join(w)))
+    expected.add((500, "mit-text"))
+    rows.append((501, " ".join(licenses.TEMPLATES["mit-text"].split()[:40])))
+    got = licenses.scan(make_docs(rows, clashing=True)).collect()
+    assert expected <= {(r.doc_id, r.license) for r in got}
+    assert {r.doc_id for r in got} == {k for k, _ in expected}
+    by_id = {r[0]: r[1] for r in rows}
+    mit = next(r for r in got if r.doc_id == 100 + sorted(licenses.TEMPLATES).index("mit-notice"))
+    assert by_id[mit.doc_id][mit.first_char : mit.end_char].upper().startswith("RELEASED UNDER THE MIT")
+    with pytest.raises(ValueError):
+        licenses.TemplateIndex({"none": " - "})
+
+
+# --- quality classifier ----------------------------------------------------------------
+
+
+def test_classifier_learns_without_held_out_rows(spark, make_docs):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 80) if i % 2 else " ".join(f"{x}%%%" for x in prose(rng, 80).split())) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(400)] + [(7, None, None), (None, 1, None)], "doc_id long, quality int, toxic int")
+    docs = make_docs(rows + EDGE[:6], clashing=True)
+    got = knn_quality.score(docs, knn_quality.fit(docs, labels)).collect()
+    assert len(got) == len(rows) + 6
+    import zlib
+
+    held = [r for r in got if r.doc_id is not None and r.doc_id >= 10 and r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
+    assert held and all(r.predicted == r.doc_id % 2 for r in held)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    # flipping the labels of held-out rows changes nothing
+    flipped = spark.createDataFrame([(i, i % 2 if zlib.crc32(str(i).encode()) % 4 != 2 else 1 - i % 2, None) for i in range(400)], labels.schema)
+    again = knn_quality.score(docs, knn_quality.fit(docs, flipped.union(labels.filter("doc_id is null")))).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    empty = knn_quality.score(docs, knn_quality.fit(docs, labels.limit(0))).collect()
+    assert {r.score for r in empty} == {0.5}
+
+
+# --- substring dedup ---------------------------------------------------------------------
+
+
+def test_repeated_passages_cover_every_exact_repeat(make_docs):
+    rng = random.Random(8)
+    passages = [prose(rng, n) for n in (52, 80, 150, 300)]
+    rows = list(EDGE)
+    for k in range(60):
+        body = prose(rng, 300).split()
+        if k % 2:
+            p = passages[k % 4].split()
+            if k % 3 == 0 and len(p) > 100:
+                p[40] = "edited"
+            at = rng.randrange(len(body))
+            body[at:at] = p
+        rows.append((100 + k, " ".join(body)))
+    rows += [(900, prose(rng, 49)), (901, rows[20][1])]
+    got = substring.repeated_passages(make_docs(rows, clashing=True)).collect()
+    text = {r[0]: tokens((r[1] or "").lower()) for r in rows}
+    seen = collections.defaultdict(set)
+    for k, w in text.items():
+        for i in range(len(w) - 49):
+            seen[tuple(w[i : i + 50])].add(k)
+    spans = collections.defaultdict(list)
+    for r in got:
+        spans[r.doc_id].append((r.first_word, r.end_word))
+        assert r.identity >= 0.8 and r.end_word - r.first_word >= 50 and r.doc_id != r.partner_id
+    for k, w in text.items():
+        inside = {j for a, b in spans.get(k, ()) for j in range(a, b)}
+        wanted = {j for i in range(len(w) - 49) if len(seen[tuple(w[i : i + 50])] - {None}) > 1 for j in range(i, i + 50)}
+        if k is not None:
+            # two holders may by chance agree on a word next to a passage that its representatives lack
+            assert len(wanted - inside) <= 2, (k, sorted(wanted - inside))
+    repeated = {k for ks in seen.values() if len(ks) > 1 for k in ks}
+    assert set(spans) == repeated - {None}
+    assert substring.repeated_passages(make_docs(rows).limit(0)).count() == 0
+
+
+def test_chains_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(60):
+        runs = sorted({(rng.randrange(60), rng.randrange(60), rng.randrange(1, 8)) for _ in range(rng.randrange(1, 9))})
+        best = 0.0
+
+        def grow(chain, score):
+            nonlocal best
+            best = max(best, score)
+            x, y, n = chain[-1]
+            for r in runs:
+                if r[0] >= x + n and r[1] >= y + n:
+                    grow([*chain, r], score + r[2] - substring.GAP_COST * (r[0] - x - n + r[1] - y - n))
+
+        for r in runs:
+            grow([r], r[2])
+        found = substring.chains(runs)
+        value = lambda c: sum(r[2] for r in c) - substring.GAP_COST * sum(b[0] - a[0] - a[2] + b[1] - a[1] - a[2] for a, b in zip(c, c[1:]))
+        assert max(map(value, found)) == pytest.approx(best)
+        assert sorted(r for c in found for r in c) == runs

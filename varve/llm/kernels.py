@@ -99,7 +99,7 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     left = np.repeat(first[1:], np.diff(first)) - np.arange(n)
     out = np.zeros(n, np.uint64)
     step = np.uint64(0x9E3779B97F4A7C15)
-    for j in range(k):
+    for j in range(min(k, n)):
         part = h[j:] * np.uint64((2 * j + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
         ok = left[: n - j] > j
         out[: n - j] = np.where(ok, out[: n - j] * step + part, out[: n - j])

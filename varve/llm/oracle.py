@@ -17,7 +17,7 @@ def op4() -> str:
         "symbol_ratio": "coalesce(n_symbols / nullif(n_words, 0), 0)",
         "mean_word_chars": "coalesce(word_chars / nullif(n_words, 0), 0)",
         "dup_line_ratio": "coalesce(n_dup_lines / nullif(n_lines, 0), 0)",
-        "stop_ratio": "coalesce(n_stop / nullif(n_words, 0), 0)",
+        "stop_ratio": "coalesce((n_stop + 1) / nullif(n_words, 0), 0)",
         "upper_ratio": "coalesce(n_upper / nullif(word_chars, 0), 0)",
     }
     tests = [f"{value[r.measure]} >= {r.low}::DOUBLE" for r in quality_rules.RULES if r.low is not None]

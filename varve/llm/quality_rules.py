@@ -87,7 +87,11 @@ def _let(value: Column, body) -> Column:
 
 
 def measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the base counts and the measures that rules refer to."""
+    """``docs`` with the base counts and the measures that rules refer to.
+
+    ``fence`` is not deterministic: a filter that also reads it stays above the
+    projection, where it would otherwise copy the word arrays into every lambda.
+    """
     p = prefix
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.withColumn(f"{p}_w", words(F.col(text_col)))
@@ -98,6 +102,7 @@ def measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
     stop = set(STOP_WORDS)
     return df.withColumns(
         {
+            f"{p}fence": F.monotonically_increasing_id(),
             f"{p}word_chars": F.length(without(text, BLANKS)).cast("long"),
             f"{p}n_symbols": (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"),
             f"{p}n_lines": F.size(lines).cast("long"),
@@ -124,7 +129,7 @@ def verdict(rules=RULES, prefix: str = "") -> tuple[Column, Column]:
         "symbol_ratio": _ratio(c("n_symbols"), c("n_words")),
         "mean_word_chars": _ratio(c("word_chars"), c("n_words")),
         "dup_line_ratio": _ratio(c("n_dup_lines"), c("n_lines")),
-        "stop_ratio": _ratio(c("n_stop_words"), c("n_words")),
+        "stop_ratio": _ratio(c("n_stop_words") + 1, c("n_words")),  # one more, so that few words prove nothing
         "upper_ratio": _ratio(c("n_upper"), c("word_chars")),
     }
     tests = [value[r.measure] >= r.low for r in rules if r.low is not None]
@@ -136,9 +141,10 @@ def verdict(rules=RULES, prefix: str = "") -> tuple[Column, Column]:
 def apply_rules(docs: DataFrame, rules=RULES, text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with the measures, ``base_failed`` and ``kept`` (each with ``prefix``)."""
     failed, kept = verdict(rules, prefix)
-    return measures(docs, text_col, prefix).withColumns({f"{prefix}base_failed": failed, f"{prefix}kept": kept})
+    df = measures(docs, text_col, prefix).withColumns({f"{prefix}base_failed": failed, f"{prefix}kept": kept})
+    return df if prefix else df.drop("fence")
 
 
 def accepted(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return apply_rules(docs, rules, text_col, "__q_").filter("__q_kept").select(*[f"`{c}`" for c in docs.columns])
+    return apply_rules(docs, rules, text_col, "__q_").filter("__q_kept and __q_fence >= 0").select(*[f"`{c}`" for c in docs.columns])

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def log_gamma(x: Column) -> Column:
@@ -26,7 +27,7 @@ def log_choose(n: Column, k: Column) -> Column:
     return F.when(ok, log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal distribution."""
     return z.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(v / math.sqrt(2)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: list[str] = ["relational", "windows", "scalars", "diversity", "statistics"]
+MODULES: list[str] = ["relational", "windows", "scalars", "diversity", "statistics", "models"]
 
 
 def _all() -> dict:

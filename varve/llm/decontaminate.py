@@ -94,8 +94,8 @@ class ItemIndex:
             room = min(self.lengths[k] for k in np.unique(item)) - size + 1
             tables = []
             for block in np.ascontiguousarray(fp).view(np.uint8).reshape(-1, BLOCKS).T:
-                order = np.argsort(block, kind="stable")
-                tables.append((order, np.searchsorted(block[order], np.arange(257))))
+                order = np.argsort(block, kind="stable").astype(np.int32)
+                tables.append((order, fp[order], np.searchsorted(block[order], np.arange(257)).astype(np.int32)))
             self.classes.append((size, max(1, -(-room // 3)), fp, item, offset, tables))
         self.largest = max((c[0] for c in self.classes), default=1)
 
@@ -110,29 +110,32 @@ class ItemIndex:
             if not len(at):
                 continue
             seen = window_prints(h, at, size, sums)
-            for block, (order, bounds) in zip(seen.view(np.uint8).reshape(-1, BLOCKS).T, tables):
+            for block, (order, prints, bounds) in zip(seen.view(np.uint8).reshape(-1, BLOCKS).T, tables):
                 lo = bounds[block]
-                n = bounds[block.astype(np.int64) + 1] - lo
-                window = np.repeat(np.arange(len(at)), n)
-                place = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                entry = order[place]
-                near = np.bitwise_count(seen[window] ^ fp[entry]) <= RADIUS
-                w, e = at[window[near]], entry[near]
-                if len(w):
+                n = bounds[block.astype(np.int32) + 1] - lo
+                total = np.cumsum(n, dtype=np.int32)
+                place = np.arange(int(total[-1]), dtype=np.int32) + np.repeat(lo - (total - n), n)
+                near = np.flatnonzero(np.bitwise_count(np.repeat(seen, n) ^ prints[place]) <= RADIUS)
+                if len(near):
+                    w, e = at[np.searchsorted(total, near, "right")], order[place[near]]
                     found.append(np.stack([text[w], item[e], w - offset[e]], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def matches(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, word after the last, similarity) of verified matches, the best of each pair."""
         best: dict[tuple[int, int], tuple] = {}
+        whole, _ = shingles(h, first, SHINGLE)
         for t, k, start in self.hits(h, first).tolist():
             lo, hi, n = int(first[t]), int(first[t + 1]), self.lengths[k]
             slack = max(2, n // 8)
             a, b = max(lo, start - slack), min(hi, start + n + slack)
             if b <= a:
                 continue
-            s, _ = shingles(h[a:b], np.array([0, b - a]), min(SHINGLE, n))
-            have = Counter(s[: max(1, b - a - min(SHINGLE, n) + 1)].tolist())
+            if n >= SHINGLE and b - a >= SHINGLE:
+                have = Counter(whole[a : b - SHINGLE + 1].tolist())
+            else:
+                s, _ = shingles(h[a:b], np.array([0, b - a]), min(SHINGLE, n))
+                have = Counter(s[: max(1, b - a - min(SHINGLE, n) + 1)].tolist())
             shared = sum(self.weights[x] * min(c, have[x]) for x, c in self.bags[k].items() if x in have)
             value = shared / self.totals[k]
             if value >= THRESHOLD - 1e-12 and (value, -start) > best.get((t, k), (0.0, 0))[:2]:

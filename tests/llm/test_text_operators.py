@@ -346,6 +346,7 @@ def test_repeated_passages_cover_every_exact_repeat(make_docs):
             body[at:at] = p
         rows.append((100 + k, " ".join(body)))
     rows += [(900, prose(rng, 49)), (901, rows[20][1])]
+    rows += [(910, prose(rng, 30) + " der" * 90 + " x"), (911, "der " * 60 + prose(rng, 20)), (912, "a b c " * 40), (913, prose(rng, 9) + " a b c" * 30)]
     got = substring.repeated_passages(make_docs(rows, clashing=True)).collect()
     text = {r[0]: tokens((r[1] or "").lower()) for r in rows}
     seen = collections.defaultdict(set)

@@ -73,7 +73,7 @@ def ss_12_multivariate_trend(spark, d):
 @query(f"""WITH {_DENSE}, l AS (SELECT site, position, feature, ln(count + 0.5::DOUBLE) AS y, ((site * 7 + ascii(position)) % 5)::DOUBLE AS x FROM dense),
   rs AS (SELECT *, y - avg(y) OVER (PARTITION BY site, feature) - avg(y) OVER (PARTITION BY position, feature) + avg(y) OVER (PARTITION BY feature) AS ry, x - avg(x) OVER (PARTITION BY site, feature) - avg(x) OVER (PARTITION BY position, feature) + avg(x) OVER (PARTITION BY feature) AS rx
     FROM l WHERE site IN (SELECT site FROM l GROUP BY site HAVING count(DISTINCT position) = 3)),
-  f AS (SELECT feature, sum(rx * ry) ** 2 / sum(rx * rx) AS ssr, sum(ry * ry) AS tss FROM rs GROUP BY feature) SELECT round(sum(ssr) / sum(tss), 6) AS partial_r2 FROM f""")
+  fit AS (SELECT feature, sum(rx * ry) ** 2 / sum(rx * rx) AS ssr, sum(ry * ry) AS tss FROM rs GROUP BY feature) SELECT round(sum(ssr) / sum(tss), 6) AS partial_r2 FROM fit""")
 def ss_13_cx_12_25_nested_model(spark, d):
     from varve.operators.relational import complete_blocks
 

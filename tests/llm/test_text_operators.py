@@ -8,6 +8,8 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from varve.llm import decontaminate, kernels, knn_quality, licenses, mixing, quality_rules, secrets, simhash_dedup, substring
 from varve.llm.components import components
@@ -40,6 +42,30 @@ def test_words_and_hashes_agree_with_split():
     assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=" \t\n\x0b\x0c\r\x1f\x85aAbé🙂", max_size=12), min_size=1, max_size=6), st.integers(1, 9))
+def test_words_are_those_of_ascii_split(texts, piece):
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    starts, ends, first = kernels.words(buf, offsets)
+    got = [[bytes(buf[a:b]) for a, b in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]])] for i in range(len(texts))]
+    assert got == [WORD.findall(r) for r in raw]
+    assert (kernels.word_hashes(buf, starts, ends) == kernels.word_hashes(buf, starts, ends, piece=piece)).all()
+
+
+def test_window_hits_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(11)
+    items = [(i, prose(rng, 30 + i)) for i in range(20)]
+    text = " ".join(prose(rng, 70) + " " + t for _, t in items).encode()
+    buf = np.frombuffer(text, np.uint8)
+    starts, ends, first = kernels.words(buf, np.array([0, len(buf)]))
+    index, h = decontaminate.ItemIndex(items), kernels.word_hashes(buf, starts, ends)
+    whole = index.hits(h, first)
+    monkeypatch.setattr(decontaminate, "PIECE", 64)
+    assert len(whole) >= 20 and (whole == index.hits(h, first)).all()
+
+
 def test_trigram_counts_do_not_depend_on_pieces():
     rng = np.random.default_rng(0)
     buf = rng.integers(97, 123, 5000).astype(np.uint8)

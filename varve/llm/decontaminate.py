@@ -38,6 +38,8 @@ RADIUS = 7
 BLOCKS = 8
 ITEM_BLOCK = 20_000
 SMALL = 8
+#: words whose running bit counts are held at a time
+PIECE = 1 << 18
 
 
 def window_size(n: int) -> int:
@@ -104,21 +106,25 @@ class ItemIndex:
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
         begin = first[text]
         left = first[text + 1] - np.arange(len(h))
-        sums, found = bit_sums(h, self.largest), []
-        for size, stride, fp, item, offset, tables in self.classes:
-            at = np.flatnonzero((left >= size) & ((np.arange(len(h)) - begin) % stride == 0))
-            if not len(at):
-                continue
-            seen = window_prints(h, at, size, sums)
-            for block, (order, prints, bounds) in zip(seen.view(np.uint8).reshape(-1, BLOCKS).T, tables):
-                lo = bounds[block]
-                n = bounds[block.astype(np.int32) + 1] - lo
-                total = np.cumsum(n, dtype=np.int32)
-                place = np.arange(int(total[-1]), dtype=np.int32) + np.repeat(lo - (total - n), n)
-                near = np.flatnonzero(np.bitwise_count(np.repeat(seen, n) ^ prints[place]) <= RADIUS)
-                if len(near):
-                    w, e = at[np.searchsorted(total, near, "right")], order[place[near]]
-                    found.append(np.stack([text[w], item[e], w - offset[e]], axis=1))
+        place_in_text, found = np.arange(len(h)) - begin, []
+        for lo in range(0, len(h), PIECE):
+            part = h[lo : lo + PIECE + self.largest]
+            sums = bit_sums(part, self.largest)
+            near_words = slice(lo, lo + PIECE)
+            for size, stride, _, item, offset, tables in self.classes:
+                at = np.flatnonzero((left[near_words] >= size) & (place_in_text[near_words] % stride == 0))
+                if not len(at):
+                    continue
+                seen = window_prints(part, at, size, sums)
+                for block, (order, prints, bounds) in zip(seen.view(np.uint8).reshape(-1, BLOCKS).T, tables):
+                    low = bounds[block]
+                    n = bounds[block.astype(np.int32) + 1] - low
+                    total = np.cumsum(n, dtype=np.int32)
+                    place = np.arange(int(total[-1]), dtype=np.int32) + np.repeat(low - (total - n), n)
+                    near = np.flatnonzero(np.bitwise_count(np.repeat(seen, n) ^ prints[place]) <= RADIUS)
+                    if len(near):
+                        w, e = lo + at[np.searchsorted(total, near, "right")], order[place[near]]
+                        found.append(np.stack([text[w], item[e], w - offset[e]], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def matches(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, float]]:

@@ -78,15 +78,24 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of every word, A-Z folded if ``lower``."""
-    power, inverse = _powers_to(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    codes = (_LOWER[buf] if lower else buf).astype(np.uint64)
-    codes += np.uint64(1)
-    codes *= power[: len(buf)]
-    np.cumsum(codes, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, piece: int = 1 << 22) -> np.ndarray:
+    """A 64-bit hash of every word, A-Z folded if ``lower``; ``piece`` bytes are hashed at a time."""
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        base = starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, base + piece, "right")))
+        part = buf[base : ends[hi - 1]]
+        power, inverse = _powers_to(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        codes = (_LOWER[part] if lower else part).astype(np.uint64)
+        codes += np.uint64(1)
+        codes *= power[: len(part)]
+        np.cumsum(codes, out=sums[1:])
+        first, last = starts[lo:hi] - base, ends[lo:hi] - base
+        out[lo:hi] = mix((sums[last] - sums[first]) * inverse[first])
+        lo = hi
+    return out
 
 
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

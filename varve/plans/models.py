@@ -163,7 +163,12 @@ def dv_18_19_20_ordination(spark, d):
     return s.select("unit", *[F.round(x, 6).alias(x) for x in ("pc1", "pc2", "share1", "share2")])
 
 
-@query(None)
+_H = "('0x' || substr(md5(concat_ws('|', {0})), 1, 8))::BIGINT"
+
+
+@query(f"""WITH x AS (SELECT l_suppkey % 20 AS b, l_discount AS x, l_quantity AS y FROM lineitem), b AS (SELECT b, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx FROM x GROUP BY b),
+  r AS (SELECT row_number() OVER (ORDER BY b) - 1 AS i, * FROM b), k AS (SELECT count(*) AS k FROM b), p AS (SELECT draw, {_H.format("'21', draw, i")} % k AS i FROM r, range(0, 99) d(draw), k)
+  SELECT draw, round((sum(n) * sum(sxy) - sum(sx) * sum(sy)) / (sum(n) * sum(sxx) - sum(sx) * sum(sx)), 6) AS slope FROM p JOIN r USING (i) GROUP BY draw""")
 def rm_3_refit_bootstrap(spark, d):
     from varve.operators.resample import block_bootstrap
 
@@ -174,7 +179,8 @@ def rm_3_refit_bootstrap(spark, d):
     return s.select("draw", F.round(slope, 6).alias("slope"))
 
 
-@query(None)
+@query(f"""WITH c AS (SELECT replicate, unit FROM range(0, 200) r(replicate), range(0, 30) u(unit)), z AS (SELECT replicate, sqrt(-2 * ln(({_H.format("'31', replicate, unit")} + 1) / 4294967296.0::DOUBLE)) * cos(2 * 3.141592653589793::DOUBLE * {_H.format("'32', replicate, unit")} / 4294967296.0::DOUBLE) AS z FROM c),
+  t AS (SELECT replicate, avg(z) / (stddev_samp(z) / sqrt(count(*))) AS t FROM z GROUP BY replicate) SELECT count(*) AS replicates, round(avg((abs(t) >= 2.045)::INT), 6) AS rejected FROM t""")
 def rm_11_null_calibration(spark, d):
     from varve.operators.resample import hash_draw
 

@@ -54,7 +54,7 @@ def visible(page: str | None) -> str:
 
 def declared(page: str | None) -> str:
     """The primary language of the markup's declaration, or nothing."""
-    found = _DECLARED.search((page or "")[:65536])
+    found = _DECLARED.search(page or "")
     return found[1].lower() if found else ""
 
 

@@ -133,6 +133,16 @@ def test_rank_statistics(spark):
     assert [round(x.p, 9) for x in table.select(stats.fisher_greater("a", "b", "c", "d").alias("p")).collect()] == [round(17 / 70, 9), 1.0]
 
 
+def test_global_rank_equals_the_window(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(v)) for i, v in enumerate(rng.integers(0, 40, 500))] + [(900 + i, 7.0) for i in range(400)] + [(2000, None)]
+    df = spark.createDataFrame(rows, "i int, v double")
+    expected = {r.i: r.w for r in df.filter("v is not null").select("i", windows.average_rank("v").alias("w")).collect()}
+    got = {r.i: r.rank for r in windows.global_average_rank(df, "v", buckets=16).collect()}
+    assert got.pop(2000) is None and got == expected
+    assert windows.global_average_rank(df.limit(0), "v").count() == 0
+
+
 def test_ols_matches_numpy_and_reports_rank(spark):
     rng = np.random.default_rng(2)
     x, z, c = rng.random(80), rng.random(80), rng.integers(0, 8, 80)

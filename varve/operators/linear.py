@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 
 from varve.functions.mathfn import clopper_pearson, t_tail
 from varve.operators.stats import _matrix, gram, ols
-from varve.operators.windows import average_rank
+from varve.operators.windows import global_average_rank
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, covariates: Sequence[str]) -> dict:
     """Correlation of the ranks of x and y after regression on the ranks of the covariates, with its t test."""
     cols = [x, y, *covariates]
     ranks = df.select(*cols).dropna()
-    ranks = ranks.select(F.lit(1.0).alias("__one"), *[average_rank(c).alias(c) for c in cols])
+    for i, c in enumerate(cols):
+        ranks = global_average_rank(ranks, c, f"__r{i}")
+    ranks = ranks.select(F.lit(1.0).alias("__one"), *[F.col(f"__r{i}").alias(c) for i, c in enumerate(cols)])
     order = ["__one", *covariates, x, y]
     row = gram(ranks, order).first()
     m, k, n = _matrix(row, len(order)), len(covariates) + 1, row["n"]

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions.mathfn import log_choose, t_quantile
-from varve.operators.windows import average_rank, over
+from varve.operators.windows import average_rank, over, ranked
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation of each group over rows where both are known; null under three rows or without spread."""
-    df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, average_rank(x, by).alias("__x"), average_rank(y, by).alias("__y"))
+    df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    df = ranked(ranked(df, x, by, "__x"), y, by, "__y")
     flat = (F.stddev_pop("__x") == 0) | (F.stddev_pop("__y") == 0) | (F.count(F.lit(1)) < 3)
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(~flat, F.corr("__x", "__y")).alias("rho"))
 
@@ -37,7 +38,8 @@ def permanova(df: DataFrame, unit: str, group: str, axis: str, value: str, by: S
 
 def moran(values: DataFrame, edges: DataFrame, unit: str, value: str) -> DataFrame:
     """Moran's I of one variable over unit-weight directed edges (i, j)."""
-    z = values.select(F.col(unit).alias("u"), (F.col(value) - F.avg(value).over(over([]))).alias("z"))
+    mean = values.agg(F.avg(value).alias("__m"))
+    z = values.crossJoin(F.broadcast(mean)).select(F.col(unit).alias("u"), (F.col(value) - F.col("__m")).alias("z"))
     zi, zj = z.select(F.col("u").alias("i"), F.col("z").alias("zi")), z.select(F.col("u").alias("j"), F.col("z").alias("zj"))
     top = edges.join(zi, "i").join(zj, "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("s"), F.count(F.lit(1)).alias("w"))
     low = z.agg(F.sum(F.col("z") * F.col("z")).alias("ss"), F.count(F.lit(1)).alias("n"))
@@ -47,7 +49,7 @@ def moran(values: DataFrame, edges: DataFrame, unit: str, value: str) -> DataFra
 def wilcoxon_w(df: DataFrame, diff: str, by: Sequence[str] = ()) -> DataFrame:
     """Signed-rank statistic min(W+, W-) of non-zero differences."""
     d = df.filter(F.col(diff) != 0).withColumn("__a", F.abs(diff))
-    d = d.withColumn("__r", average_rank("__a", by))
+    d = ranked(d, "__a", by, "__r")
     plus = F.sum(F.when(F.col(diff) > 0, F.col("__r")).otherwise(0.0))
     minus = F.sum(F.when(F.col(diff) < 0, F.col("__r")).otherwise(0.0))
     return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), F.least(plus, minus).alias("w"))
@@ -55,7 +57,7 @@ def wilcoxon_w(df: DataFrame, diff: str, by: Sequence[str] = ()) -> DataFrame:
 
 def mann_whitney(df: DataFrame, group: str, value: str, first, by: Sequence[str] = ()) -> DataFrame:
     """U of the rows whose group equals ``first`` against the rest, with Cliff's delta."""
-    r = df.withColumn("__r", average_rank(value, by))
+    r = ranked(df, value, by, "__r")
     n1 = F.count(F.when(F.col(group) == first, 1))
     n2 = F.count(F.when(F.col(group) != first, 1))
     u = F.sum(F.when(F.col(group) == first, F.col("__r"))) - n1 * (n1 + 1) / 2

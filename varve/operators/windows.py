@@ -43,6 +43,39 @@ def average_rank(value: str, by: Sequence[str] = ()) -> Column:
     return F.rank().over(over(by, value)) + (ties - 1) / F.lit(2.0)
 
 
+def global_average_rank(df: DataFrame, value: str, out: str = "rank", buckets: int = 256) -> DataFrame:
+    """``df`` with the average rank of ``value`` among all rows; null values have none.
+
+    No task sees all rows: distinct values are counted first, approximate
+    quantiles cut them into ranges, and a value's rank is what lies in the
+    ranges below, what lies below it in its own, and half its ties.
+    """
+    cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
+    edges = sorted(set(cuts or []))
+    b = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(value))) if edges else F.lit(0)
+    n = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", b)
+    below = n.groupBy("__b").agg(F.sum("__n").alias("__t"))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    below = below.select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))  # at most ``buckets`` rows
+    inside = over(["__b"], value).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("__o") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + (F.col("__n") + 1) / F.lit(2.0)
+    ranks = n.join(F.broadcast(below), "__b").select(F.col(value).alias("__v"), rank.alias(out))
+    on = (F.xxhash64(value, F.lit(1)) == F.xxhash64("__v", F.lit(1))) & (F.col(value) == F.col("__v"))
+    return df.join(ranks, on, "left").drop("__v")
+
+
+def ranked(df: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
+    """``df`` with average ranks within groups, or among all rows where there are no groups."""
+    return df.withColumn(out, average_rank(value, by)) if by else global_average_rank(df, value, out)
+
+
+def leave_one_out(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``df`` with the mean of all other rows' values."""
+    whole = df.agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    mean = (F.col("__s") - F.col(value)) / F.nullif(F.col("__n") - 1, F.lit(0))
+    return df.crossJoin(F.broadcast(whole)).withColumn(out, mean).drop("__s", "__n")
+
+
 def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "q") -> DataFrame:
     """Step-up q values within a family; a null p has no q and does not count."""
     known = F.col(p).isNotNull()

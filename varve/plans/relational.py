@@ -429,10 +429,10 @@ def ag_19_one_pass_accumulators(spark, d):
 # --- sorts, sets, reshape ----------------------------------------------------------
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderpriority, o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders")
 def so_1_multi_key_sort(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 10 = 0")
-    return o.select("o_orderkey", F.row_number().over(win.over([], "o_orderpriority", F.desc_nulls_last("o_totalprice"), "o_orderkey")).cast("long").alias("place"))
+    o = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    return o.select("o_orderkey", F.row_number().over(win.over(["year"], "o_orderpriority", F.desc_nulls_last("o_totalprice"), "o_orderkey")).cast("long").alias("place"))
 
 
 @query(f"""WITH {SQL_COUNTS}, rel AS (SELECT feature, count / sum(count) OVER (PARTITION BY campaign, site, position) AS p FROM counts)

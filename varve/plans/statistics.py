@@ -239,7 +239,7 @@ def ss_26_27_paired_displacement(spark, d):
 
 @query("""WITH v AS (SELECT (sum(s_acctbal) OVER () - s_acctbal) / (count(*) OVER () - 1) AS t FROM supplier) SELECT count(*) AS n, round(sqrt((count(*) - 1) * var_pop(t)), 6) AS se FROM v""")
 def ss_28_jackknife(spark, d):
-    v = table(spark, d, "supplier").select(win.leave_one_out_mean("s_acctbal", []).alias("t"))
+    v = win.leave_one_out(table(spark, d, "supplier"), "s_acctbal", "t")
     return v.agg(F.count("*").alias("n"), F.round(st.jackknife_se("t"), 6).alias("se"))
 
 

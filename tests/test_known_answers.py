@@ -208,6 +208,14 @@ def test_graphical_lasso_limits():
     assert np.count_nonzero(np.abs(big - np.diag(np.diag(big))) > 1e-9) == 0
 
 
+def test_network_without_edges_is_empty(spark):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(u, f"f{f}", float(rng.normal())) for u in range(20) for f in range(4)], "u int, f string, v double")
+    e = linear.network_edges(df, "u", "f", "v", [0.001, 50.0], draws=1)
+    found = {(r.alpha, r.draw): r["count"] for r in e.groupBy("alpha", "draw").count().collect()}
+    assert set(found) == {(0.001, 0), (0.001, 1)} and linear.calibrated_alpha(e, [0.001, 50.0], 1, least=100) == 50.0
+
+
 def test_equivalence_verdicts():
     assert linear.tost(0.0, 0.1, 1.0, False)["verdict"] == "no_claim"
     assert linear.tost(0.0, 0.1, 1.0, True)["verdict"] == "equivalent"

@@ -271,7 +271,10 @@ def network_edges(df: DataFrame, unit: str, feature: str, value: str, alphas: Se
         d = np.sqrt(np.diag(theta))
         partial = -theta / np.outer(d, d)
         i, j = np.nonzero(np.triu(np.abs(partial) > edge, 1))
-        return pd.DataFrame({"draw": draw, "alpha": alpha, "i": [names[a] for a in i], "j": [names[b] for b in j], "partial": partial[i, j]})
+        label = np.array(names, dtype=object)
+        return pd.DataFrame(
+            {"draw": np.full(len(i), int(draw)), "alpha": np.full(len(i), float(alpha)), "i": label[i].astype(object), "j": label[j].astype(object), "partial": partial[i, j]}
+        )
 
     return data.groupBy("draw", "alpha").applyInPandas(fit, "draw long, alpha double, i string, j string, partial double")
 

@@ -12,6 +12,8 @@ def test_domain_files(spark, tmp_path):
     (tmp_path / "t.nwk").write_text("((a:1,b:2)x:0.5,'c':3,d:1);")
     tree = {(r.tip_i, r.tip_j): r.distance for r in formats.read_tree(spark, f"{tmp_path}/t.nwk").collect()}
     assert tree == {("a", "b"): 3.0, ("a", "c"): 4.5, ("a", "d"): 2.5, ("b", "c"): 5.5, ("b", "d"): 3.5, ("c", "d"): 4.0}
+    (tmp_path / "one.nwk").write_text("a;")
+    assert formats.read_tree(spark, f"{tmp_path}/one.nwk").count() == 0
     dense = np.array([[0, 2, 0], [0, 0, 0], [1.5, 0, 3]])
     rows, cols = np.nonzero(dense)
     np.savez(tmp_path / "m.npz", data=dense[rows, cols], indices=cols, indptr=np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=3))]), shape=dense.shape)

@@ -26,7 +26,9 @@ def _each_file(spark: SparkSession, path: str, schema: str, rows: Callable[[byte
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame([(name, *r) for r in rows(bytes(content))], columns=names)
+                found = [(name, *r) for r in rows(bytes(content))]
+                if found:
+                    yield pd.DataFrame(found, columns=names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, f"file string, {schema}")
 

@@ -394,6 +394,29 @@ def test_repeated_passages_cover_every_exact_repeat(make_docs):
     assert substring.repeated_passages(make_docs(rows).limit(0)).count() == 0
 
 
+def test_passage_made_of_frequent_lines_is_found_in_each_holder(make_docs):
+    rng = random.Random(18)
+    lines = [prose(rng, 20) for _ in range(3)]
+    two = [" ".join(lines[:2]), " ".join(lines[1:])]
+    rows = [(k, f"{prose(rng, 40)} {two[k % 2]} {prose(rng, 40)}") for k in range(60)]
+    rows += [(k, f"{prose(rng, 20)} {' '.join(lines)} {prose(rng, 20)}") for k in (1000, 1001)]
+    rows += [(2000 + k, f"{prose(rng, 40)} {two[k % 2]} {prose(rng, 40)}") for k in range(60)]
+    got = substring.repeated_passages(make_docs(rows, clashing=True)).collect()
+    assert {(r.doc_id, r.partner_id, r.first_word, r.end_word, r.identity) for r in got} == {(1000, 1001, 20, 80, 1.0), (1001, 1000, 20, 80, 1.0)}
+
+
+def test_exact_runs_cover_what_they_are_given():
+    rng = random.Random(12)
+    for _ in range(200):
+        at = sorted({(rng.randrange(150), rng.randrange(60)) for _ in range(rng.randrange(1, 25))})
+        x, y = (np.array(v) for v in zip(*at))
+        runs = substring.exact_runs(x, y)
+        cover = lambda spans: {i for a, n in spans for i in range(a, a + n)}
+        assert cover((a, n) for a, _, n in runs) == cover((a, substring.MIN_WORDS) for a, _ in at)
+        for i in range(len(runs)):
+            assert cover((a, n) for a, _, n in runs[:i] + runs[i + 1 :]) != cover((a, n) for a, _, n in runs)
+
+
 def test_chains_against_brute_force():
     rng = random.Random(9)
     for _ in range(60):

@@ -115,6 +115,14 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return mix(out), left
 
 
+def run_hashes(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each place of ``at`` on."""
+    power, inverse = _powers_to(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * power[: len(h)], out=sums[1:])
+    return mix((sums[at + n] - sums[at]) * inverse[at])
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as Spark's longs."""
     return np.ascontiguousarray(x).view(np.int64)

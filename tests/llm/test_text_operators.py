@@ -405,6 +405,44 @@ def test_passage_made_of_frequent_lines_is_found_in_each_holder(make_docs):
     assert {(r.doc_id, r.partner_id, r.first_word, r.end_word, r.identity) for r in got} == {(1000, 1001, 20, 80, 1.0), (1001, 1000, 20, 80, 1.0)}
 
 
+def test_passage_of_three_frequent_lines_and_edited_copies_are_found(make_docs):
+    rng = random.Random(19)
+    lines = [prose(rng, 30) for _ in range(3)]
+    rows = [(k if k < 60 else 2000 + k, f"{prose(rng, 40)} {lines[k % 3]} {prose(rng, 40)}") for k in range(120)]
+    rows += [(k, f"{prose(rng, 20)} {' '.join(lines)} {prose(rng, 20)}") for k in (1000, 1001)]
+    got = substring.repeated_passages(make_docs(rows)).collect()
+    assert {r.doc_id for r in got} == {1000, 1001}
+    for k in (1000, 1001):
+        assert {i for r in got if r.doc_id == k for i in range(r.first_word, r.end_word)} >= set(range(20, 110))
+
+    rows, kinds = [], []
+    for n in (60, 80, 120):
+        for every in (20, 10, 7):
+            for _ in range(25):
+                body, start = prose(rng, n).split(), every // 2
+                copy = [f"x{rng.randrange(3000)}" if i % every == start else w for i, w in enumerate(body)]
+                for half in (body, copy):
+                    rows.append((3000 + len(rows), f"{prose(rng, 60)} {' '.join(half)} {prose(rng, 60)}"))
+                kinds.append(every)
+    got = {(r.doc_id, r.partner_id) for r in substring.repeated_passages(make_docs(rows)).collect()}
+    assert all(p // 2 == q // 2 for p, q in got)
+    found = collections.Counter(every for i, every in enumerate(kinds) if (3000 + 2 * i, 3001 + 2 * i) in got)
+    # of 75 each; with edits 7 words apart many copies share no seed at all
+    assert found[20] >= 74 and found[10] >= 63 and found[7] >= 30, found
+
+
+def test_words_beside_a_seed_never_hide_an_extension():
+    rng = np.random.default_rng(20)
+    for _ in range(3000):
+        a = rng.integers(0, 1 << 62, 40).astype(np.uint64)
+        b = np.where(rng.random(40) < rng.choice([0.1, 0.3, 0.6]), rng.integers(0, 1 << 62, 40).astype(np.uint64), a)
+        differ = substring.beside(a, np.array([15])) ^ substring.beside(b, np.array([15]))
+        if substring._extend(a[:15][::-1], b[:15][::-1]) > 4:
+            assert substring.goes_on(differ, 0)[0]
+        if substring._extend(a[21:], b[21:]) > 4:
+            assert substring.goes_on(differ, 30)[0]
+
+
 def test_exact_runs_cover_what_they_are_given():
     rng = random.Random(12)
     for _ in range(200):

@@ -443,6 +443,21 @@ def test_words_beside_a_seed_never_hide_an_extension():
             assert substring.goes_on(differ, 30)[0]
 
 
+def test_words_in_common_of_gaps_of_any_length():
+    rng = random.Random(21)
+    for n, m in [(0, 3), (3, 0), (1, 1), (7, 9), (40, 60), (150, 230), (260, 240)]:
+        a, b = [rng.randrange(9) for _ in range(n)], [rng.randrange(9) for _ in range(m)]
+        row = [0] * (m + 1)
+        for x in a:
+            before = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        assert substring.lcs(a, b) == row[-1]
+    a = list(range(5000))
+    assert substring.lcs(a, [-1 if i % 5 == 0 else i for i in a]) == 4000
+
+
 def test_exact_runs_cover_what_they_are_given():
     rng = random.Random(12)
     for _ in range(200):

@@ -297,3 +297,15 @@ def test_streaming_equals_batch(spark, tmp_path):
     visits = df.filter("v % 5 = 0").select(F.col("k"), F.col("t").alias("at"))
     joined = streaming.interval_join(visits, df, "k", "at", "t", "1 day").count()
     assert joined == sum(1 for k, a, v in rows if v % 5 == 0 for q, b, _ in rows if q == k and a - datetime.timedelta(days=1) < b <= a)
+
+
+def test_network_calibration_reads_all_brands(spark):
+    from varve.operators import linear as li
+    from varve.plans.base import sites
+    from varve.plans.models import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    whole = sites(spark, d).withColumn("unit", F.concat_ws("|", "site", "position"))
+    edges = li.network_edges(whole, "unit", "feature", "count", [0.1, 0.2, 0.4], draws=2)
+    got = QUERIES["ss_31_32_network_calibration"][0](spark, d)
+    assert {(r.alpha, r.draw): r.edges for r in got.collect()} == {(r.alpha, r.draw): r["count"] for r in edges.groupBy("alpha", "draw").count().collect()}

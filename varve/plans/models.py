@@ -95,7 +95,7 @@ def ss_30_variance_partition(spark, d):
 
 @query(None)
 def ss_31_32_network_calibration(spark, d):
-    top = sites(spark, d).filter("feature like 'Brand#1%' or feature like 'Brand#2%'").withColumn("unit", F.concat_ws("|", "site", "position"))
+    top = sites(spark, d).withColumn("unit", F.concat_ws("|", "site", "position"))
     alphas = [0.1, 0.2, 0.4]
     e = li.network_edges(top, "unit", "feature", "count", alphas, draws=2)
     return e.groupBy("alpha", "draw").agg(F.count(F.lit(1)).alias("edges"), F.round(F.avg((F.col("partial") > 0).cast("int")), 6).alias("positive"))

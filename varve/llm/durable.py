@@ -4,18 +4,38 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors are the driver, may do without: it gets
+    a temporary folder.  A cluster that names none is refused, since its executors
+    would write to disks that nobody else can read.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="varve-shared-")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder and reread.
+    """``df`` written to the session's checkpoint folder (``shared_folder`` if none is set) and reread.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is set only where none is configured (tests, local runs).
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes what
+    it wrote once nothing refers to it.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="varve-ckpt-")
-        )
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that is no longer needed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

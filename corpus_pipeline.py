@@ -8,12 +8,12 @@ masked, and the rest is mixed by source to target weights.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from varve.llm import decontaminate, mixing, quality_rules, secrets, simhash_dedup
+from varve.llm.durable import discard, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +48,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what passes between them lies in the session's shared folder."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="varve-pipeline-")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over ``documents``.
+
+    What passes between them lies in ``folder``, by default the one that the
+    cluster's executors share.  A stage's table goes once the next one is written;
+    the last is kept, as the returned rows are read from it.
+    """
+    home = f"{folder or shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        path = f"{home}/corpus-pipeline-{uuid.uuid4().hex}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}")
+        docs = spark.read.parquet(f"{home}/{k}")
+        if last:
+            discard(spark, last)
+        last = f"{home}/{k}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -94,6 +94,50 @@ def test_rarefaction_keeps_depth_and_repeats(spark):
     assert sorted(map(str, a.collect())) == sorted(map(str, again.collect()))
 
 
+def test_rarefaction_of_zeros_large_counts_and_short_samples(spark):
+    big = 3_000_000_000
+    rows = [("a", "x", big), ("a", "y", big), ("a", "none", 0), ("a", "null", None), ("b", "x", 5), ("b", "none", 0)]
+    got = compose.rarefied_counts(spark.createDataFrame(rows, "s string, f string, c long"), ["s"], "f", "c", 400, 60, 3).collect()
+    assert {r.f for r in got} == {"x", "y"}
+    assert all(r.c == 5 for r in got if r.s == "b")  # a sample of fewer reads than the depth is taken whole
+    x = [r.c for r in got if r.s == "a" and r.f == "x"]
+    totals = {}
+    for r in got:
+        totals[r.s, r.draw] = totals.get((r.s, r.draw), 0) + r.c
+    assert {v for (s, _), v in totals.items() if s == "a"} == {400} and len(x) == 60
+    # binomial with mean 200 and standard deviation 10
+    assert abs(np.mean(x) - 200) < 6 and 7 < np.std(x) < 13.5
+
+
+def test_rarefaction_is_hypergeometric(spark):
+    got = compose.rarefied_counts(spark.createDataFrame([("a", "x", 30), ("a", "y", 20)], "s string, f string, c long"), ["s"], "f", "c", 10, 600, 5).collect()
+    x = [r.c for r in got if r.f == "x"]
+    assert abs(np.mean(x) - 6) < 0.2 and abs(np.var(x) - 10 * 0.6 * 0.4 * 40 / 49) < 0.35
+
+
+def test_exact_quantiles_and_places(spark):
+    rng = np.random.default_rng(11)
+    v = [float(x) for x in np.round(rng.normal(size=700), 1)]
+    df = spark.createDataFrame([(x,) for x in v] + [(None,)], "v double").repartition(5)
+    f = [0.0, 0.05, 0.5, 0.77, 1.0]
+    assert windows.global_quantiles(df, "v", f) == pytest.approx(list(np.quantile(v, f)))
+    assert windows.global_quantiles(df.limit(0), "v", f) == []
+    units = spark.createDataFrame([(3 * i,) for i in range(500)], "u long").repartition(4)
+    assert {r.u: r.at for r in windows.indexed(units, "u", "at").collect()} == {3 * i: i for i in range(500)}
+
+
+def test_nearest_by_cells_is_exact(spark):
+    rng = np.random.default_rng(12)
+    pts = [(g, i, float(x), float(y)) for g in "ab" for i, (x, y) in enumerate(rng.normal(size=(60, 2)) ** 3)] + [("a", 100, 0.0, 0.0), ("a", 101, 0.0, 0.0), ("c", 1, 0.0, 0.0), ("c", 2, 9.0, 9.0)]
+    got = relational.nearest(spark.createDataFrame(pts, "g string, k long, x double, y double"), "k", "x", "y", 4, ["g"]).collect()
+    seen = {}
+    for r in got:
+        seen.setdefault((r.g, r.i), set()).add(r.j)
+    for g, k, x, y in pts:
+        others = sorted((round(math.hypot(x - a, y - b), 9), j) for h, j, a, b in pts if h == g and j != k)
+        assert seen[g, k] == {j for _, j in others[:4]}
+
+
 def test_validated_join_refuses(spark):
     one, two = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "b"), (1, "c")], "k int, w string")
     with pytest.raises(relational.CardinalityError):
@@ -189,8 +233,13 @@ def test_trend_and_ordination(spark):
     df = spark.createDataFrame([(float(p), f, float(v[i])) for f, v in resp.items() for i, p in enumerate(x)], "p double, f string, y double")
     assert linear.trend_r2(df, "p", "f", "y").first().r2 == pytest.approx(1.0)
     square = spark.createDataFrame([(0, 1, 3.0), (0, 2, 4.0), (0, 3, 5.0), (1, 2, 5.0), (1, 3, 4.0), (2, 3, 3.0)], "i int, j int, distance double")
-    co = linear.principal_coordinates(square, 1.0)
-    assert co.shape == (4, 3) and co.attrs["retained"] == pytest.approx(1.0)
+    co = linear.principal_coordinates(square, 1.0).collect()
+    assert len(co) == 8 and all(r.retained == pytest.approx(1.0) for r in co)
+    at = {(r.unit, r.axis): r.value for r in co}
+    for i, j, gap in square.collect():
+        assert math.dist([at[i, 1], at[i, 2]], [at[j, 1], at[j, 2]]) == pytest.approx(gap)
+    with pytest.raises(ValueError):
+        linear.principal_coordinates(square, most=3)
     rng = np.random.default_rng(5)
     m = rng.normal(size=(12, 4)) @ np.diag([5, 2, 1, 0.5])
     long = spark.createDataFrame([(i, f"f{j}", float(m[i, j])) for i in range(12) for j in range(4)], "u int, f string, v double")

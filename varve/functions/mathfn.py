@@ -7,7 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def log_gamma(x: Column) -> Column:
@@ -77,3 +77,10 @@ def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
     low = 0.0 if k == 0 else bisect(lambda p: beta_fraction(k, n - k + 1, p) - tail, 0.0, 1.0)
     high = 1.0 if k == n else bisect(lambda p: beta_fraction(k + 1, n - k, p) - (1 - tail), 0.0, 1.0)
     return low, high
+
+
+@F.pandas_udf(StructType([StructField("low", DoubleType()), StructField("high", DoubleType())]))
+def exact_interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Exact binomial interval of each count ``k`` of ``n``; null where there is none to count."""
+    ends = [clopper_pearson(int(a), int(b)) if b > 0 else (None, None) for a, b in zip(k, n)]
+    return pd.DataFrame(ends, columns=["low", "high"])

@@ -18,9 +18,9 @@ def bootstrap(df: DataFrame, unit: str, aggregates: dict[str, Column], n: int, s
     """Named aggregates of each resample of the units, drawn with hash-derived multiplicities."""
     from pyspark.sql import functions as F
 
-    from varve.operators.windows import over
+    from varve.operators.windows import indexed
 
-    units = df.select(unit).distinct().select(unit, (F.row_number().over(over([], unit)) - 1).alias("__i"))
+    units = indexed(df.select(unit).distinct(), unit)
     size = units.agg(F.count(F.lit(1)).alias("__n"))
     slots = draws(units.select(F.col("__i").alias("slot")), n).crossJoin(F.broadcast(size))
     picks = slots.select("draw", (hash_draw(seed, "draw", "slot") % F.col("__n")).alias("__i")).join(units, "__i").select("draw", unit)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from varve.functions.mathfn import log_choose
 from varve.operators.windows import over
@@ -91,16 +92,31 @@ def expected_richness(df: DataFrame, sample: Sequence[str], value: str, depth: i
 
 
 def rarefied_counts(df: DataFrame, sample: Sequence[str], feature: str, value: str, depth: int, draws: int, seed: int) -> DataFrame:
-    """Counts of ``depth`` reads drawn without replacement, for each draw.
-
-    Reads are ordered by an MD5 of (seed, draw, sample, feature, read), so the
-    subsample is hypergeometric, repeats exactly and needs no generator state.
+    """Counts of ``depth`` reads drawn without replacement, for each draw; zero and null counts hold no read.
+
+    Each read has an exponential key and the ``depth`` least keys of a sample are
+    its subsample, which is hypergeometric.  Only keys below a level that about
+    ``depth`` reads of the sample lie under are made: the i-th least of the c keys
+    of a feature is the one before plus an exponential divided by c - i + 1, taken
+    from an MD5 of (seed, draw, sample, feature, i).  Level and number of keys lie
+    ten standard deviations above what is needed, so rows go with the depth, not
+    with the reads, and results repeat on any cluster.
     """
-    reads = df.select(*sample, feature, F.explode(F.sequence(F.lit(1), F.col(value).cast("int"))).alias("read"))
-    reads = reads.crossJoin(df.sparkSession.range(draws).select(F.col("id").alias("draw")))
+    counts = df.filter(F.col(value) > 0).select(*sample, feature, F.col(value).cast("long").alias("__c"))
+    total = F.sum("__c").over(over(sample)).cast("double")
+    share = (F.lit(float(depth)) + 10 * F.sqrt(F.lit(float(depth))) + 20) / total
+    level = F.when(share < 1, -F.log(1 - share))
+    most = F.col("__c") * share
+    keys = F.when(share < 1, F.least(F.col("__c"), F.ceil(most + 10 * F.sqrt(most) + 20))).otherwise(F.col("__c"))
+    reads = counts.withColumns({"__level": level, "__keys": keys}).crossJoin(F.broadcast(df.sparkSession.range(draws).select(F.col("id").alias("draw"))))
+    reads = reads.withColumn("read", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__keys"))))
     text = F.concat_ws("|", F.lit(str(seed)), "draw", *sample, feature, "read")
-    place = F.row_number().over(over([*sample, "draw"], F.md5(text), feature, "read"))
-    return reads.withColumn("place", place).filter(F.col("place") <= depth).groupBy(*sample, "draw", feature).agg(F.count(F.lit(1)).alias(value))
+    u = (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 1) / float(1 << 48)
+    step = -F.log(u) / (F.col("__c") - F.col("read") + 1)
+    key = F.sum(step).over(over([*sample, feature, "draw"], "read").rowsBetween(Window.unboundedPreceding, 0))
+    kept = reads.withColumn("__key", key).filter(F.col("__level").isNull() | (F.col("__key") <= F.col("__level")))
+    place = F.row_number().over(over([*sample, "draw"], "__key", feature, "read"))
+    return kept.withColumn("__place", place).filter(F.col("__place") <= depth).groupBy(*sample, "draw", feature).agg(F.count(F.lit(1)).alias(value))
 
 
 def bray_curtis(df: DataFrame, sample: str, feature: str, value: str) -> DataFrame:
@@ -142,13 +158,13 @@ def vector_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, v: s + v))
 
 
-def trait_turnover(df: DataFrame, group: str, trait: str, target: str, reference: str) -> DataFrame:
-    """Change of a weighted trait between two visits, split into between-group, within-group and exclusive parts.
+def trait_turnover(df: DataFrame, group: str, trait: str, target: str, reference: str, by: Sequence[str] = ()) -> DataFrame:
+    """Change of a weighted trait between two visits, split into between-group, within-group and exclusive parts, for each of ``by``.
 
     ``df`` holds one row for each member with its group, trait value and weight
     in either visit (columns ``target`` and ``reference``).
     """
-    m = df.groupBy(group).agg(
+    m = df.groupBy(*by, group).agg(
         F.sum(target).alias("ma"),
         F.sum(reference).alias("mb"),
         (F.sum(F.col(target) * F.col(trait)) / F.nullif(F.sum(target), F.lit(0))).alias("ta"),
@@ -157,7 +173,7 @@ def trait_turnover(df: DataFrame, group: str, trait: str, target: str, reference
     shared = (F.col("ma") > 0) & (F.col("mb") > 0)
     ma, mb, ta, tb = (F.col(c) for c in ("ma", "mb", "ta", "tb"))
     value = lambda m_, t_: F.coalesce(m_ * t_, F.lit(0.0))
-    return m.agg(
+    return m.groupBy(*by).agg(
         F.sum(F.when(shared, (ma - mb) * (ta + tb) / 2).otherwise(0.0)).alias("between"),
         F.sum(F.when(shared, (ta - tb) * (ma + mb) / 2).otherwise(0.0)).alias("within"),
         F.sum(F.when(~shared, value(ma, ta) - value(mb, tb)).otherwise(0.0)).alias("exclusive"),

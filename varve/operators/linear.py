@@ -1,7 +1,7 @@
 """Models whose algebra is small: grouped sums on the cluster, a few columns square on the driver.
 
 Kernels over one configuration each (graphical lasso, covariance sensitivity)
-run as one task per configuration through ``applyInPandas``.
+run as one task per configuration through ``applyInPandas`` over a matrix of checked size.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions.mathfn import clopper_pearson, t_tail
+from varve.operators.compose import densify
+from varve.operators.resample import hash_draw
 from varve.operators.stats import _matrix, gram, ols
-from varve.operators.windows import global_average_rank
+from varve.operators.windows import global_average_rank, over
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, covariates: Sequence[str]) -> dict:
@@ -154,7 +156,7 @@ def principal_axes(df: DataFrame, unit: str, axis: str, value: str, k: int = 2)
     axes = [r[0] for r in df.select(axis).distinct().orderBy(axis).limit(2001).collect()]
     if len(axes) > 2000:
         raise ValueError("select at most 2000 features before an ordination")
-    centred = df.withColumn("__z", F.col(value) - F.avg(value).over(_all(axis)))
+    centred = df.withColumn("__z", F.col(value) - F.avg(value).over(over([axis])))
     a = centred.select(F.col(unit).alias("u"), F.col(axis).alias("a"), F.col("__z").alias("za"))
     b = centred.select(F.col(unit).alias("w"), F.col(axis).alias("b"), F.col("__z").alias("zb"))
     rows = a.join(b, (F.col("u") == F.col("w")) & (F.col("a") <= F.col("b"))).groupBy("a", "b").agg(F.sum(F.col("za") * F.col("zb")).alias("s")).collect()
@@ -171,26 +173,38 @@ def principal_axes(df: DataFrame, unit: str, axis: str, value: str, k: int = 2)
     return scores.withColumns({f"share{i + 1}": F.lit(float(s)) for i, s in enumerate(share)})
 
 
-def principal_coordinates(distances: DataFrame, fraction: float = 0.9, most: int = 3000) -> pd.DataFrame:
-    """Principal coordinates of a small pair table (i, j, distance): positive axes until they hold ``fraction``."""
-    pairs = distances.select("i", "j", "distance").limit(most * most).toPandas()
-    ids = sorted(set(pairs.i) | set(pairs.j))
-    if len(ids) > most:
+def principal_coordinates(distances: DataFrame, fraction: float = 0.9, most: int = 3000) -> DataFrame:
+    """(unit, axis, value, retained) of a pair table (i, j, distance): positive axes until they hold ``fraction``.
+
+    Squared distances are centred by grouped means; the driver factorises one
+    units x units matrix, so the number of units is checked before any pair moves.
+    """
+    pairs = distances.select("i", "j", "distance")
+    both = pairs.union(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "distance")).withColumn("q", F.col("distance") * F.col("distance"))
+    n = both.select("i").distinct().count()
+    if n > most:
         raise ValueError(f"at most {most} units")
+    rows = both.groupBy("i").agg((F.sum("q") / n).alias("m"))
+    whole = rows.agg(F.avg("m").alias("whole"))
+    other = rows.select(F.col("i").alias("j"), F.col("m").alias("mj"))
+    zero = rows.select("i", F.col("i").alias("j"), F.lit(0.0).alias("q"))
+    centred = both.select("i", "j", "q").union(zero).join(rows, "i").join(other, "j").crossJoin(F.broadcast(whole))
+    table = centred.select("i", "j", (-0.5 * (F.col("q") - F.col("m") - F.col("mj") + F.col("whole"))).alias("b")).toPandas()
+    ids = sorted(set(table.i))
     at = {x: k for k, x in enumerate(ids)}
-    d = np.zeros((len(ids), len(ids)))
-    d[pairs.i.map(at), pairs.j.map(at)] = pairs.distance
-    d = d + d.T
-    centre = np.eye(len(ids)) - 1 / len(ids)
-    values, vectors = np.linalg.eigh(-0.5 * centre @ (d * d) @ centre)
+    b = np.zeros((n, n))
+    b[table.i.map(at), table.j.map(at)] = table.b
+    values, vectors = np.linalg.eigh(b)
     values, vectors = values[::-1], vectors[:, ::-1]
-    positive = values > max(values[0], 0) * 1e-10
+    positive = values > max(values[0], 0) * 1e-10 if n else values > 0
     values, vectors = values[positive], vectors[:, positive]
-    keep = int(np.searchsorted(np.cumsum(values) / values.sum(), fraction - 1e-12)) + 1
-    out = pd.DataFrame(vectors[:, :keep] * np.sqrt(values[:keep]), columns=[f"axis{i + 1}" for i in range(min(keep, len(values)))])
-    out.insert(0, "unit", ids)
-    out.attrs["retained"] = float(values[:keep].sum() / values.sum())
-    return out
+    keep = min(len(values), int(np.searchsorted(np.cumsum(values) / values.sum(), fraction - 1e-12)) + 1) if len(values) else 0
+    load = vectors[:, :keep] * np.sqrt(values[:keep])
+    load = load * np.where(load[np.abs(load).argmax(axis=0), range(keep)] < 0, -1, 1) if keep else load
+    retained = float(values[:keep].sum() / values.sum()) if keep else 0.0
+    kind = dict(distances.dtypes)["i"]
+    out = [(x, k + 1, float(load[at[x], k]), retained) for x in ids for k in range(keep)]
+    return distances.sparkSession.createDataFrame(out, f"unit {kind}, axis int, value double, retained double")
 
 
 def variance_partition(df: DataFrame, y: str, first: Sequence[str], second: Sequence[str], nuisance: Sequence[str]) -> dict:
@@ -250,24 +264,31 @@ def graphical_lasso(s: np.ndarray, alpha: float, rounds: int = 200, tol: float =
 
 
 def network_edges(df: DataFrame, unit: str, feature: str, value: str, alphas: Sequence[float], draws: int = 0, seed: int = 1, edge: float = 1e-3) -> DataFrame:
-    """Partial-correlation edges for each penalty and draw; draw 0 is the data, others permute each feature.
+    """Partial-correlation edges for each penalty and draw; draw 0 is the data, others permute each feature over the units.
 
-    One task fits one (penalty, draw); the table of selected features is small
-    and collected into each task by a cross join of the grid.
+    Permuting and the products of features are joins and grouped sums over the
+    table; a (penalty, draw) task gets the correlations of the selected features only.
     """
-    grid = df.sparkSession.range(draws + 1).select(F.col("id").alias("draw")).crossJoin(df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")))
-    data = df.select(F.col(unit).cast("string").alias("u"), F.col(feature).cast("string").alias("f"), F.col(value).cast("double").alias("v")).crossJoin(F.broadcast(grid))
+    rows = df.select(F.col(unit).cast("string").alias("u"), F.col(feature).cast("string").alias("f"), F.col(value).cast("double").alias("v"))
+    rows = densify(rows.groupBy("u", "f").agg(F.avg("v").alias("v")), ["u"], "f", "v", rows)
+    sd = F.stddev_pop("v").over(over(["f"]))
+    z = rows.select("u", "f", ((F.col("v") - F.avg("v").over(over(["f"]))) / F.when(sd > 0, sd).otherwise(1.0)).alias("z"))
+    many = z.crossJoin(F.broadcast(df.sparkSession.range(draws + 1).select(F.col("id").alias("draw"))))
+    drawn = F.when(F.col("draw") > 0, hash_draw(seed, "draw", "f", "u")).otherwise(0)
+    place = lambda *order: F.row_number().over(over(["draw", "f"], *order)).alias("place")
+    moved = many.select("draw", "f", "u", place("u")).join(many.select("draw", "f", "z", place(drawn, "u")), ["draw", "f", "place"])
+    a = moved.select("draw", "u", F.col("f").alias("i"), F.col("z").alias("zi"))
+    b = moved.select("draw", "u", F.col("f").alias("j"), F.col("z").alias("zj"))
+    products = a.join(b, ["draw", "u"]).filter("i <= j").groupBy("draw", "i", "j").agg(F.avg(F.col("zi") * F.col("zj")).alias("s"))
+    grid = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha"))
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         draw, alpha = key
-        x = pdf.pivot_table(index="u", columns="f", values="v", fill_value=0.0).sort_index()
-        names, m = list(x.columns), x.to_numpy(float)
-        if draw:
-            rng = np.random.default_rng([seed, int(draw)])
-            m = np.column_stack([rng.permutation(m[:, k]) for k in range(m.shape[1])])
-        sd = m.std(axis=0)
-        z = (m - m.mean(axis=0)) / np.where(sd > 0, sd, 1)
-        theta = graphical_lasso(z.T @ z / len(z), alpha)
+        names = sorted(set(pdf.i))
+        at = {f: k for k, f in enumerate(names)}
+        s = np.zeros((len(names), len(names)))
+        s[pdf.i.map(at), pdf.j.map(at)] = s[pdf.j.map(at), pdf.i.map(at)] = pdf.s
+        theta = graphical_lasso(s, alpha)
         d = np.sqrt(np.diag(theta))
         partial = -theta / np.outer(d, d)
         i, j = np.nonzero(np.triu(np.abs(partial) > edge, 1))
@@ -276,7 +297,7 @@ def network_edges(df: DataFrame, unit: str, feature: str, value: str, alphas: Se
             {"draw": np.full(len(i), int(draw)), "alpha": np.full(len(i), float(alpha)), "i": label[i].astype(object), "j": label[j].astype(object), "partial": partial[i, j]}
         )
 
-    return data.groupBy("draw", "alpha").applyInPandas(fit, "draw long, alpha double, i string, j string, partial double")
+    return products.crossJoin(F.broadcast(grid)).groupBy("draw", "alpha").applyInPandas(fit, "draw long, alpha double, i string, j string, partial double")
 
 
 def calibrated_alpha(edges: DataFrame, alphas: Sequence[float], draws: int, ratio: float = 0.1, least: int = 10) -> float:
@@ -286,8 +307,13 @@ def calibrated_alpha(edges: DataFrame, alphas: Sequence[float], draws: int, rati
     return min(ok) if ok else max(alphas)
 
 
-def covariance_sensitivity(points: DataFrame, unit: str, x: str, y: str, predictor: str, response: str, models: DataFrame, rotations: int = 199, seed: int = 1) -> DataFrame:
-    """For each model (kind, length, noise): r2 after whitening by its covariance, and a rotation p value with an exact interval."""
+def covariance_sensitivity(points: DataFrame, unit: str, x: str, y: str, predictor: str, response: str, models: DataFrame, rotations: int = 199, seed: int = 1, most: int = 4000) -> DataFrame:
+    """For each model (kind, length, noise): r2 after whitening by its covariance, and a rotation p value with an exact interval.
+
+    A model's task holds one points x points matrix, so the number of points is checked first.
+    """
+    if points.count() > most:
+        raise ValueError(f"at most {most} points")
     data = points.select(F.col(unit).cast("string").alias("u"), *[F.col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (predictor, "p"), (response, "r"))])
     each = data.crossJoin(F.broadcast(models))
 
@@ -310,9 +336,3 @@ def covariance_sensitivity(points: DataFrame, unit: str, x: str, y: str, predict
         return pd.DataFrame({"kind": [kind], "length": [length], "noise": [noise], "r2": [observed], "p": [(1 + k) / (1 + rotations)], "p_low": [lo], "p_high": [hi]})
 
     return each.groupBy("kind", "length", "noise").applyInPandas(run, "kind string, length double, noise double, r2 double, p double, p_low double, p_high double")
-
-
-def _all(*by):
-    from varve.operators.windows import over
-
-    return over(by)

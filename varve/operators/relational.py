@@ -88,15 +88,42 @@ def pairs(df: DataFrame, key: str, within: Sequence[str] = (), cols: Sequence[st
 
 
 def nearest(df: DataFrame, key: str, x: str, y: str, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """The k nearest other points of each point; ties go to the lesser key."""
-    a = df.select(*by, F.col(key).alias("i"), F.col(x).alias("xi"), F.col(y).alias("yi"))
-    b = df.select(*[F.col(c).alias(f"__{c}") for c in by], F.col(key).alias("j"), F.col(x).alias("xj"), F.col(y).alias("yj"))
-    on = reduce(lambda p, q: p & q, [F.col(c) == F.col(f"__{c}") for c in by], F.col("i") != F.col("j"))
-    d = F.sqrt(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2))
-    from varve.operators.windows import top_per_group
+    """The k nearest other points of each point; ties go to the lesser key.
+
+    Points fall into square cells of about k points.  A point meets those of the
+    cells around its own; where the k-th of them may be further than a point
+    outside, it looks again in a wider square, until all are certain.
+    """
+    from varve.operators.windows import over, top_per_group
 
-    far = a.join(b, on).withColumn("distance", d)
-    return top_per_group(far, k, [*by, "i"], F.round("distance", 9), "j").select(*by, "i", "j", "distance")
+    b = df.select(*[F.col(c).alias(f"__{c}") for c in by], F.col(key).alias("j"), F.col(x).alias("xj"), F.col(y).alias("yj"))
+    lo_x, hi_x, lo_y, hi_y, n = df.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count(F.lit(1))).first()
+    wide = float(max(hi_x - lo_x, hi_y - lo_y)) if n and lo_x is not None and lo_y is not None else 0.0
+    side = max(((hi_x - lo_x) * (hi_y - lo_y) * (k + 1) / n) ** 0.5, wide * (k + 1) / n, wide * 1e-6) if wide else 1.0
+    cell = lambda c, low: F.floor((F.col(c) - F.lit(low or 0.0)) / side)
+    b = b.withColumns({"__cx": cell("xj", lo_x), "__cy": cell("yj", lo_y)})
+    left = df.select(*by, F.col(key).alias("i"), F.col(x).alias("xi"), F.col(y).alias("yi"))
+    found, reach = None, 1
+    while True:
+        ring = F.sequence(F.lit(-reach), F.lit(reach))
+        a = left.withColumn("__p", F.explode(ring)).withColumn("__q", F.explode(ring))
+        a = a.withColumns({"__p": F.col("__p") + cell("xi", lo_x), "__q": F.col("__q") + cell("yi", lo_y)})
+        on = reduce(lambda p, q: p & q, [F.col(c) == F.col(f"__{c}") for c in by], (F.col("__p") == F.col("__cx")) & (F.col("__q") == F.col("__cy")))
+        d = F.sqrt(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2))
+        near = a.join(b, on & (F.col("i") != F.col("j"))).withColumn("distance", d)
+        near = top_per_group(near, k, [*by, "i"], F.round("distance", 9), "j")
+        if reach * side > wide:
+            near = near.select(*by, "i", "j", "distance")
+            return near if found is None else found.unionByName(near)
+        whole = over([*by, "i"])
+        sure = (F.count(F.lit(1)).over(whole) == k) & (F.max("distance").over(whole) < reach * side - 1e-9)
+        near = near.withColumn("__sure", sure).filter("__sure").select(*by, "i", "j", "distance")
+        found = near if found is None else found.unionByName(near)
+        done = near.select(*by, "i").distinct()
+        left = left.join(done, [*by, "i"], "left_anti")
+        if left.isEmpty():
+            return found
+        reach *= 4
 
 
 def symmetric_edges(edges: DataFrame) -> DataFrame:

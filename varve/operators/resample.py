@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.operators.windows import over
+from varve.operators.windows import indexed, over
 
 
 def hash_draw(seed: int, *cols) -> Column:
@@ -22,17 +24,35 @@ def draws(df: DataFrame, n: int) -> DataFrame:
 
 
 def bootstrap_means(units: DataFrame, unit: str, value: str, n: int, seed: int) -> DataFrame:
-    """Mean of each resample of the units: slot k of draw d takes unit ``hash % count``."""
-    ranked = units.select((F.row_number().over(over([], unit)) - 1).alias("__i"), value)
+    """Mean of each resample of the units: slot k of draw d takes unit ``hash % count``.
+
+    Work and shuffle are units x draws; ``poisson_means`` resamples raw rows without a shuffle.
+    """
+    ranked = indexed(units.select(unit, value), unit).select("__i", value)
     size = units.agg(F.count(F.lit(1)).alias("__n"))
     slots = draws(ranked.select(F.col("__i").alias("slot")), n).crossJoin(F.broadcast(size))
     picks = slots.select("draw", (hash_draw(seed, "draw", "slot") % F.col("__n")).alias("__i"))
     return picks.join(ranked, "__i").groupBy("draw").agg(F.avg(value).alias("mean"))
 
 
+#: chance of at most k for a Poisson count of mean one
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def poisson_means(rows: DataFrame, unit: str, value: str, n: int, seed: int) -> DataFrame:
+    """Mean of each Poisson resample: a row counts as often as a Poisson draw of mean one from its hash says.
+
+    Every draw is a partial sum next to the scan, whatever the number of rows.
+    """
+    u = hash_draw(seed, "draw", unit) / F.lit(float(1 << 32))
+    times = reduce(lambda a, b: a + b, [(u >= c).cast("int") for c in POISSON])
+    many = draws(rows.select(unit, value), n).withColumn("__m", times)
+    return many.groupBy("draw").agg((F.sum(F.col("__m") * F.col(value)) / F.sum("__m")).alias("mean"))
+
+
 def block_bootstrap(blocks: DataFrame, block: str, sums: Sequence[str], n: int, seed: int) -> DataFrame:
     """Sums of whole-block resamples from one row of sufficient statistics for each block."""
-    ranked = blocks.select((F.row_number().over(over([], block)) - 1).alias("__i"), *sums)
+    ranked = indexed(blocks.select(block, *sums), block)
     size = blocks.agg(F.count(F.lit(1)).alias("__n"))
     slots = draws(ranked.select(F.col("__i").alias("slot")), n).crossJoin(F.broadcast(size))
     times = slots.select("draw", (hash_draw(seed, "draw", "slot") % F.col("__n")).alias("__i")).groupBy("draw", "__i").agg(F.count(F.lit(1)).alias("__m"))

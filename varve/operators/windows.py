@@ -43,12 +43,12 @@ def average_rank(value: str, by: Sequence[str] = ()) -> Column:
     return F.rank().over(over(by, value)) + (ties - 1) / F.lit(2.0)
 
 
-def global_average_rank(df: DataFrame, value: str, out: str = "rank", buckets: int = 256) -> DataFrame:
-    """``df`` with the average rank of ``value`` among all rows; null values have none.
+def global_places(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
+    """(__v, __n, __below): each distinct value, how many rows hold it and how many hold a lesser one.
 
     No task sees all rows: distinct values are counted first, approximate
-    quantiles cut them into ranges, and a value's rank is what lies in the
-    ranges below, what lies below it in its own, and half its ties.
+    quantiles cut them into ranges, and below a value lies what is in the ranges
+    below and what is below it in its own.
     """
     cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
     edges = sorted(set(cuts or []))
@@ -58,12 +58,38 @@ def global_average_rank(df: DataFrame, value: str, out: str = "rank", buckets: i
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     below = below.select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))  # at most ``buckets`` rows
     inside = over(["__b"], value).rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.col("__o") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + (F.col("__n") + 1) / F.lit(2.0)
-    ranks = n.join(F.broadcast(below), "__b").select(F.col(value).alias("__v"), rank.alias(out))
+    lesser = F.col("__o") + F.coalesce(F.sum("__n").over(inside), F.lit(0))
+    return n.join(F.broadcast(below), "__b").select(F.col(value).alias("__v"), "__n", lesser.alias("__below"))
+
+
+def global_average_rank(df: DataFrame, value: str, out: str = "rank", buckets: int = 256) -> DataFrame:
+    """``df`` with the average rank of ``value`` among all rows; null values have none."""
+    ranks = global_places(df, value, buckets).select("__v", (F.col("__below") + (F.col("__n") + 1) / F.lit(2.0)).alias(out))
     on = (F.xxhash64(value, F.lit(1)) == F.xxhash64("__v", F.lit(1))) & (F.col(value) == F.col("__v"))
     return df.join(ranks, on, "left").drop("__v")
 
 
+def global_quantiles(df: DataFrame, value: str, fractions: Sequence[float]) -> list[float]:
+    """Exact linear quantiles of all rows; nothing where no value is known.
+
+    Only the values at the wanted places reach the driver, two for each fraction.
+    """
+    total = df.agg(F.count(value)).first()[0]
+    if not total:
+        return []
+    at = [f * (total - 1) for f in fractions]
+    wanted = sorted({p for x in at for p in (int(x), min(int(x) + 1, total - 1))})
+    places = global_places(df, value).withColumn("__p", F.explode(F.array(*[F.lit(p) for p in wanted])))
+    held = places.filter((F.col("__below") <= F.col("__p")) & (F.col("__p") < F.col("__below") + F.col("__n")))
+    found = {r["__p"]: float(r["__v"]) for r in held.select("__p", "__v").collect()}
+    return [found[int(x)] + (x - int(x)) * (found[min(int(x) + 1, total - 1)] - found[int(x)]) for x in at]
+
+
+def indexed(df: DataFrame, unit: str, out: str = "__i") -> DataFrame:
+    """``df`` with the place from 0 of each row in order of ``unit``, which is unique; no task sees all rows."""
+    return global_average_rank(df, unit, out).withColumn(out, (F.col(out) - 1).cast("long"))
+
+
 def ranked(df: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
     """``df`` with average ranks within groups, or among all rows where there are no groups."""
     return df.withColumn(out, average_rank(value, by)) if by else global_average_rank(df, value, out)
@@ -132,7 +158,10 @@ def digitise(value: Column, edges: Column) -> Column:
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct linear quantiles at 1/bins, 2/bins, ... of each group."""
+    """Distinct linear quantiles at 1/bins, 2/bins, ... of each group, or of all rows where there are no groups."""
+    if not by:
+        edges = list(dict.fromkeys(global_quantiles(df, value, [i / bins for i in range(1, bins)])))
+        return df.sparkSession.range(1).select(F.array(*[F.lit(e) for e in edges]).cast("array<double>").alias("edges"))
     q = F.percentile(value, F.array(*[F.lit(i / bins) for i in range(1, bins)]))
     return df.groupBy(*by).agg(F.array_distinct(q).alias("edges"))
 

@@ -76,67 +76,72 @@ def dv_9_11_expected_richness(spark, d):
 @query(f"WITH {SQL_COUNTS}, t AS (SELECT sum(count)::DOUBLE AS n FROM counts GROUP BY campaign, site, position) SELECT greatest(1000, floor(quantile_cont(n, 0.05) / 1000) * 1000)::BIGINT AS depth FROM t")
 def dv_10_rarefaction_depth(spark, d):
     t = counts(spark, d).groupBy(*KEY).agg(F.sum("count").cast("double").alias("n"))
-    return t.agg(F.greatest(F.lit(1000), F.floor(F.percentile("n", F.lit(0.05)) / 1000) * 1000).cast("long").alias("depth"))
+    low = win.global_quantiles(t, "n", [0.05])
+    return spark.range(1).select(F.greatest(F.lit(1000), F.floor(F.lit(low[0] if low else None) / 1000) * 1000).cast("long").alias("depth"))
 
 
-_TINY = f"{SQL_LINES}, tiny AS (SELECT position, kind AS feature, count(*) AS count FROM lines WHERE campaign <= 1996 AND profile <= 12 GROUP BY ALL)"
-_RARE = """reads AS (SELECT position, feature, unnest(generate_series(1, count)) AS read FROM tiny), many AS (SELECT *, draw FROM reads, range(0, 5) r(draw)),
- rare AS (SELECT draw, position, feature, count(*) AS count FROM (SELECT *, row_number() OVER (PARTITION BY position, draw ORDER BY md5(concat_ws('|', '7', draw, position, feature, read)), feature, read) AS place FROM many) WHERE place <= 50 GROUP BY ALL)"""
+_RARE = f"""{_DENSE}, known AS (SELECT site, position, feature, count AS c, (200::DOUBLE + 10 * sqrt(200::DOUBLE) + 20) / sum(count) OVER (PARTITION BY site, position)::DOUBLE AS share FROM dense WHERE count > 0),
+ keyed AS (SELECT *, CASE WHEN share < 1 THEN -ln(1 - share) END AS level, CASE WHEN share < 1 THEN least(c, ceil(c * share + 10 * sqrt(c * share) + 20)::BIGINT) ELSE c END AS keys FROM known),
+ reads AS (SELECT keyed.*, draw, unnest(generate_series(1, keys)) AS read FROM keyed, range(0, 5) r(draw)),
+ drawn AS (SELECT *, sum(-ln((('0x' || substr(md5(concat_ws('|', '7', draw, site, position, feature, read)), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710656::DOUBLE) / (c - read + 1))
+   OVER (PARTITION BY site, position, feature, draw ORDER BY read ROWS UNBOUNDED PRECEDING) AS key FROM reads),
+ rare AS (SELECT draw, site, position, feature, count(*) AS count FROM (SELECT *, row_number() OVER (PARTITION BY site, position, draw ORDER BY key, feature, read) AS place FROM drawn WHERE level IS NULL OR key <= level) WHERE place <= 200 GROUP BY ALL)"""
 
 
-def _tiny(spark, d):
-    t = lines(spark, d).filter("campaign <= 1996 and profile <= 12")
-    return t.groupBy("position", F.col("kind").alias("feature")).agg(F.count("*").alias("count"))
+def _rare(spark, d):
+    return co.rarefied_counts(dense(spark, d), ["site", "position"], "feature", "count", 200, 5, 7)
 
 
-@query(f"WITH {_TINY}, {_RARE} SELECT draw, position, feature, count FROM rare")
+@query(f"WITH {_RARE} SELECT draw, site, position, feature, count FROM rare")
 def dv_12_rarefied_counts(spark, d):
-    return co.rarefied_counts(_tiny(spark, d), ["position"], "feature", "count", 50, 5, 7)
+    return _rare(spark, d)
 
 
-@query(f"WITH {_TINY}, {_RARE}, seen AS (SELECT position, feature FROM rare GROUP BY ALL HAVING count(*) >= 0.5 * 5) SELECT feature, count(*) AS occupancy FROM seen GROUP BY feature HAVING count(*) >= 0.9 * 3")
+@query(f"WITH {_RARE}, seen AS (SELECT site, position, feature FROM rare GROUP BY ALL HAVING count(*) >= 0.5 * 5) SELECT feature, count(*) AS occupancy FROM seen GROUP BY feature HAVING count(*) >= 0.9 * (SELECT count(*) FROM s)")
 def dv_13_core_set(spark, d):
-    rare = co.rarefied_counts(_tiny(spark, d), ["position"], "feature", "count", 50, 5, 7)
-    seen = rare.groupBy("position", "feature").agg(F.count("*").alias("n")).filter("n >= 0.5 * 5")
-    return seen.groupBy("feature").agg(F.count("*").alias("occupancy")).filter("occupancy >= 0.9 * 3")
+    seen = _rare(spark, d).groupBy("site", "position", "feature").agg(F.count("*").alias("n")).filter("n >= 0.5 * 5")
+    units = sites(spark, d).select("site", "position").distinct().agg(F.count(F.lit(1)).alias("units"))
+    core = seen.groupBy("feature").agg(F.count("*").alias("occupancy")).crossJoin(F.broadcast(units))
+    return core.filter("occupancy >= 0.9 * units").select("feature", "occupancy")
 
 
-_VEC = "v AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 60)"
-
-
-def _vec(spark, d, n=60):
-    return table(spark, d, "embeddings").filter(F.col("vec_id") < n)
-
-
-@query(f"WITH {_VEC} SELECT a.vec_id AS i, b.vec_id AS j, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]) ** 2))), 6) AS distance FROM v a JOIN v b ON a.vec_id < b.vec_id")
+@query("SELECT a.vec_id AS i, b.vec_id AS j, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]) ** 2))), 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id")
 def dv_14_euclidean_distances(spark, d):
-    p = rel.pairs(_vec(spark, d), "vec_id", cols=["embedding"])
-    return p.select(F.col("vec_id_i").alias("i"), F.col("vec_id_j").alias("j"), F.round(co.vector_distance(F.col("embedding_i"), F.col("embedding_j")), 6).alias("distance"))
+    """Distances of every fiftieth vector to all others: the whole pair table would grow with the square."""
+    e = table(spark, d, "embeddings")
+    a = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("i"), F.col("embedding").alias("u"))
+    p = e.select(F.col("vec_id").alias("j"), F.col("embedding").alias("v")).join(a, F.col("i") != F.col("j"))
+    return p.select("i", "j", F.round(co.vector_distance(F.col("u"), F.col("v")), 6).alias("distance"))
 
 
-_SITE = f"{SQL_LINES}, m AS (SELECT site, feature, sum(reads)::BIGINT AS count FROM lines WHERE position = 'R' AND campaign < 1997 GROUP BY ALL)"
+_SITE = f"{SQL_LINES}, m AS (SELECT site, feature, sum(reads)::BIGINT AS count FROM lines GROUP BY ALL)"
+#: the same by brand and type, so that features are absent from some sites
+_FINE = f"{SQL_LINES}, m AS (SELECT site, feature || kind AS feature, sum(reads)::BIGINT AS count FROM lines GROUP BY ALL)"
 
 
 def _site(spark, d):
-    t = lines(spark, d).filter("position = 'R' and campaign < 1997")
-    return t.groupBy("site", "feature").agg(F.sum("reads").alias("count"))
+    return lines(spark, d).groupBy("site", "feature").agg(F.sum("reads").alias("count"))
+
+
+def _fine(spark, d):
+    return lines(spark, d).groupBy("site", F.concat("feature", "kind").alias("feature")).agg(F.sum("reads").alias("count"))
 
 
-@query(f"""WITH {_SITE}, t AS (SELECT site, sum(count) AS n FROM m GROUP BY site), s AS (SELECT a.site AS i, b.site AS j, sum(least(a.count, b.count)) AS s FROM m a JOIN m b ON a.feature = b.feature AND a.site < b.site GROUP BY ALL),
+@query(f"""WITH {_FINE}, t AS (SELECT site, sum(count) AS n FROM m GROUP BY site), s AS (SELECT a.site AS i, b.site AS j, sum(least(a.count, b.count)) AS s FROM m a JOIN m b ON a.feature = b.feature AND a.site < b.site GROUP BY ALL),
   g AS (SELECT a.site AS i, b.site AS j, a.n AS ti, b.n AS tj, coalesce(s, 0) AS s FROM t a JOIN t b ON a.site < b.site LEFT JOIN s ON s.i = a.site AND s.j = b.site),
   h AS (SELECT i, j, 1 - 2 * s / (ti + tj) AS bray, coalesce(least(ti - s, tj - s) / nullif(s + least(ti - s, tj - s), 0), 0) AS balanced FROM g)
   SELECT i, j, round(bray, 9) AS bray, round(balanced, 9) AS balanced, round(bray - balanced, 9) AS gradient FROM h""")
 def dv_15_16_bray_curtis(spark, d):
-    b = co.bray_curtis(_site(spark, d), "site", "feature", "count")
+    b = co.bray_curtis(_fine(spark, d), "site", "feature", "count")
     return b.select("i", "j", *[F.round(c, 9).alias(c) for c in ("bray", "balanced", "gradient")])
 
 
-@query(f"""WITH {_SITE}, t AS (SELECT site, count(*) AS n FROM m GROUP BY site), s AS (SELECT a.site AS i, b.site AS j, count(*) AS s FROM m a JOIN m b ON a.feature = b.feature AND a.site < b.site GROUP BY ALL),
+@query(f"""WITH {_FINE}, t AS (SELECT site, count(*) AS n FROM m GROUP BY site), s AS (SELECT a.site AS i, b.site AS j, count(*) AS s FROM m a JOIN m b ON a.feature = b.feature AND a.site < b.site GROUP BY ALL),
   g AS (SELECT a.site AS i, b.site AS j, a.n - coalesce(s, 0) AS p, b.n - coalesce(s, 0) AS q, coalesce(s, 0) AS s FROM t a JOIN t b ON a.site < b.site LEFT JOIN s ON s.i = a.site AND s.j = b.site),
   h AS (SELECT i, j, coalesce((p + q) / nullif(2 * s + p + q, 0), 0) AS w, coalesce(least(p, q) / nullif(s + least(p, q), 0), 0) AS t FROM g)
   SELECT i, j, round(w, 9) AS sorensen, round(t, 9) AS turnover, round(w - t, 9) AS nestedness FROM h""")
 def dv_17_sorensen(spark, d):
-    b = co.sorensen(_site(spark, d), "site", "feature")
+    b = co.sorensen(_fine(spark, d), "site", "feature")
     return b.select("i", "j", *[F.round(c, 9).alias(c) for c in ("sorensen", "turnover", "nestedness")])
 
 

@@ -65,11 +65,18 @@ def ss_7_8_scan_statistics(spark, d):
     )
 
 
-@query(None)
+#: each term's residual on the others gives its coefficient and its part of the sandwich
+@query("""WITH d AS (SELECT l_suppkey AS g, l_discount AS a, l_tax AS b, l_quantity AS y FROM lineitem), m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, covar_pop(a, a) AS aa, covar_pop(b, b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb,
+    sum(a * a) AS qaa, sum(b * b) AS qbb, sum(a * b) AS qab, sum(a) AS ta, sum(b) AS tb, count(*) AS n, count(DISTINCT g) AS groups FROM d),
+  f AS (SELECT *, (bb * ay - ab * yb) / (aa * bb - ab * ab) AS ba, (aa * yb - ab * ay) / (aa * bb - ab * ab) AS bt FROM m), e AS (SELECT d.*, f.*, y - my - ba * (a - ma) - bt * (b - mb) AS e FROM d, f),
+  r AS (SELECT g, n, groups, e, 'intercept' AS term, my - ba * ma - bt * mb AS beta, 1 - (qbb * ta - qab * tb) / (qaa * qbb - qab * qab) * a - (qaa * tb - qab * ta) / (qaa * qbb - qab * qab) * b AS r FROM e
+    UNION ALL SELECT g, n, groups, e, 'l_discount', ba, (a - ma) - ab / bb * (b - mb) FROM e UNION ALL SELECT g, n, groups, e, 'l_tax', bt, (b - mb) - ab / aa * (a - ma) FROM e),
+  c AS (SELECT term, any_value(beta) AS beta, any_value(n) AS n, any_value(groups) AS groups, g, sum(r * e) AS u, sum(r * r) AS rr FROM r GROUP BY term, g)
+  SELECT term, round(any_value(beta), 6) AS beta, round(sqrt(sum(u * u) * any_value(groups) / (any_value(groups) - 1) * (any_value(n) - 1) / (any_value(n) - 3)) / sum(rr), 6) AS se FROM c GROUP BY term""")
 def ss_6_ols_cluster_robust(spark, d):
     fit = st.ols(table(spark, d, "lineitem"), "l_quantity", ["l_discount", "l_tax"], cluster="l_suppkey")
     rows = [(t, float(b), float(s)) for t, b, s in zip(["intercept", "l_discount", "l_tax"], fit["beta"], fit["se"])]
-    return spark.createDataFrame(rows, "term string, beta double, se double")
+    return spark.createDataFrame(rows, "term string, beta double, se double").select("term", F.round("beta", 6).alias("beta"), F.round("se", 6).alias("se"))
 
 
 @query("SELECT round(regr_intercept(l_quantity, l_discount), 6) AS intercept, round(regr_slope(l_quantity, l_discount), 6) AS slope FROM lineitem")
@@ -292,12 +299,12 @@ def ss_37_profile_concordance(spark, d):
 
 
 _H = "('0x' || substr(md5(concat_ws('|', {0})), 1, 8))::BIGINT"
-_UNITS = "units AS (SELECT n_nationkey AS unit, (n_nationkey * 7 % 11 - 4)::DOUBLE AS v, n_regionkey AS region FROM nation)"
+#: units are customers, in strata by nation
+_UNITS = "units AS (SELECT c_custkey AS unit, c_acctbal - 4400::DOUBLE AS v, c_nationkey AS region FROM customer)"
 
 
 def _units(spark, d):
-    k = F.col("n_nationkey")
-    return table(spark, d, "nation").select(k.alias("unit"), (k * 7 % 11 - 4).cast("double").alias("v"), F.col("n_regionkey").alias("region"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("unit"), (F.col("c_acctbal") - 4400.0).alias("v"), F.col("c_nationkey").alias("region"))
 
 
 @query(f"""WITH {_UNITS}, r AS (SELECT row_number() OVER (ORDER BY unit) - 1 AS i, v FROM units), n AS (SELECT count(*) AS n FROM units), p AS (SELECT draw, {_H.format("'11', draw, i")} % n AS i FROM r, range(0, 99) d(draw), n),
@@ -309,10 +316,16 @@ def rm_1_bootstrap_mean(spark, d):
 
 
 @query(f"""WITH {_UNITS}, b AS (SELECT region, sum(v) AS s, count(*) AS c FROM units GROUP BY region), r AS (SELECT row_number() OVER (ORDER BY region) - 1 AS i, s, c FROM b), n AS (SELECT count(*) AS n FROM b),
-  p AS (SELECT draw, {_H.format("'12', draw, i")} % n AS i FROM r, range(0, 99) d(draw), n) SELECT draw, sum(s)::DOUBLE AS s, sum(c)::BIGINT AS c FROM p JOIN r USING (i) GROUP BY draw""")
+  p AS (SELECT draw, {_H.format("'12', draw, i")} % n AS i FROM r, range(0, 99) d(draw), n) SELECT draw, round(sum(s), 4) AS s, sum(c)::BIGINT AS c FROM p JOIN r USING (i) GROUP BY draw""")
 def rm_2_block_bootstrap(spark, d):
     b = _units(spark, d).groupBy("region").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
-    return rs.block_bootstrap(b, "region", ["s", "c"], 99, 12)
+    return rs.block_bootstrap(b, "region", ["s", "c"], 99, 12).withColumn("s", F.round("s", 4))
+
+
+@query(f"""WITH p AS (SELECT draw, value, {' + '.join(f"(u >= {c!r}::DOUBLE)::INT" for c in rs.POISSON)} AS m FROM (SELECT draw, value, {_H.format("'18', draw, event_id")} / 4294967296::DOUBLE AS u FROM events, range(0, 20) d(draw)))
+  SELECT draw, round(sum(m * value) / sum(m), 6) AS mean FROM p GROUP BY draw""")
+def rm_1_poisson_bootstrap(spark, d):
+    return rs.poisson_means(table(spark, d, "events"), "event_id", "value", 20, 18).select("draw", F.round("mean", 6).alias("mean"))
 
 
 @query(f"""WITH {_UNITS}, f AS (SELECT draw, avg(CASE WHEN {_H.format("'13', draw, unit")} % 2 = 0 THEN v ELSE -v END) AS m FROM units, range(0, 99) d(draw) GROUP BY draw), o AS (SELECT abs(avg(v)) AS o FROM units)
@@ -359,23 +372,42 @@ def rm_7_circular_shift(spark, d):
     return rs.circular_shift(c, ["conv_id"], "turn", "v", 3, 17)
 
 
-@query(f"""WITH {_UNITS}, t AS (SELECT unit, v, lag FROM units, range(1, 5) r(lag)), s AS (SELECT a.lag, corr(a.v, b.v) AS r FROM t a JOIN units b ON b.unit = (a.unit + a.lag * 3) % 25 GROUP BY a.lag) SELECT lag, round(r, 6) AS r, round(max(abs(r)) OVER (), 6) AS largest FROM s""")
-def rm_8_shift_max_statistic(spark, d):
-    u = _units(spark, d)
-    shifts = u.sparkSession.range(1, 5).select(F.col("id").alias("lag"))
-    a = u.crossJoin(F.broadcast(shifts)).withColumn("to", (F.col("unit") + F.col("lag") * 3) % 25)
-    b = u.select(F.col("unit").alias("to"), F.col("v").alias("w"))
-    s = a.join(b, "to").groupBy("lag").agg(F.corr("v", "w").alias("r"))
-    return s.select("lag", F.round("r", 6).alias("r"), F.round(F.max(F.abs("r")).over(win.over([])), 6).alias("largest"))
+#: monthly orders and revenue of each nation; the null shifts each nation's revenue by its own draw
+_MONTHS = """raw AS (SELECT c_nationkey AS g, year(o_orderdate) * 12 + month(o_orderdate) AS t, count(*)::DOUBLE AS y, sum(o_totalprice) AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+ s AS (SELECT g, t - (SELECT min(t) FROM raw) AS t, y, x FROM raw), size AS (SELECT max(t) + 1 AS n FROM s)"""
 
 
-@query("""WITH o(pos, v) AS (VALUES (0, 9), (1, 9), (2, 7), (3, 6), (4, 5), (5, 4)), s AS (SELECT shift, sum(v * (pos + shift) % 6) AS stat FROM o, range(0, 6) r(shift) GROUP BY shift)
-  SELECT shift, round((SELECT avg((b.stat >= a.stat - 1e-12)::INT) FROM s b), 9) AS p FROM s a""")
+@query(f"""WITH {_MONTHS}, o AS (SELECT lag, corr(a.y, b.x) AS r FROM s a JOIN range(0, 4) l(lag) ON true JOIN size ON true JOIN s b ON b.g = a.g AND b.t = (a.t + lag) % n GROUP BY lag),
+  k AS (SELECT draw, lag, corr(a.y, b.x) AS r FROM s a JOIN range(0, 4) l(lag) ON true JOIN range(0, 19) e(draw) ON true JOIN size ON true JOIN s b ON b.g = a.g AND b.t = (a.t + lag + {_H.format("'19', draw, a.g")}) % n GROUP BY draw, lag),
+  m AS (SELECT draw, max(abs(r)) AS top FROM k GROUP BY draw) SELECT lag, round(r, 6) AS r, round((1 + (SELECT count(*) FROM m WHERE top >= abs(r) - 1e-12)) / (1 + (SELECT count(*) FROM m)), 6) AS p FROM o""")
+def rm_8_shift_max_statistic(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    raw = o.groupBy(F.col("c_nationkey").alias("g"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("t")).agg(F.count("*").cast("double").alias("y"), F.sum("o_totalprice").alias("x"))
+    span = raw.agg(F.min("t").alias("low"), (F.max("t") - F.min("t") + 1).alias("n"))
+    s = raw.crossJoin(F.broadcast(span)).withColumn("t", F.col("t") - F.col("low"))
+    b = s.select(F.col("g").alias("h"), F.col("t").alias("to"), F.col("x").alias("w"))
+    lags = spark.range(4).select(F.col("id").alias("lag"))
+    # draw -1 is the data, the others move every nation's series by the nation's own shift
+    many = s.crossJoin(F.broadcast(lags.crossJoin(spark.range(-1, 19).select(F.col("id").alias("draw")))))
+    shift = F.when(F.col("draw") < 0, 0).otherwise(rs.hash_draw(19, "draw", "g"))
+    a = many.withColumn("at", ((F.col("t") + F.col("lag") + shift) % F.col("n")).cast("int"))
+    r = a.join(b, (F.col("g") == F.col("h")) & (F.col("at") == F.col("to"))).groupBy("draw", "lag").agg(F.corr("y", "w").alias("r"))
+    top = r.filter("draw >= 0").groupBy("draw").agg(F.max(F.abs("r")).alias("top"))
+    seen = r.filter("draw < 0").select("lag", "r")
+    hits = F.count_if(F.col("top") >= F.abs("r") - 1e-12)
+    p = seen.crossJoin(F.broadcast(top)).groupBy("lag", "r").agg(((1 + hits) / (1 + F.count(F.lit(1)))).alias("p"))
+    return p.select("lag", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"))
+
+
+@query("""WITH o AS (SELECT month(o_orderdate) - 1 AS pos, count(*) AS v FROM orders GROUP BY 1), s AS (SELECT turn, shift, sum(v * ((turn * pos + shift + 12) % 12)) AS stat FROM o, range(0, 12) r(shift), (VALUES (1), (-1)) t(turn) GROUP BY turn, shift)
+  SELECT turn::BIGINT AS turn, shift, round((SELECT avg((b.stat >= a.stat - 1e-12)::INT) FROM s b), 9) AS p FROM s a""")
 def rm_9_orbit_null(spark, d):
-    o = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in (9, 9, 7, 6, 5, 4)])).alias("pos", "v"))
-    s = o.crossJoin(spark.range(6).select(F.col("id").alias("shift"))).groupBy("shift").agg(F.sum(F.col("v") * (F.col("pos") + F.col("shift")) % 6).alias("stat"))
+    """All shifts and reflections of the calendar: the orbit is listed whole, so nothing is drawn."""
+    o = table(spark, d, "orders").groupBy((F.month("o_orderdate") - 1).alias("pos")).agg(F.count("*").alias("v"))
+    orbit = spark.range(12).select(F.col("id").alias("shift"), F.explode(F.array(F.lit(1).cast("long"), F.lit(-1).cast("long"))).alias("turn"))
+    s = o.crossJoin(F.broadcast(orbit)).groupBy("turn", "shift").agg(F.sum(F.col("v") * ((F.col("turn") * F.col("pos") + F.col("shift") + 12) % 12)).alias("stat"))
     null = s.select(F.col("stat").alias("null"))
-    return s.crossJoin(F.broadcast(null)).groupBy("shift").agg(F.round(F.avg((F.col("null") >= F.col("stat") - 1e-12).cast("int")), 9).alias("p"))
+    return s.crossJoin(F.broadcast(null)).groupBy("turn", "shift").agg(F.round(F.avg((F.col("null") >= F.col("stat") - 1e-12).cast("int")), 9).alias("p"))
 
 
 @query(f"WITH {SQL_SITES} SELECT o.site AS omitted, round(avg(s.count), 6) AS mean FROM (SELECT DISTINCT site FROM sites) o JOIN sites s ON s.site <> o.site GROUP BY o.site")

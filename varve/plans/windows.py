@@ -45,11 +45,11 @@ def wn_6_average_rank(spark, d):
     return _cell(spark, d).select("campaign", "site", "position", win.average_rank("v", ["campaign"]).alias("rank"))
 
 
-_P = "p AS (SELECT event_id, event_type, CASE WHEN event_id % 17 = 0 THEN NULL ELSE (event_id * 7919 % 1009) / 1009.0::DOUBLE END AS p FROM events WHERE event_id < 2000)"
+_P = "p AS (SELECT event_id, event_type, CASE WHEN event_id % 17 = 0 THEN NULL ELSE (event_id * 7919 % 1009) / 1009.0::DOUBLE END AS p FROM events)"
 
 
 def _p(spark, d):
-    ev = table(spark, d, "events").filter("event_id < 2000")
+    ev = table(spark, d, "events")
     return ev.select("event_id", "event_type", F.when(F.col("event_id") % 17 != 0, (F.col("event_id") * 7919 % 1009) / 1009.0).alias("p"))
 
 
@@ -160,6 +160,19 @@ def cx_2_date_profile(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count("*").alias("n"))
 
 
+_PLACEBO = {"future": (-30, -1), "remote": (180, 365)}
+
+
+@query(
+    f"WITH {SQL_DAILY} SELECT visit, "
+    + ", ".join(f"round(coalesce(sum(mm) FILTER (WHERE date_diff('day', d.date, v.date) BETWEEN {a} AND {b}), 0), 6) AS {k}" for k, (a, b) in _PLACEBO.items())
+    + " FROM visits v LEFT JOIN daily d ON v.site = d.site GROUP BY visit"
+)
+def rm_13_placebo_exposures(spark, d):
+    df = ex.interval_sums(visits(spark, d), daily(spark, d), ["visit"], "site", "date", "mm", _PLACEBO)
+    return df.select("visit", *[F.round(k, 6).alias(k) for k in _PLACEBO])
+
+
 @query(f"WITH {SQL_LINES}, m AS (SELECT site, count(DISTINCT campaign) AS n FROM lines GROUP BY site) SELECT count(*) AS sites, min(n) AS least, max(n) AS most, count(DISTINCT n) = 1 AS balanced FROM m")
 def cx_3_balanced_panel(spark, d):
     m = lines(spark, d).groupBy("site").agg(F.countDistinct("campaign").alias("n"))

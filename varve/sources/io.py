@@ -46,10 +46,19 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def read_collection(spark: SparkSession, folder: str, pattern: str = "*.tsv") -> DataFrame:
-    """One table from many files of one shape, with the file's stem as ``sample``."""
+def read_collection(spark: SparkSession, folder: str, pattern: str = "*.tsv", by_folder: bool = False) -> DataFrame:
+    """One table from many files of one shape, with the file's stem, or its folder's name, as ``sample``."""
     df = read_tsv(spark, f"{folder}/{pattern}")
-    return df.withColumn("sample", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[A-Za-z]+)*$", 1))
+    name = r"([^/]+)/[^/]*$" if by_folder else r"([^/]+?)(\.[A-Za-z]+)*$"
+    return df.withColumn("sample", F.regexp_extract(F.input_file_name(), name, 1))
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes one small file where Spark's readers find it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(content))
+    out.close()
 
 
 def require_one_each(df: DataFrame, key: str, wanted: Sequence) -> DataFrame:
@@ -118,8 +127,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unpinned(files: DataFrame, lock: DataFrame) -> DataFrame:
-    """Locked files that are missing, empty or of another hash; ``lock`` has (path, sha256)."""
+    """Locked files that are missing (or empty, which Spark's readers skip) or of another hash; ``lock`` has (path, sha256)."""
     have = files.select(F.col("path").alias("__p"), "length", F.col("sha256").alias("__h"))
     df = lock.join(have, F.col("path") == F.col("__p"), "left")
-    why = F.when(F.col("__p").isNull(), "missing").when(F.col("length") == 0, "empty").when(F.col("__h") != F.col("sha256"), "changed")
+    why = F.when(F.col("__p").isNull(), "missing").when(F.col("__h") != F.col("sha256"), "changed")
     return df.select("path", why.alias("violation")).filter("violation is not null")

@@ -30,7 +30,7 @@ def query(sql: str | None):
 
 def _row(spark, **values):
     """One row of rounded numbers and labels."""
-    return spark.range(1).select(*[(F.round(F.lit(float(v)), 6) if isinstance(v, float) else F.lit(v)).alias(k) for k, v in values.items()])
+    return spark.range(1).select(*[(F.lit(round(v, 6) + 0.0) if isinstance(v, float) else F.lit(v)).alias(k) for k, v in values.items()])
 
 
 _R = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE"
@@ -148,7 +148,7 @@ def ss_13_cx_12_25_nested_model(spark, d):
 @query("""WITH c AS (SELECT l_extendedprice - avg(l_extendedprice) OVER () AS y, l_quantity - avg(l_quantity) OVER () AS p, (l_partkey % 97)::DOUBLE - avg((l_partkey % 97)::DOUBLE) OVER () AS g, l_tax - avg(l_tax) OVER () AS t FROM lineitem), b AS (SELECT sum(y * t) / sum(t * t) AS ty, sum(p * t) / sum(t * t) AS bp, sum(g * t) / sum(t * t) AS bg FROM c),
   r AS (SELECT y - ty * t AS y, p - bp * t AS p, g - bg * t AS g FROM c, b), s AS (SELECT sum(y * y) AS yy, sum(p * p) AS pp, sum(g * g) AS gg, sum(p * g) AS pg, sum(p * y) AS py, sum(g * y) AS gy FROM r),
   e AS (SELECT yy AS n, yy - py * py / pp AS p, yy - gy * gy / gg AS g, yy - (gg * py * py - 2 * pg * py * gy + pp * gy * gy) / (pp * gg - pg * pg) AS pg FROM s)
-  SELECT round((g - pg) / n, 6) AS unique_first, round((p - pg) / n, 6) AS unique_second, round((n - p - g + pg) / n, 6) AS shared, round(pg / n, 6) AS unexplained FROM e""")
+  SELECT round((g - pg) / n, 6) + 0.0::DOUBLE AS unique_first, round((p - pg) / n, 6) + 0.0::DOUBLE AS unique_second, round((n - p - g + pg) / n, 6) + 0.0::DOUBLE AS shared, round(pg / n, 6) AS unexplained FROM e""")
 def ss_30_variance_partition(spark, d):
     df = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("p"), (F.col("l_partkey") % 97).cast("double").alias("g"), F.col("l_tax").alias("n"))
     return _row(spark, **li.variance_partition(df, "y", ["p"], ["g"], ["n"]))

@@ -2,25 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local session, whose executors are the driver, may do without: it gets
-    a temporary folder.  A cluster that names none is refused, since its executors
-    would write to disks that nobody else can read.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="varve-shared-")
+from varve.session import shared_folder
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -2,16 +2,19 @@
 
 Spans come from ``split`` and ``regexp_extract_all`` with one pattern: the
 pieces between matches and the matches alternate, so running lengths give code
-point offsets without user functions.  Candidate values are hashed and counted
-by distinct repositories and owners over the whole corpus: a value that many
-owners carry is a copied example, one that stays with few owners looks live.
-Counting is two grouped aggregations with partial sums, and verdicts return
-over the distinct candidate lists, so a value pasted into a third of all
-documents costs one row in each map task.
+point offsets without user functions; every pattern looks at a character a bounded
+number of times.  Candidate values are hashed and counted by distinct owners and
+repositories over the whole corpus.  A value that ``example_owners`` owners or
+``example_repositories`` repositories carry is a copied example, wherever it
+stands; one that stays with few looks live, and ``live_spans`` names its spans.
+Counting is grouped aggregation with partial sums, and verdicts return over the
+distinct candidate lists, so a value pasted into a third of all documents costs
+one row in each map task.
 
 Edge cases: a null text is empty; a document without candidates keeps empty
 spans and zero counts; repeated rows count once for a repository; a null owner
-is an owner of its own; columns beyond those named are ignored.
+or repository is one of its own; columns beyond those named are ignored, and pass
+through ``redacted`` whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,16 +25,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.durable import durable
+from varve.llm.words import let, member, running, unused
 
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern; the group that holds the secret value and the least length of that group."""
+    """A pattern; the group that holds the secret value and the least length of that group.
+
+    A ``bare`` kind's pattern begins with one character outside its run, so that a
+    run is entered once; its span is the value alone.
+    """
 
     name: str
     pattern: str
     group: int = 0
     least: int = 1
+    bare: bool = False
 
 
 #: The base kinds, in the order in which equal starts are listed.
@@ -50,41 +59,40 @@ BASE = (
 MORE = (
     Kind("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     Kind("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
-    Kind("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 28),
+    Kind("jwt", "[^A-Za-z0-9_-](eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,})", 1, 28, True),
     Kind("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
 )
-#: A value that at least so many owners carry is a copied example.
+#: A value that at least so many owners, or so many repositories, carry is a copied example.
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 50
 SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
-
-
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), 0)
+CHUNK = 256
 
 
 def kind_spans(text: Column, kind: Kind, rank: int) -> Column:
     """Spans of one kind as an array of structs; matches whose group is too short are dropped."""
-    pattern = F.lit(kind.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    value = F.regexp_extract_all(text, pattern, F.lit(kind.group)) if kind.group else whole
-    pieces = F.split(text, kind.pattern, -1)
-
-    def build(p: Column, m: Column, v: Column) -> Column:
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(p, i))
-            end = start + F.length(F.get(m, i))
-            one = F.struct(
-                start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), F.get(v, i).alias("value")
+    body = F.concat(F.lit("\n"), text) if kind.bare else text
+    whole = F.regexp_extract_all(body, F.lit(kind.pattern), F.lit(0))
+    value = F.regexp_extract_all(body, F.lit(kind.pattern), F.lit(kind.group)) if kind.group else whole
+    pieces = F.split(body, kind.pattern, -1)
+
+    def build(m: Column, v: Column, ends: Column) -> Column:
+        def one(end: Column, i: Column) -> Column:
+            start = end - F.length(F.get(v if kind.bare else m, i))
+            shift = 1 if kind.bare else 0
+            return F.struct(
+                (start - shift).alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (end - shift).alias("end"), F.get(v, i).alias("value")
             )
-            kept = F.when(F.length(F.get(v, i)) >= kind.least, F.array(one)).otherwise(F.array().cast(SPAN))
-            return F.struct(end.alias("at"), F.concat(acc["out"], kept).cast(SPAN).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step)["out"]
+        return F.filter(F.transform(ends, one), lambda s: F.length(s["value"]) >= kind.least).cast(SPAN)
+
+    def ends(p: Column, m: Column) -> Column:
+        steps = F.transform(m, lambda x, i: (F.length(x) + F.length(F.get(p, i))).cast("long"))
+        return running(steps, lambda x, before: x + F.coalesce(before, F.lit(0).cast("long")))
 
-    found = _let(F.struct(pieces.alias("p"), whole.alias("m"), value.alias("v")), lambda s: build(s["p"], s["m"], s["v"]))
-    return F.when(text.rlike(kind.pattern), found).otherwise(F.array().cast(SPAN))
+    found = F.struct(pieces.alias("p"), whole.alias("m"), value.alias("v"))
+    found = let(found, lambda s: let(ends(s["p"], s["m"]), lambda e: build(s["m"], s["v"], e)))
+    return F.when(body.rlike(kind.pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def spans(text: Column, kinds=BASE + MORE) -> Column:
@@ -112,43 +120,50 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """One row for each distinct value hash: how many owners and repositories carry it."""
-    value = F.explode(F.array_distinct(F.transform("found", lambda s: s["value"])))
-    each = scanned.filter(F.size("found") > 0).select("owner", "repository", value.alias("value"))
-    each = each.select("owner", "repository", F.xxhash64("value").alias("value_hash"))
-    once = each.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n"))
-    by_owner = once.groupBy("value_hash", "owner").agg(F.count("*").alias("n_repositories"))
-    return by_owner.groupBy("value_hash").agg(
-        F.count("*").alias("n_owners"), F.sum("n_repositories").alias("n_repositories")
-    )
-
-
-def judged(docs: DataFrame, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """``scan`` with ``live`` and ``example``: the value hashes of either verdict in each document."""
+    """One row for each distinct value hash: how many owners and how many repositories carry it."""
+    value = F.explode(F.array_distinct(F.transform("found", lambda s: F.xxhash64(s["value"]))))
+    each = scanned.filter(F.size("found") > 0).select("owner", "repository", value.alias("value_hash"))
+    n = F.count(F.lit(1))
+    owners = each.select("value_hash", "owner").distinct().groupBy("value_hash").agg(n.alias("n_owners"))
+    repositories = each.select("value_hash", "repository").distinct().groupBy("value_hash").agg(n.alias("n_repositories"))
+    return owners.join(repositories, "value_hash")
+
+
+def judged(
+    docs: DataFrame, owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES
+) -> DataFrame:
+    """``scan`` with ``live`` and ``example``: the value hashes of either verdict in each document, in order."""
     base = durable(scan(docs, owner, repository))
     hashes = F.array_sort(F.array_distinct(F.transform("found", lambda s: F.xxhash64(s["value"]))))
     some = base.filter(F.size("found") > 0).withColumn("values", hashes).withColumn("list_id", F.xxhash64("values"))
     lists = some.groupBy("list_id").agg(F.min("values").alias("values"))
     seen = lists.select("list_id", F.explode("values").alias("value_hash"))
-    counts = ownership(base).select(F.col("value_hash").alias("h"), (F.col("n_owners") >= example_owners).alias("shared"))
+    shared = (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories)
+    counts = ownership(base).select(F.col("value_hash").alias("h"), shared.alias("shared"))
     verdicts = (
         seen.join(counts, F.xxhash64("value_hash", F.lit(1)) == F.xxhash64("h", F.lit(1)))
+        .filter(F.col("value_hash") == F.col("h"))
         .groupBy("list_id")
         .agg(
-            F.collect_list(F.when(~F.col("shared"), F.col("value_hash"))).alias("live"),
-            F.collect_list(F.when(F.col("shared"), F.col("value_hash"))).alias("example"),
+            F.array_sort(F.collect_list(F.when(~F.col("shared"), F.col("value_hash")))).alias("live"),
+            F.array_sort(F.collect_list(F.when(F.col("shared"), F.col("value_hash")))).alias("example"),
         )
         .select(F.col("list_id").alias("l"), "live", "example")
     )
-    some = some.join(verdicts, F.xxhash64("list_id", F.lit(1)) == F.xxhash64("l", F.lit(1)))
+    some = some.join(verdicts, (F.xxhash64("list_id", F.lit(1)) == F.xxhash64("l", F.lit(1))) & (F.col("list_id") == F.col("l")))
     none = F.array().cast("array<bigint>")
     rest = base.filter(F.size("found") == 0).withColumns({"live": none, "example": none})
     cols = ["doc_id", "owner", "repository", "text_hash", "found", "live", "example"]
     return some.select(*cols).unionByName(rest.select(*cols))
 
 
+def live_spans(found: Column, live: Column) -> Column:
+    """The spans whose value looks live."""
+    return F.filter(found, lambda s: member(live, F.xxhash64(s["value"])))
+
+
 def digest(judgements: DataFrame) -> DataFrame:
-    """Counts, the hash of the base spans and all spans of every document."""
+    """Counts, the hash of the base spans, all spans and those that look live, of every document."""
     n = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("found", lambda s: s["rank"] < len(BASE))
     return judgements.select(
@@ -156,11 +171,41 @@ def digest(judgements: DataFrame) -> DataFrame:
         *[n(k.name).alias(f"n_{k.name}") for k in BASE],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
+        joined(live_spans(F.col("found"), F.col("live"))).alias("live_spans"),
         F.size("live").cast("long").alias("n_live"),
         F.size("example").cast("long").alias("n_example"),
     )
 
 
+def masked(body: Column, hits: Column, mask: str) -> Column:
+    """``body`` with the values of spans replaced; spans that touch are one.
+
+    The text is cut into chunks once, and what lies between two values is put
+    together from those it crosses, so the work goes with the text and the spans.
+    """
+
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        first, last = (a % CHUNK).cast("int"), (b % CHUNK).cast("int")
+        at = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+        apart = F.concat(F.substring(at(i), first + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, j - i - 1), ""), F.substring(at(j), F.lit(1), last))
+        return F.when(i == j, F.substring(at(i), first + 1, last - first)).otherwise(apart)
+
+    def build(s: Column) -> Column:
+        before = lambda k: F.coalesce(F.get(s["ends"], k - 1), F.lit(0).cast("long"))
+
+        def part(h: Column, k: Column) -> Column:
+            start = h["end"] - F.length(h["value"])
+            return F.when(start >= before(k), F.concat(between(s["chunks"], before(k), start), F.lit(mask))).otherwise(F.lit(""))
+
+        tail = between(s["chunks"], before(F.size(s["ends"])), F.length(s["body"]).cast("long"))
+        return F.concat(F.array_join(F.transform(s["hits"], part), ""), tail)
+
+    known = F.struct(body.alias("body"), hits.alias("hits"), F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks"))
+    ends = lambda h: running(F.transform(h, lambda x: x["end"]), lambda x, before: F.greatest(x, before))
+    return let(known, lambda s: let(F.struct(s["body"].alias("body"), s["hits"].alias("hits"), s["chunks"].alias("chunks"), ends(s["hits"]).alias("ends")), build))
+
+
 def redacted(docs: DataFrame, mask: str = "<secret>", **settings) -> DataFrame:
     """``docs`` with the values of live-looking spans replaced; other documents as they came.
 
@@ -168,27 +213,13 @@ def redacted(docs: DataFrame, mask: str = "<secret>", **settings) -> DataFrame:
     brought up to date where the input has it.
     """
     text = F.coalesce("text", F.lit(""))
+    found, key, k = unused(docs.columns, "__found", "__key", "__k")
     verdicts = judged(docs, **settings).filter(F.size("live") > 0)
-    keys = verdicts.groupBy("doc_id", "text_hash").agg(F.min("found").alias("__s_found"), F.flatten(F.collect_set("live")).alias("__s_live"))
-    keys = keys.withColumn("__s_key", F.xxhash64("doc_id", "text_hash")).drop("doc_id", "text_hash")
-    df = docs.withColumn("__s_k", F.xxhash64("doc_id", F.xxhash64(text)))
-    df = df.join(keys, F.col("__s_k") == F.col("__s_key"), "left")
-    hit = F.filter("__s_found", lambda s: F.array_contains(F.col("__s_live"), F.xxhash64(s["value"])))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    body = F.col("__s_body")
-
-    def step(acc: Column, s: Column) -> Column:
-        start = s["end"] - F.length(s["value"])
-        fresh = start >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), (start - acc["at"]).cast("int")), F.lit(mask)))
-            .otherwise(acc["out"])
-            .alias("out"),
-        )
-
-    done = F.aggregate(hit, zero, step, lambda a: F.concat(a["out"], F.substring(body, (a["at"] + 1).cast("int"), F.length(body))))
-    df = df.withColumn("__s_body", text).withColumn("text", F.when(F.col("__s_found").isNotNull(), done).otherwise(F.col("text")))
+    keys = verdicts.select(F.xxhash64("doc_id", "text_hash").alias(key), live_spans(F.col("found"), F.col("live")).alias(found))
+    keys = keys.groupBy(key).agg(F.min(found).alias(found))
+    df = docs.withColumn(k, F.xxhash64("doc_id", F.xxhash64(text))).join(keys, F.col(k) == F.col(key), "left")
+    new = {"text": F.when(F.col(found).isNotNull(), masked(text, F.col(found), mask)).otherwise(F.col("text"))}
+    df = df.withColumns(new)
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("__s_found").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        df = df.withColumn("n_chars", F.when(F.col(found).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return df.select(*[f"`{c}`" for c in docs.columns])

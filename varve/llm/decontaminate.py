@@ -5,14 +5,16 @@ and four fifths of its items' words, which lets document windows advance by a
 stride while every item is indexed at all its offsets: a passage that contains
 an item is met at three aligned windows or more.  Windows are fingerprinted by
 the words in them (one unchanged word more or less moves few bits), and a
-multi-index over eight blocks of eight bits finds every indexed fingerprint
-within seven bits, since two that differ in seven bits agree on a block.  Each
+multi-index over four blocks of 16 bits finds every indexed fingerprint within
+seven bits: of two that differ in seven, one block differs in one bit at most, and
+each block is looked up at its own value and at the 16 beside it.  Each
 hit is verified at its alignment: the share of the item's five-word shingles,
 each weighed by one over the number of items that hold it and counted as often
 as it occurs, that the passage and a small margin contain.
 
-Items are a stated query set: they are read in blocks of ITEM_BLOCK, and one
-block's index is broadcast at a time.  Documents are never shuffled.
+Items are a stated query set: they are read in blocks of at most INDEX_BYTES of
+text, each block's index (some 200 bytes a word at most) is a broadcast of its
+own, and documents are scanned once for each block.  Documents are never shuffled.
 
 Edge cases: null and blank texts match nothing, as do null and blank items;
 items under five words have their whole sequence as one shingle; repeated items
@@ -22,7 +24,6 @@ and repeated documents are matched row by row; extra columns pass through
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +36,14 @@ from varve.llm.kernels import shingles, text_slices, word_hashes, words
 SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 7
-BLOCKS = 8
-ITEM_BLOCK = 20_000
+BLOCKS = 4
+INDEX_BYTES = 2 << 20
 SMALL = 8
 #: words whose running bit counts are held at a time
 PIECE = 1 << 18
+#: candidates compared at a time
+CANDIDATES = 1 << 20
+_BESIDE = np.array([0, *[1 << b for b in range(16)]], np.uint16)
 
 
 def window_size(n: int) -> int:
@@ -72,7 +76,8 @@ class ItemIndex:
     """The items' window fingerprints by class, their multi-index and their weighted shingles."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.lengths, self.bags = [], [], []
+        self.ids, self.lengths = [], []
+        bags: list[tuple[np.ndarray, np.ndarray]] = []
         prints: dict[int, list] = {}
         for item_id, text in items:
             buf = np.frombuffer((text or "").encode(), np.uint8)
@@ -84,20 +89,25 @@ class ItemIndex:
             k, size = len(self.ids), window_size(len(h))
             self.ids.append(item_id)
             self.lengths.append(len(h))
-            self.bags.append(Counter(s[: max(1, len(h) - SHINGLE + 1)].tolist()))
+            bags.append(np.unique(s[: max(1, len(h) - SHINGLE + 1)], return_counts=True))
             offsets = np.arange(len(h) - size + 1)
-            prints.setdefault(size, []).append((window_prints(h, offsets, size), np.full(len(offsets), k), offsets))
-        held = Counter(x for bag in self.bags for x in bag)
-        self.weights = {x: 1.0 / n for x, n in held.items()}
-        self.totals = [sum(self.weights[x] * n for x, n in bag.items()) for bag in self.bags]
+            prints.setdefault(size, []).append((window_prints(h, offsets, size), np.full(len(offsets), k, np.int32), offsets.astype(np.int32)))
+        held, n = np.unique(np.concatenate([b[0] for b in bags]), return_counts=True) if bags else (np.zeros(0, np.uint64), np.zeros(0, int))
+        #: each item's distinct shingles in order, how often they occur and their weights
+        self.bags = [(x, c, 1.0 / n[np.searchsorted(held, x)]) for x, c in bags]
+        self.totals = [float((c * w).sum()) for _, c, w in self.bags]
         self.classes = []
         for size, parts in sorted(prints.items()):
             fp, item, offset = (np.concatenate(p) for p in zip(*parts))
             room = min(self.lengths[k] for k in np.unique(item)) - size + 1
             tables = []
-            for block in np.ascontiguousarray(fp).view(np.uint8).reshape(-1, BLOCKS).T:
+            for block in np.ascontiguousarray(fp).view(np.uint16).reshape(-1, BLOCKS).T:
                 order = np.argsort(block, kind="stable").astype(np.int32)
-                tables.append((order, fp[order], np.searchsorted(block[order], np.arange(257)).astype(np.int32)))
+                counts = np.bincount(block, minlength=1 << 16).astype(np.int32)
+                beside = np.zeros(1 << 16, bool)
+                for flip in _BESIDE:
+                    beside[np.flatnonzero(counts) ^ int(flip)] = True
+                tables.append((order, counts, np.cumsum(counts, dtype=np.int32) - counts, beside))
             self.classes.append((size, max(1, -(-room // 3)), fp, item, offset, tables))
         self.largest = max((c[0] for c in self.classes), default=1)
 
@@ -111,20 +121,13 @@ class ItemIndex:
             part = h[lo : lo + PIECE + self.largest]
             sums = bit_sums(part, self.largest)
             near_words = slice(lo, lo + PIECE)
-            for size, stride, _, item, offset, tables in self.classes:
+            for size, stride, fp, item, offset, tables in self.classes:
                 at = np.flatnonzero((left[near_words] >= size) & (place_in_text[near_words] % stride == 0))
                 if not len(at):
                     continue
-                seen = window_prints(part, at, size, sums)
-                for block, (order, prints, bounds) in zip(seen.view(np.uint8).reshape(-1, BLOCKS).T, tables):
-                    low = bounds[block]
-                    n = bounds[block.astype(np.int32) + 1] - low
-                    total = np.cumsum(n, dtype=np.int32)
-                    place = np.arange(int(total[-1]), dtype=np.int32) + np.repeat(low - (total - n), n)
-                    near = np.flatnonzero(np.bitwise_count(np.repeat(seen, n) ^ prints[place]) <= RADIUS)
-                    if len(near):
-                        w, e = lo + at[np.searchsorted(total, near, "right")], order[place[near]]
-                        found.append(np.stack([text[w], item[e], w - offset[e]], axis=1))
+                for w, e in near_pairs(window_prints(part, at, size, sums), fp, tables):
+                    w = lo + at[w]
+                    found.append(np.stack([text[w], item[e], w - offset[e]], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def matches(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, float]]:
@@ -138,25 +141,56 @@ class ItemIndex:
             if b <= a:
                 continue
             if n >= SHINGLE and b - a >= SHINGLE:
-                have = Counter(whole[a : b - SHINGLE + 1].tolist())
+                seen = whole[a : b - SHINGLE + 1]
             else:
                 s, _ = shingles(h[a:b], np.array([0, b - a]), min(SHINGLE, n))
-                have = Counter(s[: max(1, b - a - min(SHINGLE, n) + 1)].tolist())
-            shared = sum(self.weights[x] * min(c, have[x]) for x, c in self.bags[k].items() if x in have)
+                seen = s[: max(1, b - a - min(SHINGLE, n) + 1)]
+            keys, counts, weights = self.bags[k]
+            have, n_have = np.unique(seen, return_counts=True)
+            place = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+            shared = float((weights * np.where(have[place] == keys, np.minimum(counts, n_have[place]), 0)).sum())
             value = shared / self.totals[k]
             if value >= THRESHOLD - 1e-12 and (value, -start) > best.get((t, k), (0.0, 0))[:2]:
                 best[t, k] = (value, -start, max(start, lo) - lo, min(start + n, hi) - lo)
         return [(t, k, a, b, v) for (t, k), (v, _, a, b) in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame, size: int = ITEM_BLOCK) -> Iterator[ItemIndex]:
-    """Indexes of consecutive blocks of items, read one block at a time."""
+def near_pairs(seen: np.ndarray, fp: np.ndarray, tables: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in ``seen``, place in ``fp``) of all pairs within RADIUS bits, some more than once, CANDIDATES at a time."""
+    for block, (order, counts, bounds, beside) in zip(seen.view(np.uint16).reshape(-1, BLOCKS).T, tables):
+        close = np.flatnonzero(beside[block])
+        block = block[close]
+        for flip in _BESIDE:
+            key = block ^ flip
+            n = counts[key]
+            some = np.flatnonzero(n)
+            low, n = bounds[key[some]].astype(np.int64), n[some].astype(np.int64)
+            some = close[some]
+            total = np.cumsum(n)
+            lo = 0
+            while lo < len(some):
+                done = total[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(total, done + CANDIDATES, "right")))
+                m = n[lo:hi]
+                w = np.repeat(some[lo:hi], m)
+                e = order[np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[lo:hi], m)]
+                near = np.bitwise_count(seen[w] ^ fp[e]) <= RADIUS
+                if near.any():
+                    yield w[near], e[near]
+                lo = hi
+
+
+def indexes(benchmark: DataFrame, size: int = INDEX_BYTES) -> Iterator[ItemIndex]:
+    """Indexes of consecutive blocks of items of at most ``size`` bytes (or one item), read one block at a time."""
     block: list = []
+    held = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == size:
+        n = len((row[1] or "").encode())
+        if block and held + n > size:
             yield ItemIndex(block)
-            block = []
+            block, held = [], 0
+        block.append((row[0], row[1]))
+        held += n
     yield ItemIndex(block)
 
 

@@ -6,14 +6,17 @@ the documents of a source in key order are a weighted sample at every length
 rest takes ``e`` complete epochs first; the rest is the prefix of the key order
 whose summed size is nearest to it.
 
-The prefix sum is distributed: keys fall into ``BUCKETS`` ranges, sizes are
-summed by (source, range) before anything is ordered, and only the documents of
-one range are ordered together.  A source that holds most rows is therefore
-spread over as many tasks as it has ranges.
+The prefix sum is distributed.  A source's keys are exponentials whose rates are
+the quality weights, so the share of its documents that lie under a key is known
+from how many documents have which weight; cut at equal shares, its key ranges
+hold about RANGE documents each, whatever the weights are.  Sizes are summed by
+(source, range) before anything is ordered, only the documents of one range are
+ordered together, and equal rows are one row with a count.  ``mix`` needs no order
+at all: what a source takes is what lies at or under one key.
 
 Edge cases: a null text has size zero and is taken zero words; a null source is
 a source of its own, last in order; repeated rows draw the same key and follow
-one another; a null ``doc_id`` is drawn by its text; no rows give no rows; a
+one another (``mix`` takes all or none of them); a null ``doc_id`` is drawn by its text; no rows give no rows; a
 corpus without words has targets of zero.  Columns other than the four named
 ones are ignored here and pass through ``mix``.
 """
@@ -25,9 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from varve.llm.durable import durable
-from varve.llm.words import SYMBOLS_RATIO_CHARS, without, word_count
+from varve.llm.words import SYMBOLS_RATIO_CHARS, unused, without, word_count
 
-BUCKETS = 4096
+RANGE = 4096
+LEVELS = 10
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
@@ -47,20 +51,29 @@ def uniform(seed: str, *cols: Column) -> Column:
 
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size and the exponential key of every document."""
+    """doc_id, source, size, quality weight and exponential key of every document."""
     df = docs.select("doc_id", "source", "text").withColumn("size", word_count(F.col("text")))
     draw = F.when(F.col("doc_id").isNull(), uniform(seed, F.md5(F.coalesce("text", F.lit(""))))).otherwise(
         uniform(seed, F.col("doc_id"))
     )
+    df = df.withColumn("weight", quality_weight(F.col("text"), F.col("size")))
     return df.select(
         "doc_id",
         "source",
         "size",
-        (-F.log(draw) / quality_weight(F.col("text"), F.col("size"))).alias("key"),
+        "weight",
+        (-F.log(draw) / F.col("weight")).alias("key"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
     )
 
 
+def ranges(rows: DataFrame) -> DataFrame:
+    """(source_key, shares, ranges): for each source the share of documents of each weight level, and in how many ranges its keys fall."""
+    level = [F.sum(F.when(F.round(F.col("weight") * LEVELS) == k, F.col("n")).otherwise(0)) for k in range(1, LEVELS + 1)]
+    shares = F.array(*[(x / F.sum("n")).cast("double") for x in level])
+    return rows.groupBy(F.col("source_key").alias("s")).agg(shares.alias("shares"), F.ceil(F.sum("n") / RANGE).alias("ranges"))
+
+
 def source_targets(sizes: DataFrame, max_epochs: float = MAX_EPOCHS, weights=WEIGHTS) -> DataFrame:
     """Target words of each source, from one row (source, source_size) for each.
 
@@ -87,14 +100,19 @@ def source_targets(sizes: DataFrame, max_epochs: float = MAX_EPOCHS, weights=WEI
     return df.select("source", "source_size", target.alias("target"))
 
 
-def draws(docs: DataFrame, seed: str = SEED, max_epochs: float = MAX_EPOCHS, weights=WEIGHTS) -> DataFrame:
-    """Every document with its size, its source's size and target, and how often it is taken."""
-    base = durable(sized(docs, seed)).withColumn(
-        "bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")
+def placed(docs: DataFrame, seed: str, max_epochs: float, weights) -> DataFrame:
+    """Distinct rows with how many there are (n), their source's size and target, whole epochs, and how many of the n are taken once more."""
+    base = sized(docs, seed).withColumn("source_key", F.xxhash64("source", F.col("source").isNull()))
+    one = ["source_key", "source", "key", "doc_id", "size", "text_hash", "weight"]
+    base = durable(base.groupBy(*one).agg(F.count(F.lit(1)).alias("n")))
+    base = base.join(ranges(base), F.xxhash64("source_key") == F.xxhash64("s")).drop("s")
+    beyond = F.aggregate(
+        F.transform("shares", lambda x, i: x * F.exp(-F.col("key") * (i + 1) / LEVELS)), F.lit(0.0), lambda a, x: a + x
     )
-    base = base.withColumn("source_key", F.xxhash64("source", F.col("source").isNull()))
+    bucket = F.least(F.col("ranges") - 1, F.floor((1 - beyond) * F.col("ranges")))
+    base = base.withColumn("bucket", F.greatest(F.lit(0), bucket).cast("int")).drop("shares", "ranges")
     sums = base.groupBy("source_key", "bucket").agg(
-        F.max("source").alias("source"), F.sum("size").alias("bucket_size")
+        F.max("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("bucket_size")
     )
     targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), max_epochs, weights)
     t = targets.select(F.xxhash64("source", F.col("source").isNull()).alias("source_key"), "source_size", "target")
@@ -107,34 +125,45 @@ def draws(docs: DataFrame, seed: str = SEED, max_epochs: float = MAX_EPOCHS, wei
         .orderBy("key", "doc_id", "size", "text_hash")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    df = base.withColumn("before_in_bucket", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
+    df = base.withColumn("before_in_bucket", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0))).join(
         sums, ["source_key", "bucket"]
     )
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    epochs = F.floor(ratio + 1e-9)
-    rest = F.col("target") - epochs * F.col("source_size")
-    before = F.col("bucket_offset") + F.col("before_in_bucket")
-    times = epochs + F.when((F.col("size") > 0) & (before + F.col("size") / 2 <= rest), 1).otherwise(0)
-    return df.select(
-        "doc_id",
-        "source",
-        "text_hash",
-        "size",
-        "source_size",
-        "target",
-        F.least(times, F.lit(int(max_epochs))).cast("int").alias("times"),
-    )
+    df = df.withColumn("epochs", F.least(F.lit(int(max_epochs)), F.floor(ratio + 1e-9)).cast("int"))
+    rest = F.col("target") - F.col("epochs") * F.col("source_size") - F.col("bucket_offset") - F.col("before_in_bucket")
+    # the k-th of n equal rows is taken while what comes before it and half of it fit the rest
+    more = F.when((F.col("size") > 0) & (F.col("epochs") < int(max_epochs)), F.floor(rest / F.col("size") + 0.5)).otherwise(0)
+    return df.withColumn("more", F.greatest(F.lit(0), F.least(F.col("n"), more)).cast("long"))
+
+
+def draws(docs: DataFrame, seed: str = SEED, max_epochs: float = MAX_EPOCHS, weights=WEIGHTS) -> DataFrame:
+    """Every document with its size, its source's size and target, and how often it is taken."""
+    df = placed(docs, seed, max_epochs, weights)
+    block = F.lit(RANGE).cast("long")
+    df = df.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
+    df = df.withColumn("__i", F.explode(F.sequence(F.col("__b") * block + 1, F.least(F.col("n"), (F.col("__b") + 1) * block))))
+    times = F.col("epochs") + (F.col("__i") <= F.col("more")).cast("int")
+    return df.select("doc_id", "source", "text_hash", "size", "source_size", "target", times.alias("times"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, max_epochs: float = MAX_EPOCHS, weights=WEIGHTS) -> DataFrame:
-    """The mixed corpus: each document as often as it is taken, with the columns it came with."""
-    chosen = draws(docs, seed, max_epochs, weights).filter("times > 0")
-    # rows equal in id, source and text are one document repeated: their draws differ only in the rest
-    chosen = chosen.groupBy("doc_id", "source", "text_hash").agg(F.sum("times").alias("times"), F.count("*").alias("n"))
-    keyed = docs.withColumn("__mix_k", F.xxhash64("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit("")))))
-    keys = chosen.select(
-        F.xxhash64("doc_id", "source", "text_hash").alias("__mix_k"), F.col("times").alias("__mix_t"), F.col("n").alias("__mix_n")
-    )
-    each = F.when(F.col("__mix_n") == 1, F.col("__mix_t")).otherwise(F.ceil(F.col("__mix_t") / F.col("__mix_n")))
-    df = keyed.join(keys, "__mix_k").withColumn("__mix_i", F.explode(F.sequence(F.lit(1), each.cast("int"))))
+    """The mixed corpus: each document as often as it is taken, with the columns it came with.
+
+    One row for each source tells the epochs and the last key taken beyond them,
+    so texts meet no shuffle.
+    """
+    df = placed(docs, seed, max_epochs, weights)
+    order = ["key", "doc_id", "size", "text_hash"]
+    cut = F.max(F.when(F.col("more") > 0, F.struct(*order)))
+    cuts = df.groupBy("source_key").agg(F.max("epochs").alias("epochs"), cut.alias("cut"))
+    own = unused(docs.columns, "__size", "__key", "__source", "__epochs", "__cut", "__copy")
+    size, key, source, epochs, cut, copy = own
+    cuts = cuts.select(F.col("source_key").alias(source), F.col("epochs").alias(epochs), F.col("cut").alias(cut))
+    body = F.coalesce("text", F.lit(""))
+    draw = F.when(F.col("doc_id").isNull(), uniform(seed, F.md5(body))).otherwise(uniform(seed, F.col("doc_id")))
+    df = docs.withColumn(size, word_count(F.col("text"))).withColumn(key, -F.log(draw) / quality_weight(F.col("text"), F.col(size)))
+    df = df.join(cuts, F.xxhash64("source", F.col("source").isNull()) == F.col(source))
+    here = F.struct(F.col(key).alias("key"), F.col("doc_id").alias("doc_id"), F.col(size).alias("size"), F.xxhash64(body).alias("text_hash"))
+    times = F.col(epochs) + F.coalesce((F.col(size) > 0) & (here <= F.col(cut)), F.lit(False)).cast("int")
+    df = df.withColumn(copy, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
     return df.select(*[f"`{c}`" for c in docs.columns])

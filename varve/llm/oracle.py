@@ -56,33 +56,37 @@ def op5() -> str:
 
 
 def op7() -> str:
-    order = "ORDER BY turn NULLS LAST, role, text"
-    return f"""WITH r AS (SELECT conv_id, floor(turn / 256)::BIGINT AS piece, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+    order = "ORDER BY turn NULLS LAST, role, raw"
+    safe = r"regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g')"
+    last = r"regexp_replace(role, '<(\\*)(\||\z)', '<\\\1\2', 'g')"
+    name = rf"regexp_replace({last}, '\|(\\*)>', '|\\\1>', 'g')"
+    return f"""WITH q AS (SELECT conv_id, floor(turn / 256)::BIGINT AS piece, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS raw FROM conversations),
+  r AS (SELECT *, {name} AS name, {safe.format("raw")} AS text, floor((row_number() OVER (PARTITION BY conv_id, piece {order}) - 1) / 1024)::BIGINT AS part FROM q),
   s AS (SELECT DISTINCT conv_id, role AS speaker FROM r WHERE role <> 'system'),
-  j AS (SELECT r.*, speaker, '<|' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || '|>' || chr(10) AS head
+  j AS (SELECT r.*, speaker, '<|' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || name END || '|>' || chr(10) AS head
     FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
-  p AS (SELECT *, sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, speaker, piece {order} ROWS UNBOUNDED PRECEDING) AS e FROM j)
-  SELECT conv_id, speaker, piece, count(*) AS n_messages, string_agg(head || text || '<|end|>' || chr(10), '' {order}) AS text,
-    coalesce(string_agg(CASE WHEN role = speaker THEN (e - length(text) - 8)::VARCHAR || ':' || e::VARCHAR END, ',' {order}), '') AS mask_spans FROM p GROUP BY conv_id, speaker, piece"""
+  p AS (SELECT *, sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, speaker, piece, part {order} ROWS UNBOUNDED PRECEDING) AS e FROM j)
+  SELECT conv_id, speaker, piece, part, count(*) AS n_messages, string_agg(head || text || '<|end|>' || chr(10), '' {order}) AS text,
+    coalesce(string_agg(CASE WHEN role = speaker THEN (e - length(text) - 8)::VARCHAR || ':' || e::VARCHAR END, ',' {order}), '') AS mask_spans FROM p GROUP BY conv_id, speaker, piece, part"""
 
 
 def op8() -> str:
     quoted = lambda p: p.replace("'", "''")
     kinds = [*secrets.BASE, *secrets.MORE]
     parts = " UNION ALL ".join(
-        f"SELECT rid, {i} AS rank, '{k.name}' AS kind, {k.least} AS least, string_split_regex(text, '{quoted(k.pattern)}') AS p, "
-        f"regexp_extract_all(text, '{quoted(k.pattern)}') AS m, regexp_extract_all(text, '{quoted(k.pattern)}', {k.group}) AS v FROM d"
+        f"SELECT rid, {i} AS rank, '{k.name}' AS kind, {k.least} AS least, {int(k.bare)} AS bare, string_split_regex({body}, '{quoted(k.pattern)}') AS p, "
+        f"regexp_extract_all({body}, '{quoted(k.pattern)}') AS m, regexp_extract_all({body}, '{quoted(k.pattern)}', {k.group}) AS v FROM d"
         for i, k in enumerate(kinds)
+        for body in ["chr(10) || text" if k.bare else "text"]
     )
     listed = "string_agg(kind || ':' || s::VARCHAR || ':' || e::VARCHAR, ',' ORDER BY s, rank)"
     n = ", ".join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in secrets.BASE)
     back = ", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in secrets.BASE)
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents), k AS ({parts}),
   i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k),
-  a AS (SELECT rid, rank, kind, v[i] AS value, least, coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s, length(m[i]) AS n FROM i),
-  f AS (SELECT rid, rank, kind, value, s::BIGINT AS s, (s + n)::BIGINT AS e FROM a WHERE length(value) >= least),
-  o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM f JOIN d USING (rid) GROUP BY value),
-  c AS (SELECT rid, {n}, sha256(coalesce({listed} FILTER (WHERE rank < {len(secrets.BASE)}), '')) AS base_sha256,
-    {listed} AS spans, count(DISTINCT value) FILTER (WHERE owners < {secrets.EXAMPLE_OWNERS}) AS n_live, count(DISTINCT value) FILTER (WHERE owners >= {secrets.EXAMPLE_OWNERS}) AS n_example
-    FROM f JOIN o USING (value) GROUP BY rid)
-  SELECT doc_id, {back}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN c USING (rid)"""
+  a AS (SELECT rid, rank, kind, v[i] AS value, least, bare, coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS e, length(m[i]) AS n FROM i),
+  f AS (SELECT rid, rank, kind, value, (e - CASE WHEN bare = 1 THEN length(value) + 1 ELSE n END)::BIGINT AS s, (e - bare)::BIGINT AS e FROM a WHERE length(value) >= least),
+  o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) >= {secrets.EXAMPLE_OWNERS} OR count(DISTINCT coalesce(doc_id::VARCHAR, '')) >= {secrets.EXAMPLE_REPOSITORIES} AS shared FROM f JOIN d USING (rid) GROUP BY value),
+  c AS (SELECT rid, {n}, sha256(coalesce({listed} FILTER (WHERE rank < {len(secrets.BASE)}), '')) AS base_sha256, {listed} AS spans, {listed} FILTER (WHERE NOT shared) AS live_spans,
+    count(DISTINCT value) FILTER (WHERE NOT shared) AS n_live, count(DISTINCT value) FILTER (WHERE shared) AS n_example FROM f JOIN o USING (value) GROUP BY rid)
+  SELECT doc_id, {back}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live_spans, '') AS live_spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN c USING (rid)"""

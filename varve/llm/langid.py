@@ -25,7 +25,6 @@ from __future__ import annotations
 import html as markup
 import re
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 
 from varve.llm.durable import durable
 from varve.llm.kernels import text_slices, trigram_counts
+from varve.llm.words import let
 
 DIMS = 4096
 MAX_TRAINING = 2000
@@ -42,9 +42,20 @@ HOST_STRENGTH = 5.0
 DOMAIN_STRENGTH = 20.0
 MARK_STRENGTH = 10.0
 
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_DECLARED = re.compile(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})")
+# what is not closed runs to the end, as it does in browsers, so every byte is looked at once
+_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)")
+_TAG = re.compile(r"(?s)<[^<>]*>")
+_COMMENT = r"(?s)<!--.*?(-->|\z)"
+_QUOTE = "[\"']?"
+_DECLARED = (
+    rf"(?i)<html\b(?:[^<>]*?\s)?(?:xml:)?lang\s*=\s*{_QUOTE}([A-Za-z]{{2,8}})",
+    rf"(?i)<meta\b[^<>]*?\shttp-equiv\s*=\s*{_QUOTE}content-language\b[^<>]*?\scontent\s*=\s*{_QUOTE}\s*([A-Za-z]{{2,8}})",
+    rf"(?i)<meta\b[^<>]*?\scontent\s*=\s*{_QUOTE}\s*([A-Za-z]{{2,8}})[^<>]*?\shttp-equiv\s*=\s*{_QUOTE}content-language\b",
+)
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/]*\]|[^/?#:@\[]*)"
+_NUMBER = r"^\[|^[0-9]+(\.[0-9]+){3}$"
+#: Labels under which countries register names.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "nom", "or", "org")
 
 
 def visible(page: str | None) -> str:
@@ -52,20 +63,26 @@ def visible(page: str | None) -> str:
     return markup.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page or "")))
 
 
-def declared(page: str | None) -> str:
-    """The primary language of the markup's declaration, or nothing."""
-    found = _DECLARED.search(page or "")
-    return found[1].lower() if found else ""
+def declared(page: Column) -> Column:
+    """The primary language of the markup's declaration (``html`` tag, else ``meta`` header), or nothing; comments declare none."""
+    shown = F.regexp_replace(F.coalesce(page, F.lit("")), _COMMENT, " ")
+    found = let(shown, lambda p: F.coalesce(*[F.nullif(F.regexp_extract(p, x, 1), F.lit("")) for x in _DECLARED], F.lit("")))
+    return F.lower(found)
 
 
-def address(url: str | None) -> tuple[str, str, str]:
-    """(host, registered domain, suffix) of an address; empty where there is none."""
-    try:
-        host = (urlsplit(url or "").hostname or "").rstrip(".")
-    except ValueError:
-        host = ""
-    parts = host.split(".")
-    return host, ".".join(parts[-2:]), parts[-1]
+def address(url: Column) -> tuple[Column, Column, Column]:
+    """(host, registered domain, suffix) of an address; empty where there is none.
+
+    A numeric host is a domain of its own without a suffix; under a country's
+    second-level label (co.uk) a domain has three labels.
+    """
+    host = F.rtrim(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1)), F.lit("."))
+    parts = F.split(host, "\\.")
+    last, second = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2))
+    deep = (F.size(parts) > 2) & (F.length(last) == 2) & second.isin(*SECOND_LEVEL)
+    number = host.rlike(_NUMBER)
+    domain = F.when(number, host).otherwise(F.when(deep, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2)))
+    return host, domain, F.when(number, F.lit("")).otherwise(last)
 
 
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,15 +126,14 @@ def evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
                 n = c.sum(axis=1, keepdims=True)
                 parts.append((c @ shared.value.T) / np.maximum(n, 1) * np.minimum(n, EVIDENCE))
             ll = np.concatenate(parts) if parts else np.zeros((0, len(langs)))
-            where = [address(x) for x in batch.column("url").to_pylist()]
-            names = ["host", "domain", "suffix"]
-            cols = [pa.array([w[i] for w in where], pa.string()) for i in range(3)]
-            cols += [pa.array([declared(x) for x in raw], pa.string())]
-            cols += [pa.array(np.ascontiguousarray(ll[:, i])) for i in range(len(langs))]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *cols], ["page_id", *names, "mark", *[f"l{i}" for i in range(len(langs))]])
+            names = ["page_id", "host", "domain", "suffix", "mark"]
+            cols = [batch.column(n) for n in names] + [pa.array(np.ascontiguousarray(ll[:, i])) for i in range(len(langs))]
+            yield pa.RecordBatch.from_arrays(cols, [*names, *[f"l{i}" for i in range(len(langs))]])
 
     kinds = "page_id long, host string, domain string, suffix string, mark string" + "".join(f", l{i} double" for i in range(len(langs)))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, kinds)
+    host, domain, suffix = address(F.col("url"))
+    named = [host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), declared(F.col("html")).alias("mark")]
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), *named, "html").mapInArrow(run, kinds)
 
 
 def _posterior(logs: list[Column]) -> list[Column]:
@@ -129,7 +145,8 @@ def _posterior(logs: list[Column]) -> list[Column]:
 def _joined(df: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     """``df`` with ``counts`` by ``key``; both sides are shuffled, so a hot key can be split."""
     other = counts.withColumnRenamed(key, f"__{key}")
-    return df.join(other, F.xxhash64(key, F.lit(key)) == F.xxhash64(f"__{key}", F.lit(key))).drop(f"__{key}")
+    same = (F.xxhash64(key, F.lit(key)) == F.xxhash64(f"__{key}", F.lit(key))) & (F.col(key) == F.col(f"__{key}"))
+    return df.join(other, same).drop(f"__{key}")
 
 
 def identify(pages: DataFrame, docs: DataFrame, max_training: int = MAX_TRAINING) -> DataFrame:

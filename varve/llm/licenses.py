@@ -1,6 +1,7 @@
 """License scans: MinHash bands over overlapping text windows, verified by containment.
 
-Words are runs of letters and digits, folded; five of them make a shingle (all
+Words are runs of letters and digits, folded (ASCII marks, general punctuation
+and the signs of the Latin-1 block separate them); five of them make a shingle (all
 of them where there are fewer).  A template of ``n`` shingles belongs to the
 window size ``W``, the largest power of two with ``2 W - 1 <= n``, and is
 indexed at every offset; document windows of W shingles advance by half a
@@ -9,8 +10,9 @@ minima in 8 bands of 2: windows of similarity 0.8 share a band with probability
 1 - (1 - 0.64)^8 = 0.9997.  A hit is verified at its alignment: the share of the
 template's distinct shingles inside the passage, 0.8 or more.
 
-Templates are a stated, small query set broadcast once; documents are scanned
-whole in one pass without a shuffle.
+Templates are a stated query set, in blocks of at most INDEX_BYTES of text whose
+indexes are broadcast; documents are scanned whole, once for each block, without a
+shuffle.
 
 Edge cases: null, blank and wordless texts match nothing; a template without
 words is refused; repeated documents are matched row by row; equal scores go to
@@ -31,7 +33,7 @@ from varve.llm.kernels import shingles, text_slices, word_hashes, words
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 8, 2
-MAX_TEMPLATES = 10_000
+INDEX_BYTES = 4 << 20
 
 #: Public license notices and headers.
 TEMPLATES = {
@@ -51,6 +53,43 @@ TEMPLATES = {
         "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
         "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "isc-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "
+        '"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+        "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means."
+    ),
+    "bsd-disclaimer": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+        "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+        "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "bsd-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."
+    ),
+    "mit-disclaimer": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "lgpl-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+        "any later version."
+    ),
     "bsd-text": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
@@ -91,6 +130,12 @@ def window_class(n: int) -> int:
 def parse(buf: np.ndarray, offsets: np.ndarray) -> tuple:
     """(shingle hashes, shingles from each place to the end of its text, first words, byte starts, byte ends)."""
     plain = _PLAIN[buf]
+    two, three = np.flatnonzero(buf[:-1] == 0xC2), np.flatnonzero(buf[:-2] == 0xE2)
+    two = two[(buf[two + 1] >= 0xA0) & (buf[two + 1] <= 0xBF) & ~np.isin(buf[two + 1], (0xAA, 0xB5, 0xBA))]
+    three = three[(buf[three + 1] == 0x80) | (buf[three + 1] == 0x81)]
+    for at, width in ((two, 2), (three, 3)):
+        for k in range(width):
+            plain[at + k] = 32
     starts, ends, first = words(plain, offsets)
     s, left = shingles(word_hashes(plain, starts, ends), first, SHINGLE) if len(starts) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     count = left - SHINGLE + 1
@@ -115,8 +160,6 @@ class TemplateIndex:
     """Band tables of all template windows and the templates' distinct shingles."""
 
     def __init__(self, templates: dict[str, str]):
-        if len(templates) > MAX_TEMPLATES:
-            raise ValueError(f"at most {MAX_TEMPLATES} templates a call")
         self.names, self.sets, self.words, self.tables = [], [], [], {}
         entries: dict[int, list] = {}
         for name, text in templates.items():
@@ -183,9 +226,31 @@ def _characters(buf: np.ndarray) -> int:
     return int(np.count_nonzero((buf & 0xC0) != 0x80))
 
 
+def indexes(templates: dict[str, str], size: int = INDEX_BYTES) -> Iterator[TemplateIndex]:
+    """Indexes of blocks of templates of at most ``size`` bytes (or one template)."""
+    block: dict[str, str] = {}
+    held = 0
+    for name, text in templates.items():
+        n = len(text.encode())
+        if block and held + n > size:
+            yield TemplateIndex(block)
+            block, held = {}, 0
+        block[name] = text
+        held += n
+    yield TemplateIndex(block)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """One row for each document and template in it: doc_id, license, span in code points and containment."""
-    shared = docs.sparkSession.sparkContext.broadcast(TemplateIndex(TEMPLATES if templates is None else templates))
+    out = None
+    for index in indexes(TEMPLATES if templates is None else templates):
+        part = _scan(docs, index)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _scan(docs: DataFrame, index: TemplateIndex) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         for batch in batches:

@@ -18,7 +18,7 @@ from varve.llm.durable import durable
 def _least(edges: DataFrame) -> DataFrame:
     """Each edge (u, v) with the least of u and its neighbours."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return edges.join(least, F.xxhash64("u") == F.xxhash64("w")).select("u", "v", "m")
+    return edges.join(least, (F.xxhash64("u") == F.xxhash64("w")) & (F.col("u") == F.col("w"))).select("u", "v", "m")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -6,8 +6,8 @@ in one pass over the text without a shuffle and without Python on executors.
 
 Edge cases: a null text counts as empty (all counts zero, ``base_failed``);
 ratios over zero words are zero; repeated rows are judged independently; extra
-columns of the input pass through ``apply_rules`` untouched, and the names it
-adds carry a prefix chosen by the caller, so clashes are the caller's choice.
+columns of the input pass through untouched, whatever they are called, but where
+a name that ``apply_rules`` adds (with the caller's prefix) is one of theirs.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.words import BLANKS, without, words
+from varve.llm.words import BLANKS, let, unused, without, words
 
 WINDOW = 5
 #: Symbols counted by ``n_symbols``.
@@ -78,12 +78,7 @@ def _covered(h: Column) -> Column:
         gaps = F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - x, F.lit(WINDOW))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return _let(pairs, lambda p: _let(places(p), total))
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), 0)
+    return let(pairs, lambda p: let(places(p), total))
 
 
 def measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -94,11 +89,12 @@ def measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
     """
     p = prefix
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn(f"{p}_w", words(F.col(text_col)))
-    df = df.withColumn(f"{p}n_words", F.size(f"{p}_w").cast("long"))
-    df = df.withColumn(f"{p}_h", _hashes(F.size(f"{p}_w"), F.col(f"{p}_w")))
-    df = df.withColumn(f"{p}_l", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
-    h, w, lines = F.col(f"{p}_h"), F.col(f"{p}_w"), F.col(f"{p}_l")
+    own = unused(docs.columns, "__words", "__hashes", "__lines")
+    w, h, lines = (F.col(c) for c in own)
+    df = docs.withColumn(own[0], words(F.col(text_col)))
+    df = df.withColumn(f"{p}n_words", F.size(w).cast("long"))
+    df = df.withColumn(own[1], _hashes(F.size(w), w))
+    df = df.withColumn(own[2], F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
     stop = set(STOP_WORDS)
     return df.withColumns(
         {
@@ -113,7 +109,7 @@ def measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
             f"{p}n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*stop))).cast("long"),
             f"{p}n_upper": F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long"),
         }
-    ).drop(f"{p}_w", f"{p}_h", f"{p}_l")
+    ).drop(*own)
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -139,12 +135,15 @@ def verdict(rules=RULES, prefix: str = "") -> tuple[Column, Column]:
 
 
 def apply_rules(docs: DataFrame, rules=RULES, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the measures, ``base_failed`` and ``kept`` (each with ``prefix``)."""
+    """``docs`` with the measures, ``base_failed``, ``kept`` and ``fence`` (each with ``prefix``)."""
     failed, kept = verdict(rules, prefix)
-    df = measures(docs, text_col, prefix).withColumns({f"{prefix}base_failed": failed, f"{prefix}kept": kept})
-    return df if prefix else df.drop("fence")
+    return measures(docs, text_col, prefix).withColumns({f"{prefix}base_failed": failed, f"{prefix}kept": kept})
 
 
 def accepted(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return apply_rules(docs, rules, text_col, "__q_").filter("__q_kept and __q_fence >= 0").select(*[f"`{c}`" for c in docs.columns])
+    prefix = "__q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    df = apply_rules(docs, rules, text_col, prefix).filter(F.col(f"{prefix}kept") & (F.col(f"{prefix}fence") >= 0))
+    return df.select(*[f"`{c}`" for c in docs.columns])

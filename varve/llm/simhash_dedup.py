@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from varve.llm.components import components
 from varve.llm.durable import durable
+from varve.llm.words import unused
 
 SHINGLE = 3
 RADIUS = 3
@@ -139,7 +140,7 @@ def links(distinct: DataFrame) -> DataFrame:
     rows = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long")
     shared = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     shared = shared.select(F.col("anchor").alias("a"), F.ceil(F.col("n") / BLOCK).cast("int").alias("t"))
-    met = rows.join(shared, F.xxhash64("anchor") == F.xxhash64("a"))
+    met = rows.join(shared, (F.xxhash64("anchor") == F.xxhash64("a")) & (F.col("anchor") == F.col("a")))
     own = F.pmod(F.xxhash64("fp"), F.col("t")).cast("int")
     met = met.withColumn("b", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     tiles = met.groupBy("anchor", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"))
@@ -153,24 +154,35 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     linked = components(links(distinct)).select(F.col("node").alias("fp"), "label")
     merged = distinct.join(linked, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = merged.groupBy("label").agg(F.min("first").alias("keeper")).withColumnRenamed("label", "l")
-    merged = merged.join(least, F.xxhash64("label") == F.xxhash64("l")).select(F.col("fp").alias("f"), "keeper")
+    merged = merged.join(least, (F.xxhash64("label") == F.xxhash64("l")) & (F.col("label") == F.col("l"))).select(F.col("fp").alias("f"), "keeper")
     return base, durable(merged)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
     base, merged = classes(docs)
-    df = base.join(merged, F.xxhash64("fp") == F.xxhash64("f"))
+    df = base.join(merged, (F.xxhash64("fp") == F.xxhash64("f")) & (F.col("fp") == F.col("f")))
     return df.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("keeper.doc_id").alias("component_id")
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least id, with the columns it came with."""
-    _, merged = classes(docs)
-    keepers = merged.groupBy("keeper").agg(F.count("*").alias("n"))
-    keepers = keepers.select(F.xxhash64("keeper.doc_id", "keeper.text_hash").alias("__k"), F.col("keeper.doc_id").alias("__d"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
-    kept = keyed.join(keepers, F.col("__key") == F.col("__k"), "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*[f"`{c}`" for c in docs.columns])
+    """One document of each component, the one with the least id, with the columns it came with.
+
+    The keys of rows that go, and of those that stand more than once, are the
+    smaller side: where they are few, Spark broadcasts them and texts stay where
+    they are; else both sides are shuffled.
+    """
+    base, merged = classes(docs)
+    own, key, once = unused(docs.columns, "__own", "__key", "__once")
+    keys = base.join(merged, (F.xxhash64("fp") == F.xxhash64("f")) & (F.col("fp") == F.col("f")))
+    keeper = F.xxhash64("keeper.doc_id", "keeper.text_hash")
+    keys = keys.groupBy(F.xxhash64("doc_id", "text_hash").alias(key)).agg(F.max(F.xxhash64("doc_id", "text_hash") == keeper).alias("stays"), F.count(F.lit(1)).alias("n"))
+    odd = durable(keys.filter("not stays or n > 1"))
+    keyed = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    kept = keyed.join(odd.select(key), F.col(own) == F.col(key), "left_anti")
+    repeated = odd.filter("stays").select(F.col(key).alias(once))
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(repeated, F.col(own) == F.col(once), "left_semi").dropDuplicates([own]))
+    return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -33,6 +33,74 @@ def test_language_evidence(spark, make_docs):
     assert {r.lang for r in langid.identify(pages, docs.limit(0)).collect()} == {None}
 
 
+def test_fusion_against_plain_arithmetic(spark, make_docs):
+    import math
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    docs = make_docs([(i, say(rng, "en" if i % 2 else "fr", 40)) for i in range(60)]).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("fr"))
+    rows = []
+    for i in range(120):
+        host = rng.choice(["www.a.co.uk", "b.a.co.uk", "x.fr", "y.x.fr", "192.168.10.7", "z.de"])
+        lang = rng.choice(["en", "fr"])
+        mark = rng.choice(["", f' lang="{lang}"', ' lang="de"'])
+        rows.append((i, rng.choice([f"https://{host}/p{i}", None]), f"<html{mark}><p>{say(rng, lang, rng.randrange(0, 12))}</p>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    langs, table = langid.fit(docs)
+    seen = {r.page_id: r for r in langid.evidence(pages, langs, table).collect()}
+    post = {}
+    for k, r in seen.items():
+        e = [math.exp(r[f"l{i}"] - max(r["l0"], r["l1"])) for i in range(2)]
+        post[k] = [x / sum(e) for x in e]
+    total = [sum(p[i] for p in post.values()) for i in range(2)]
+    share = [(x + 0.5) / (sum(total) + 1) for x in total]
+    got = {r.page_id: r for r in langid.identify(pages, docs).collect()}
+    for k, r in seen.items():
+        count = lambda key: [sum(post[j][i] for j, q in seen.items() if q[key] == r[key]) for i in range(2)]
+        host, domain, mark, suffix = (count(c) for c in ("host", "domain", "mark", "suffix"))
+        logs = []
+        for i in range(2):
+            own = post[k][i]
+            d = (domain[i] - own + langid.DOMAIN_STRENGTH * share[i]) / (sum(domain) - 1 + langid.DOMAIN_STRENGTH)
+            h = (host[i] - own + langid.HOST_STRENGTH * d) / (sum(host) - 1 + langid.HOST_STRENGTH)
+            part = lambda c: (c[i] - own + langid.MARK_STRENGTH * sum(c) / sum(total)) / (total[i] - own + langid.MARK_STRENGTH)
+            logs.append(r[f"l{i}"] + sum(math.log(max(x, 1e-9)) for x in (h, part(mark), part(suffix))))
+        e = [math.exp(x - max(logs)) for x in logs]
+        best = max(range(2), key=lambda i: e[i])
+        assert abs(got[k].confidence - e[best] / sum(e)) < 1e-9 and (got[k].lang == langs[best] or abs(e[0] - e[1]) < 1e-9)
+
+
+def test_addresses_and_declarations(spark):
+    from pyspark.sql import functions as F
+
+    urls = {
+        "https://www.bbc.co.uk/x?y": ("www.bbc.co.uk", "bbc.co.uk", "uk"),
+        "http://192.168.10.7:80/": ("192.168.10.7", "192.168.10.7", ""),
+        "http://user@A.B.Example.COM.:8080/p": ("a.b.example.com", "example.com", "com"),
+        "http://[2001:db8::1]/": ("[2001:db8::1]", "[2001:db8::1]", ""),
+        "http://my_host.example.fr/": ("my_host.example.fr", "example.fr", "fr"),
+        "http://co.uk/": ("co.uk", "co.uk", "uk"),
+        "not an address": ("", "", ""),
+        None: ("", "", ""),
+    }
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", *[c.alias(n) for c, n in zip(langid.address(F.col("u")), "hds")]).collect()
+    assert {r.u: (r.h, r.d, r.s) for r in got} == urls
+    pages = {
+        '<html data-lang="zz">': "",
+        '<html data-lang="zz" lang="EN-gb">': "en",
+        '<!-- <html lang="de"> --><html xml:lang=fr>': "fr",
+        '<html><meta http-equiv="Content-Language" content="es">': "es",
+        '<html><meta content="it-IT" http-equiv=content-language>': "it",
+        '<html lang=""><p>': "",
+        None: "",
+    }
+    got = spark.createDataFrame([(x,) for x in pages], "p string").select("p", langid.declared(F.col("p")).alias("d")).collect()
+    assert {r.p: r.d for r in got} == pages
+    assert langid.visible("a<!-- b --> c <script>d</script>e &amp; <p>f<!-- never closed g").split() == ["a", "c", "e", "&", "f"]
+    assert langid.visible("<" * 300000 + "<!--" * 100000) is not None
+
+
 def brute_escape(text, name=False):
     text = re.sub(r"<(\\*)(\||\Z)" if name else r"<(\\*)(\|)", r"<\\\1\2", text)
     return re.sub(r"\|(\\*)>", r"|\\\1>", text) if name else text
@@ -106,3 +174,6 @@ def test_pipeline_stages_take_effect(spark, make_docs, tmp_path):
     assert set(kept[4]) <= set(kept[3])
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in whole.collect()) == sorted(r.doc_id for r in docs.collect())
+    again = corpus_pipeline.run(spark, str(tmp_path), folder=f"{tmp_path}/shared")
+    (home,) = (tmp_path / "shared").iterdir()
+    assert [p.name for p in home.iterdir() if not p.name.startswith(".")] == ["3"] and again.count() == len(docs.collect())

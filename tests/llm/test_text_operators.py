@@ -155,6 +155,26 @@ def test_mixing_targets_and_draws(make_docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_ranges_are_even_and_repeated_rows_are_one(make_docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "RANGE", 50)
+    rng = random.Random(38)
+    rows = [(i, prose(rng, 10) + " !" * (40 if i % 3 else 0), "a") for i in range(3000)]  # two thirds at the least weight
+    rows += [(9000, "same words here now", "b")] * 300 + [(None, "no id at all", "b")] * 200
+    docs = make_docs(rows)
+    df = mixing.placed(docs, mixing.SEED, 3, (1, 2, 3))
+    sizes = [r["count"] for r in df.filter("source = 'a'").groupBy("bucket").count().collect()]
+    assert max(sizes) < 110 and len(sizes) >= 55
+    assert sorted(r.n for r in df.filter("source = 'b'").collect()) == [200, 300]
+    got = mixing.draws(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).collect()
+    for r in got:
+        assert abs(r.taken - r.target) <= 30 and r.n == (3000 if r.source == "a" else 500)
+    mixed = {r.source: r.taken for r in mixing.mix(docs).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("taken")).collect()}
+    for r in got:
+        assert mixed[r.source] == r.taken or r.source == "b"
+
+
 # --- SimHash near-dedup --------------------------------------------------------------
 
 
@@ -258,6 +278,86 @@ def test_item_similarity_is_the_weighted_containment():
         assert [round(f[4], 9) for f in found] == ([round(expected, 9)] if expected >= 0.8 else [])
 
 
+def test_near_pairs_are_all_within_the_radius():
+    rng = np.random.default_rng(31)
+    fp = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    seen = np.concatenate([rng.integers(0, 1 << 63, 200, dtype=np.uint64), fp[:300]])
+    for i in range(200, 500):
+        for b in rng.choice(64, i % 12, replace=False):
+            seen[i] ^= np.uint64(1) << np.uint64(b)
+    tables = []
+    for block in fp.view(np.uint16).reshape(-1, 4).T:
+        order, counts = np.argsort(block, kind="stable").astype(np.int32), np.bincount(block, minlength=1 << 16)
+        beside = np.zeros(1 << 16, bool)
+        for flip in decontaminate._BESIDE:
+            beside[np.flatnonzero(counts) ^ int(flip)] = True
+        tables.append((order, counts, np.cumsum(counts) - counts, beside))
+    got = {(a, b) for w, e in decontaminate.near_pairs(seen, fp, tables) for a, b in zip(w.tolist(), e.tolist())}
+    near = np.bitwise_count(np.bitwise_xor.outer(seen, fp)) <= decontaminate.RADIUS
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(near)))) and len(got) > 150
+
+
+def test_hits_equal_all_pairs_of_windows(monkeypatch):
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 7)
+    rng = random.Random(32)
+    items = [(i, prose(rng, rng.randrange(5, 60), 40)) for i in range(25)]
+    index = decontaminate.ItemIndex(items)
+    texts = [prose(rng, 50, 40) + " " + t + " " + prose(rng, 20, 40) for _, t in items]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    starts, ends, first = kernels.words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    h = kernels.word_hashes(np.frombuffer(b"".join(raw), np.uint8), starts, ends)
+    expected = set()
+    for size, stride, fp, item, offset, _ in index.classes:
+        for t in range(len(texts)):
+            at = np.arange(first[t], first[t + 1] - size + 1, stride)
+            if len(at):
+                seen = decontaminate.window_prints(h, at, size, decontaminate.bit_sums(h, size))
+                w, e = np.nonzero(np.bitwise_count(np.bitwise_xor.outer(seen, fp)) <= decontaminate.RADIUS)
+                expected |= {(t, int(item[j]), int(at[i] - offset[j])) for i, j in zip(w, e)}
+    assert {tuple(r) for r in index.hits(h, first).tolist()} == expected
+
+
+def _edited(rng, w, edits):
+    w = list(w)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(w)), rng.randrange(3)
+        if kind == 0:
+            w[at] = f"e{rng.randrange(3000)}"
+        elif kind == 1:
+            w.insert(at, f"e{rng.randrange(3000)}")
+        elif len(w) > 5:
+            del w[at]
+    return w
+
+
+def test_recall_of_edited_items():
+    """Items of 30 to 1,500 words with edits that keep a containment of 0.8 or more."""
+    rng = random.Random(33)
+    sizes = [30, 60, 120, 400, 1500]
+    items = [(i, prose(rng, sizes[i % 5])) for i in range(60)]
+    index, tried, found = decontaminate.ItemIndex(items), 0, 0
+    for i, text in items * 4:
+        w = text.split()
+        copy = _edited(rng, w, rng.randrange(0, 1 + max(1, len(w) // 28)))
+        shingles = lambda x: collections.Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4))
+        if sum((shingles(w) & shingles(copy)).values()) < 0.8 * (len(w) - 4):
+            continue
+        buf = np.frombuffer(" ".join([prose(rng, 40), *copy, prose(rng, 40)]).encode(), np.uint8)
+        starts, ends, first = kernels.words(buf, np.array([0, len(buf)]))
+        tried += 1
+        found += i in {index.ids[r[1]] for r in index.matches(kernels.word_hashes(buf, starts, ends), first)}
+    assert tried > 150 and found >= 0.98 * tried, (found, tried)
+
+
+def test_item_blocks_are_bounded_and_change_nothing(spark, make_docs):
+    rng = random.Random(34)
+    items = [(i, prose(rng, 40)) for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontaminate.indexes(bench, 1000))
+    assert len(blocks) > 5 and sorted(k for b in blocks for k in b.ids) == list(range(30))
+
+
 # --- secrets -------------------------------------------------------------------------
 
 
@@ -307,6 +407,56 @@ def test_ownership_separates_examples_and_redaction_masks_live_values(make_docs)
     assert texts[50] == ("é my password=<secret> there", 28) and texts[0][0] == rows[0][1] and texts[51][0] is None and len(texts) == len(rows)
 
 
+def test_many_repositories_make_an_example_and_spans_are_named(make_docs):
+    rows = [(i, "x token = manyrepos99 y", "one") for i in range(60)] + [(100, "a token = manyrepos99 password=single77 b", "one")]
+    got = {r.doc_id: r for r in secrets.digest(secrets.judged(make_docs(rows))).collect()}
+    assert (got[100].n_live, got[100].n_example) == (1, 1)
+    (a, b) = (int(x) for x in got[100].live_spans.split(":")[1:])
+    assert rows[-1][1][a:b] == "password=single77" and got[5].live_spans == ""
+    fewer = {r.doc_id: r.n_live for r in secrets.digest(secrets.judged(make_docs(rows), example_repositories=100)).collect()}
+    assert fewer[100] == 2
+
+
+def test_bare_tokens_begin_their_run(make_docs):
+    jwt = "eyJ" + "a" * 10 + "." + "b" * 10 + "." + "c" * 12
+    texts = [jwt, f"é {jwt} {jwt}", f"x{jwt}", f"token {jwt[:20]}"]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.judged(make_docs(list(enumerate(texts))))).collect()}
+    n = len(jwt)
+    assert got[0] == f"jwt:0:{n}" and got[1] == f"jwt:2:{2 + n},jwt:{3 + n}:{3 + 2 * n}" and "jwt" not in got[2] + got[3]
+
+
+def test_very_long_texts_with_many_matches(make_docs):
+    import time
+
+    many = " ".join(f"token=a{i:08d}" for i in range(40000))
+    rows = [(1, "eyJ" * 350000, "s0"), (2, many, "s1"), (3, "token=abcdefgh " * 40000, "s2")]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.digest(secrets.judged(make_docs(rows))).collect()}
+    out = {r.doc_id: r.text for r in secrets.redacted(make_docs(rows)).collect()}
+    assert time.perf_counter() - began < 60
+    assert (got[1].n_assign, got[2].n_assign, got[3].n_assign) == (0, 40000, 40000) and got[2].n_live == 40000
+    assert out[2] == " ".join(["token=<secret>"] * 40000) and out[1] == rows[0][1] and out[3] == "token=<secret> " * 40000
+
+
+def test_masking_joins_touching_values(make_docs):
+    rng = random.Random(35)
+    rows = []
+    for k in range(40):
+        parts = [rng.choice(["é🙂 plain ", "token=" + "a1" * rng.randrange(3, 20), " AKIA" + "B" * 18, "0a" * 15, "x" * rng.randrange(300), " "]) for _ in range(12)]
+        rows.append((k, "".join(parts), "s0"))
+    out = {r.doc_id: r.text for r in secrets.redacted(make_docs(rows), example_repositories=1000).collect()}
+    for k, t, _ in rows:
+        at, text = 0, ""
+        values = [(m.end() - len(m[2]), m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+        values += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [m.span() for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        starts = {(m.end() - len(m[2]), m.end()): m.start() for m in ASSIGN.finditer(t)}
+        for a, b in sorted(values, key=lambda v: (starts.get(v, v[0]), v)):
+            if a >= at:
+                text += t[at:a] + "<secret>"
+            at = max(at, b)
+        assert out[k] == text + t[at:]
+
+
 # --- licenses ------------------------------------------------------------------------
 
 
@@ -331,6 +481,45 @@ def test_license_scan_finds_full_and_edited_templates(make_docs):
         licenses.TemplateIndex({"none": " - "})
 
 
+def brute_license(text, template):
+    """The largest share of the template's shingles in a stretch of its length and an eighth more on either side."""
+    plain = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower()).split()
+    w, t = plain(text), plain(template)
+    shingles = lambda x: [tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))]
+    wanted, have, best = set(shingles(t)), shingles(w), 0.0
+    for start in range(-len(t) // 8, len(w)):
+        a, b = max(0, start - len(t) // 8), start + len(t) + len(t) // 8
+        best = max(best, len(wanted.intersection(have[a:b])) / len(wanted))
+    return best
+
+
+def test_license_recall_against_brute_force():
+    rng = random.Random(36)
+    index, tried, found = licenses.TemplateIndex(licenses.TEMPLATES), 0, 0
+    for name in sorted(licenses.TEMPLATES) * 6:
+        w = licenses.TEMPLATES[name].split()
+        text = " ".join([prose(rng, 30), *_edited(rng, w, rng.randrange(0, 1 + max(1, len(w) // 25))), prose(rng, 30)])
+        buf = np.frombuffer(text.encode(), np.uint8)
+        got = {index.names[r[1]]: r[4] for r in index.matches(buf, np.array([0, len(buf)]))}
+        value = brute_license(text, licenses.TEMPLATES[name])
+        if value >= 0.8:
+            tried += 1
+            found += name in got
+            if name in got:
+                assert got[name] <= value + 1e-9
+        else:
+            assert name not in got
+    assert tried > 60 and found >= 0.97 * tried, (found, tried)
+
+
+def test_license_punctuation_and_blocks(make_docs):
+    text = licenses.TEMPLATES["mit-text"].replace('"', "“").replace(",", "\u00a0").replace("Software", "Software™")
+    got = licenses.scan(make_docs([(1, "©" + text + "»")])).collect()
+    assert [(r.doc_id, r.license) for r in got] == [(1, "mit-text")]
+    blocks = list(licenses.indexes(licenses.TEMPLATES, 800))
+    assert len(blocks) > 3 and sorted(n for b in blocks for n in b.names) == sorted(licenses.TEMPLATES)
+
+
 # --- quality classifier ----------------------------------------------------------------
 
 
@@ -355,6 +544,28 @@ def test_classifier_learns_without_held_out_rows(spark, make_docs):
     assert {r.score for r in empty} == {0.5}
 
 
+def test_scores_are_the_plain_cosine_vote():
+    rng = np.random.default_rng(37)
+    x = np.abs(rng.normal(size=(300, knn_quality.DIMS + knn_quality.STEPS))).astype(np.float32)
+    x[7] = 0
+    y = (rng.random(300) < 0.8).astype(float)
+    model = knn_quality.Model(x, y)
+    q = np.concatenate([x[:20], np.abs(rng.normal(size=(20, x.shape[1]))).astype(np.float32)])
+    got = model.score(q, block=9)
+    basis, unit = model.basis.astype(float), lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) > 1e-9 else v
+    known = [unit((r * model.idf) @ basis) for r in x]
+    rare = (1 - y.mean()) if y.mean() >= 0.5 else y.mean()
+    for i, r in enumerate(q):
+        v = unit((r * model.idf) @ basis)
+        sims = np.array([v @ k for k in known])
+        near = np.argsort(-sims)[: knn_quality.NEIGHBOURS]
+        w = np.clip(sims[near], 0, None) ** knn_quality.SHARPNESS * np.where(y[near] == float(y.mean() < 0.5), min(knn_quality.BALANCE, (1 - rare) / rare), 1.0)
+        expected = ((w * y[near]).sum() + knn_quality.PRIOR_WEIGHT * y.mean()) / (w.sum() + knn_quality.PRIOR_WEIGHT)
+        if i != 7:
+            assert got[i] == pytest.approx(expected, abs=1e-4)
+    assert got[7] == pytest.approx(y.mean())
+
+
 # --- substring dedup ---------------------------------------------------------------------
 
 
@@ -490,3 +701,49 @@ def test_chains_against_brute_force():
         value = lambda c: sum(r[2] for r in c) - substring.GAP_COST * sum(b[0] - a[0] - a[2] + b[1] - a[1] - a[2] for a, b in zip(c, c[1:]))
         assert max(map(value, found)) == pytest.approx(best)
         assert sorted(r for c in found for r in c) == runs
+
+
+def test_long_gaps_leave_one_passage(make_docs):
+    """Two alike ends of 100 words with a middle whose every sixth word differs, however long it is."""
+    rng = random.Random(40)
+    rows, wanted = [], {}
+    for k, n in enumerate((0, 150, 199, 400, 1500, 5000)):
+        ends, middle = [prose(rng, 100) for _ in range(2)], prose(rng, n).split()
+        other = [f"x{rng.randrange(3000)}" if i % 6 == 5 else w for i, w in enumerate(middle)]
+        for half in (middle, other):
+            rows.append((10 * k + len(rows) % 2, " ".join([prose(rng, 30), ends[0], *half, ends[1], prose(rng, 30)])))
+        wanted[10 * k] = n + 200
+    got = substring.repeated_passages(make_docs(rows)).collect()
+    for k, n in wanted.items():
+        spans = [(r.first_word, r.end_word) for r in got if r.doc_id == k]
+        assert spans and max(b - a for a, b in spans) >= n, (k, spans)
+
+
+def test_passages_in_very_long_texts(make_docs):
+    rng = random.Random(41)
+    shared = prose(rng, 70, 100000)
+    rows = [(k, f"{prose(rng, 60000, 10**7)} {shared} {prose(rng, 60000, 10**7)}") for k in range(2)]
+    got = substring.repeated_passages(make_docs(rows)).collect()
+    assert {(r.doc_id, r.first_word, r.end_word) for r in got} == {(0, 60000, 60070), (1, 60000, 60070)}
+
+
+def test_equal_texts_are_one_class(make_docs):
+    rng = random.Random(42)
+    passage = prose(rng, 80)
+    same = prose(rng, 40) + " " + passage
+    rows = [(k, same) for k in (5, 6, 7)] + [(9, prose(rng, 50) + " " + passage), (10, "short same"), (11, "short same")]
+    got = {(r.doc_id, r.partner_id, r.first_word, r.end_word) for r in substring.repeated_passages(make_docs(rows)).collect()}
+    assert got == {(5, 7, 0, 120), (6, 5, 0, 120), (7, 5, 0, 120), (5, 9, 40, 120), (9, 5, 50, 130)}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from varve.llm import durable
+
+    fake = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named), sparkContext=SimpleNamespace(master=master))
+    assert durable.shared_folder(fake("spark://host:7077", "hdfs:///x")) == "hdfs:///x"
+    assert "varve-shared" in durable.shared_folder(fake("local[4]", None))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            durable.shared_folder(fake(master, None))

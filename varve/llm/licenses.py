@@ -1,7 +1,7 @@
 """License scans: MinHash bands over overlapping text windows, verified by containment.
 
-Words are runs of letters and digits, folded (ASCII marks, general punctuation
-and the signs of the Latin-1 block separate them); five of them make a shingle (all
+Words are runs of letters and digits, folded (ASCII marks, general punctuation,
+the signs of the Latin-1 block and the trade mark separate them); five of them make a shingle (all
 of them where there are fewer).  A template of ``n`` shingles belongs to the
 window size ``W``, the largest power of two with ``2 W - 1 <= n``, and is
 indexed at every offset; document windows of W shingles advance by half a
@@ -132,7 +132,7 @@ def parse(buf: np.ndarray, offsets: np.ndarray) -> tuple:
     plain = _PLAIN[buf]
     two, three = np.flatnonzero(buf[:-1] == 0xC2), np.flatnonzero(buf[:-2] == 0xE2)
     two = two[(buf[two + 1] >= 0xA0) & (buf[two + 1] <= 0xBF) & ~np.isin(buf[two + 1], (0xAA, 0xB5, 0xBA))]
-    three = three[(buf[three + 1] == 0x80) | (buf[three + 1] == 0x81)]
+    three = three[(buf[three + 1] == 0x80) | (buf[three + 1] == 0x81) | ((buf[three + 1] == 0x84) & (buf[three + 2] == 0xA2))]
     for at, width in ((two, 2), (three, 3)):
         for k in range(width):
             plain[at + k] = 32

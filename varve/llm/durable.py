@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from varve.session import shared_folder
 
@@ -19,6 +20,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """A narrow ``df`` of fixed-size rows, made durable, and whether it is known to have at most ``most`` rows; if so it is broadcast."""
+    kept = durable(df)
+    few = kept.limit(most + 1).count() <= most
+    return (F.broadcast(kept) if few else kept), few
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a table that is no longer needed."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -27,11 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from varve.llm.durable import durable
+from varve.llm.durable import bounded, durable
 from varve.llm.words import SYMBOLS_RATIO_CHARS, unused, without, word_count
 
 RANGE = 4096
 LEVELS = 10
+SOURCES = 10_000
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
@@ -149,8 +150,8 @@ def draws(docs: DataFrame, seed: str = SEED, max_epochs: float = MAX_EPOCHS, wei
 def mix(docs: DataFrame, seed: str = SEED, max_epochs: float = MAX_EPOCHS, weights=WEIGHTS) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with the columns it came with.
 
-    One row for each source tells the epochs and the last key taken beyond them,
-    so texts meet no shuffle.
+    One row for each source tells the epochs and the last key taken beyond them;
+    up to SOURCES of them are broadcast, so texts meet no shuffle.
     """
     df = placed(docs, seed, max_epochs, weights)
     order = ["key", "doc_id", "size", "text_hash"]
@@ -162,6 +163,7 @@ def mix(docs: DataFrame, seed: str = SEED, max_epochs: float = MAX_EPOCHS, weigh
     body = F.coalesce("text", F.lit(""))
     draw = F.when(F.col("doc_id").isNull(), uniform(seed, F.md5(body))).otherwise(uniform(seed, F.col("doc_id")))
     df = docs.withColumn(size, word_count(F.col("text"))).withColumn(key, -F.log(draw) / quality_weight(F.col("text"), F.col(size)))
+    cuts, _ = bounded(cuts, SOURCES)
     df = df.join(cuts, F.xxhash64("source", F.col("source").isNull()) == F.col(source))
     here = F.struct(F.col(key).alias("key"), F.col("doc_id").alias("doc_id"), F.col(size).alias("size"), F.xxhash64(body).alias("text_hash"))
     times = F.col(epochs) + F.coalesce((F.col(size) > 0) & (here <= F.col(cut)), F.lit(False)).cast("int")

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.durable import durable
+from varve.llm.durable import bounded, durable
 from varve.llm.words import let, member, running, unused
 
 
@@ -67,6 +67,7 @@ EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 50
 SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
 CHUNK = 256
+FEW = 500_000
 
 
 def kind_spans(text: Column, kind: Kind, rank: int) -> Column:
@@ -209,17 +210,22 @@ def masked(body: Column, hits: Column, mask: str) -> Column:
 def redacted(docs: DataFrame, mask: str = "<secret>", **settings) -> DataFrame:
     """``docs`` with the values of live-looking spans replaced; other documents as they came.
 
-    Only documents with a live-looking value meet the verdicts; ``n_chars`` is
-    brought up to date where the input has it.
+    Only documents with a live-looking value meet the verdicts: the keys of up to
+    FEW of them are broadcast to part them from the rest, whose texts stay where
+    they are.  ``n_chars`` is brought up to date where the input has it.
     """
     text = F.coalesce("text", F.lit(""))
     found, key, k = unused(docs.columns, "__found", "__key", "__k")
     verdicts = judged(docs, **settings).filter(F.size("live") > 0)
     keys = verdicts.select(F.xxhash64("doc_id", "text_hash").alias(key), live_spans(F.col("found"), F.col("live")).alias(found))
     keys = keys.groupBy(key).agg(F.min(found).alias(found))
-    df = docs.withColumn(k, F.xxhash64("doc_id", F.xxhash64(text))).join(keys, F.col(k) == F.col(key), "left")
-    new = {"text": F.when(F.col(found).isNotNull(), masked(text, F.col(found), mask)).otherwise(F.col("text"))}
-    df = df.withColumns(new)
+    df = docs.withColumn(k, F.xxhash64("doc_id", F.xxhash64(text)))
+    hit = unused(docs.columns, "__hit")[0]
+    hits, few = bounded(keys.select(F.col(key).alias(hit)), FEW)
+    rest = df.join(hits, F.col(k) == F.col(hit), "left_anti")
+    some = df.join(hits, F.col(k) == F.col(hit), "left_semi") if few else df
+    some = some.join(keys, F.col(k) == F.col(key)).withColumn("text", masked(text, F.col(found), mask))
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col(found).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return df.select(*[f"`{c}`" for c in docs.columns])
+        some = some.withColumn("n_chars", F.length("text").cast("long"))
+    cols = [f"`{c}`" for c in docs.columns]
+    return rest.select(*cols).unionByName(some.select(*cols))

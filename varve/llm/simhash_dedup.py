@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.components import components
-from varve.llm.durable import durable
+from varve.llm.durable import bounded, durable
 from varve.llm.words import unused
 
 SHINGLE = 3
 RADIUS = 3
 BLOCK = 2048
 PIECE = 1 << 16
+FEW = 500_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -171,15 +172,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the least id, with the columns it came with.
 
     The keys of rows that go, and of those that stand more than once, are the
-    smaller side: where they are few, Spark broadcasts them and texts stay where
-    they are; else both sides are shuffled.
+    smaller side: up to FEW of them are broadcast and texts stay where they are;
+    beyond that both sides are shuffled.
     """
     base, merged = classes(docs)
     own, key, once = unused(docs.columns, "__own", "__key", "__once")
     keys = base.join(merged, (F.xxhash64("fp") == F.xxhash64("f")) & (F.col("fp") == F.col("f")))
     keeper = F.xxhash64("keeper.doc_id", "keeper.text_hash")
     keys = keys.groupBy(F.xxhash64("doc_id", "text_hash").alias(key)).agg(F.max(F.xxhash64("doc_id", "text_hash") == keeper).alias("stays"), F.count(F.lit(1)).alias("n"))
-    odd = durable(keys.filter("not stays or n > 1"))
+    odd, _ = bounded(keys.filter("not stays or n > 1"), FEW)
     keyed = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
     kept = keyed.join(odd.select(key), F.col(own) == F.col(key), "left_anti")
     repeated = odd.filter("stays").select(F.col(key).alias(once))

@@ -4,6 +4,7 @@ import ast
 import shutil
 import subprocess
 import sys
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import __spark_entry__
@@ -20,6 +21,14 @@ def test_entry_runs(spark):
     assert df.columns == ["campaign", "site", "position", "depth", "richness", "shannon", "hill1", "pielou"] and df.count() > 0
 
 
+def test_queries_of_several_threads_share_one_archive(spark):
+    spark.sparkContext._varve_shipped = False
+    queries = __spark_entry__.queries()
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda _: queries["src_2_3_projected_scan"](spark, "/root/testdata/sf0.001").count(), range(4)))
+    assert len(set(got)) == 1 and got[0] > 0
+
+
 def test_rest_works_without_the_corpus_subpackage(tmp_path):
     for name in ("__spark_entry__.py", "varve"):
         source = ROOT / name

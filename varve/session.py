@@ -4,27 +4,32 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipping = threading.Lock()
+
 
 def ship(spark: SparkSession) -> None:
     """Gives executors this package, once a context; their Python need not have it installed.
 
-    The archive is served by the driver, so no shared folder is involved.
+    The archive is served by the driver, so no shared folder is involved; queries
+    started from several threads wait for the first to add it.
     """
     sc = spark.sparkContext
-    if getattr(sc, "_varve_shipped", False):
-        return
-    home = Path(__file__).resolve().parent
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="varve-ship-")), "varve.zip")
-    with zipfile.ZipFile(path, "w") as archive:
-        for file in sorted(home.rglob("*.py")):
-            archive.write(file, str(file.relative_to(home.parent)))
-    sc.addPyFile(path)
-    sc._varve_shipped = True
+    with _shipping:
+        if getattr(sc, "_varve_shipped", False):
+            return
+        home = Path(__file__).resolve().parent
+        path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="varve-ship-")), "varve.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for file in sorted(home.rglob("*.py")):
+                archive.write(file, str(file.relative_to(home.parent)))
+        sc.addPyFile(path)
+        sc._varve_shipped = True
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "varve") -> SparkSession:

@@ -61,9 +61,12 @@ def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and where each text's words begin (one entry more than texts)."""
-    inside = ~_SPACE[buf]
+def words(buf: np.ndarray, offsets: np.ndarray, inner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and where each text's words begin (one entry more than texts).
+
+    ``inner`` tells for each of 256 bytes whether it is part of a word; by default all but blanks are.
+    """
+    inside = ~_SPACE[buf] if inner is None else inner[buf]
     cuts = offsets[1:-1]
     follows = np.empty(len(buf), bool)
     follows[:1] = False
@@ -78,6 +81,31 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z folded."""
+    return _LOWER[buf]
+
+
+def distinct_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words in order of appearance, and for each word which of them it is."""
+    sizes = np.cumsum(ends - starts)
+    marks = np.zeros(len(buf) + 1, np.int8)
+    marks[starts] += 1
+    marks[ends] -= 1
+    body = buf[np.cumsum(marks[:-1], dtype=np.int8).view(bool)]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    offsets[1:] = sizes
+    array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+    coded = array.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order of appearance, and for each value which of them it is; hashed, not sorted."""
+    coded = pa.array(keys).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, piece: int = 1 << 22) -> np.ndarray:
     """A 64-bit hash of every word, A-Z folded if ``lower``; ``piece`` bytes are hashed at a time."""
     out = np.empty(len(starts), np.uint64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from varve.llm import mixing, quality_rules, secrets
+from varve.llm import importance, mixing, quality_rules, secrets
 from varve.llm.words import SYMBOLS_RATIO_CHARS
 
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -90,3 +90,32 @@ def op8() -> str:
   c AS (SELECT rid, {n}, sha256(coalesce({listed} FILTER (WHERE rank < {len(secrets.BASE)}), '')) AS base_sha256, {listed} AS spans, {listed} FILTER (WHERE NOT shared) AS live_spans,
     count(DISTINCT value) FILTER (WHERE NOT shared) AS n_live, count(DISTINCT value) FILTER (WHERE shared) AS n_example FROM f JOIN o USING (value) GROUP BY rid)
   SELECT doc_id, {back}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live_spans, '') AS live_spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN c USING (rid)"""
+
+
+def op11() -> str:
+    """A CRC-32 is linear: each byte adds its table entry carried over the bytes after it, and the length adds a constant."""
+    n = importance.BUCKETS
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    folded = f"translate(coalesce(text, ''), '{upper}', '{lower}')"
+    found = rf"regexp_extract_all({folded}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    runs = " UNION ALL ".join(f"SELECT rid, kind, array_to_string(w[i:i + {k}], ' ') AS f FROM (SELECT rid, kind, w, unnest(range(1, len(w) - {k} + 1)) AS i FROM d)" for k in range(importance.DEPTH))
+    step = "CASE WHEN {0} % 2 = 1 THEN xor({0} // 2, 3988292384) ELSE {0} // 2 END"
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM (SELECT 'raw' AS kind, doc_id, {found} AS w FROM documents UNION ALL SELECT 'target', NULL, {found} FROM benchmark)),
+  r AS MATERIALIZED ({runs}),
+  u AS MATERIALIZED (SELECT DISTINCT f, hex(encode(f)) AS h, strlen(f) AS n FROM r),
+  bits(b, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT b, {step.format("c")}, k + 1 FROM bits WHERE k < 8),
+  crc AS MATERIALIZED (SELECT b, c FROM bits WHERE k = 8),
+  far(b, c, k) AS (SELECT b, c, 0 FROM crc UNION ALL SELECT far.b, xor(far.c // 256, crc.c), k + 1 FROM far JOIN crc ON crc.b = far.c % 256 WHERE k < (SELECT max(n) FROM u)),
+  zero(c, k) AS (SELECT 4294967295::BIGINT, 0 UNION ALL SELECT xor(zero.c // 256, crc.c), k + 1 FROM zero JOIN crc ON crc.b = zero.c % 256 WHERE k < (SELECT max(n) FROM u)),
+  bytes AS (SELECT f, n - 1 - i AS k, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT AS b FROM (SELECT f, h, n, unnest(range(n)) AS i FROM u)),
+  sums AS (SELECT f, bit_xor(far.c) AS c, count(*) AS n FROM bytes JOIN far USING (b, k) GROUP BY f),
+  bucket AS MATERIALIZED (SELECT f, xor(xor(sums.c, zero.c), 4294967295) % {n} AS bucket FROM sums JOIN zero ON zero.k = sums.n),
+  held AS (SELECT bucket, count(*) FILTER (kind = 'raw') AS s, count(*) FILTER (kind = 'target') AS t FROM r JOIN bucket USING (f) GROUP BY bucket),
+  whole AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM held),
+  gain AS (SELECT bucket, floor(1000 * ln((held.t + 1)::DOUBLE * (whole.s + {n}) / ((held.s + 1)::DOUBLE * (whole.t + {n}))))::BIGINT AS gain FROM held, whole),
+  weighed AS (SELECT rid, sum(gain)::BIGINT AS weight, count(*) AS n FROM r JOIN bucket USING (f) JOIN gain USING (bucket) GROUP BY rid),
+  scored AS (SELECT doc_id, len(w) >= {importance.LEAST_WORDS} AS drawable, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+    FROM d LEFT JOIN weighed USING (rid) WHERE kind = 'raw'),
+  placed AS (SELECT *, row_number() OVER (ORDER BY drawable DESC, score DESC, doc_id) AS place, count(*) FILTER (drawable) OVER () AS many FROM scored)
+  SELECT doc_id, n_features, weight, score, CASE WHEN place <= {importance.PERCENT} * many // 100 THEN place END AS rank FROM placed"""

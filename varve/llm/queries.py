@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import chat, decontaminate, knn_quality, langid, licenses, mixing, oracle, quality_rules, secrets, simhash_dedup, substring
+from varve.llm import chat, decontaminate, importance, knn_quality, langid, licenses, mixing, oracle, quality_rules, secrets, simhash_dedup, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    gains = importance.target_gains(docs, _table(spark, sf_dir, "benchmark"))
+    return importance.ranked(docs, gains).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 _ALL = (
     op1_language_id,
     op2_decontaminate,
@@ -67,6 +73,7 @@ _ALL = (
     op8_secrets,
     op9_quality_classifier,
     op10_substrings,
+    op11_importance,
 )
 
 
@@ -75,4 +82,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_quality_rules": oracle.op4(), "op5_mix": oracle.op5(), "op7_chat": oracle.op7(), "op8_secrets": oracle.op8()}
+    return {"op4_quality_rules": oracle.op4(), "op5_mix": oracle.op5(), "op7_chat": oracle.op7(), "op8_secrets": oracle.op8(), "op11_importance": oracle.op11()}

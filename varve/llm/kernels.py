@@ -106,6 +106,12 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[k], starts[k] + 1, ... of all spans one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, piece: int = 1 << 22) -> np.ndarray:
     """A 64-bit hash of every word, A-Z folded if ``lower``; ``piece`` bytes are hashed at a time."""
     out = np.empty(len(starts), np.uint64)

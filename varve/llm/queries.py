@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import chat, decontaminate, importance, knn_quality, langid, licenses, mixing, oracle, quality_rules, secrets, simhash_dedup, substring
+from varve.llm import alignment, chat, decontaminate, importance, knn_quality, langid, licenses, mixing, oracle, quality_rules, secrets, simhash_dedup, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.ranked(docs, gains).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def _tokenizer(name: str) -> str:
+    """The place of a public vocabulary file, the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return alignment.aligned(docs, _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 _ALL = (
     op1_language_id,
     op2_decontaminate,
@@ -74,6 +86,7 @@ _ALL = (
     op9_quality_classifier,
     op10_substrings,
     op11_importance,
+    op13_alignment,
 )
 
 

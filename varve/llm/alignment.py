@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.durable import durable
-from varve.llm.kernels import spans
+from varve.llm.kernels import packed_numbers, spans, unpacked_numbers
 from varve.llm.tokens import byte_encoder, piece_encoder
 
 #: bytes of text aligned at a time
@@ -185,17 +185,6 @@ class Aligner:
                 size += len(text or "")
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Small numbers packed: their low bytes, then the next, compressed."""
-    raw = np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-    return pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _numbers(packed: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, n).T).view(np.uint32).ravel()
-
-
 def _block(name: str, rows: dict[str, list], entries: list[tuple]) -> pa.RecordBatch:
     """One row: the documents' columns, the distinct pairs by falling number of documents, and each document's links as places in that list."""
     held, pair, times = (np.concatenate(x) for x in zip(*entries))
@@ -204,7 +193,7 @@ def _block(name: str, rows: dict[str, list], entries: list[tuple]) -> pa.RecordB
     place = np.empty(len(codes), np.int64)
     place[order] = np.arange(len(codes))
     row = {"block": [name]} | {k: [v] for k, v in rows.items()}
-    row |= {"held": [held.tolist()], "pairs": [codes[order]], "n": [n[order]], "links": [_planes(place[which])], "times": [_planes(times)]}
+    row |= {"held": [held.tolist()], "pairs": [codes[order]], "n": [n[order]], "links": [packed_numbers(place[which])], "times": [packed_numbers(times)]}
     return pa.RecordBatch.from_pydict(row)
 
 
@@ -273,7 +262,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, most: int = BLOCK) -> Dat
             documents, best = np.zeros(right.num_rows, np.int64), np.zeros(right.num_rows, bool)
             place = right.column("place").to_numpy()
             documents[place], best[place] = right.column("documents").to_numpy(), right.column("best").to_numpy(zero_copy_only=False)
-            at, times = _numbers(row["links"], n), _numbers(row["times"], n).astype(np.int64)
+            at, times = unpacked_numbers(row["links"], n), unpacked_numbers(row["times"], n).astype(np.int64)
             upto = np.concatenate([[0], np.cumsum(held)])
             for name, value in (("n_best", best[at]), ("count_sum", documents[at])):
                 sums = np.concatenate([[0], np.cumsum(times * value)])

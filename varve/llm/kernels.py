@@ -112,6 +112,18 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def packed_numbers(values: np.ndarray) -> bytes:
+    """Small unsigned numbers compressed: the low bytes of all, then the next."""
+    raw = np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked_numbers(packed: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``packed_numbers``."""
+    raw = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, n).T).view(np.uint32).ravel()
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, piece: int = 1 << 22) -> np.ndarray:
     """A 64-bit hash of every word, A-Z folded if ``lower``; ``piece`` bytes are hashed at a time."""
     out = np.empty(len(starts), np.uint64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import alignment, chat, decontaminate, importance, knn_quality, langid, licenses, mixing, oracle, quality_rules, secrets, simhash_dedup, substring
+from varve.llm import alignment, chat, decontaminate, importance, knn_quality, langid, licenses, mixing, oracle, packing, quality_rules, secrets, simhash_dedup, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return alignment.aligned(docs, _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
@@ -86,6 +90,7 @@ _ALL = (
     op9_quality_classifier,
     op10_substrings,
     op11_importance,
+    op12_packing,
     op13_alignment,
 )
 

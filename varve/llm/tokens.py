@@ -153,6 +153,16 @@ class PieceEncoder:
         return self.model.encode(text)
 
 
-word_encoder = functools.lru_cache(WordEncoder)
-byte_encoder = functools.lru_cache(ByteEncoder)
-piece_encoder = functools.lru_cache(PieceEncoder)
+@functools.lru_cache
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
+@functools.lru_cache
+def byte_encoder(path: str) -> ByteEncoder:
+    return ByteEncoder(path)
+
+
+@functools.lru_cache
+def piece_encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)

@@ -228,15 +228,19 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no item, with the columns they came with."""
     sc = docs.sparkSession.sparkContext
+    names = docs.columns
+    # plain names on the way: those of the input may hold dots
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{names.index('text')}"
     for index in indexes(benchmark):
         shared = sc.broadcast(index)
 
         def keep(batches, shared=shared):
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for row in _scanned(batch.column("text"), shared.value):
+                for row in _scanned(batch.column(text), shared.value):
                     clean[row[0]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    return docs.toDF(*names)

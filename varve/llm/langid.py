@@ -47,11 +47,11 @@ _HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z
 _TAG = re.compile(r"(?s)<[^<>]*>")
 _COMMENT = r"(?s)<!--.*?(-->|\z)"
 _QUOTE = "[\"']?"
-_DECLARED = (
-    rf"(?i)<html\b(?:[^<>]*?\s)?(?:xml:)?lang\s*=\s*{_QUOTE}([A-Za-z]{{2,8}})",
-    rf"(?i)<meta\b[^<>]*?\shttp-equiv\s*=\s*{_QUOTE}content-language\b[^<>]*?\scontent\s*=\s*{_QUOTE}\s*([A-Za-z]{{2,8}})",
-    rf"(?i)<meta\b[^<>]*?\scontent\s*=\s*{_QUOTE}\s*([A-Za-z]{{2,8}})[^<>]*?\shttp-equiv\s*=\s*{_QUOTE}content-language\b",
-)
+_TAGS = r"(?i)<(?:html|meta)\b[^<>]*"
+# on tags whose blanks are single
+_LANG = rf"(?i)^<html (?:[^<>]*? )?(?:xml:)?lang ?= ?{_QUOTE}([A-Za-z]{{2,8}})"
+_CONTENT_LANGUAGE = rf"(?i)^<meta\b[^<>]* http-equiv ?= ?{_QUOTE}content-language\b"
+_CONTENT = rf"(?i) content ?= ?{_QUOTE} ?([A-Za-z]{{2,8}})"
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/]*\]|[^/?#:@\[]*)"
 _NUMBER = r"^\[|^[0-9]+(\.[0-9]+){3}$"
 #: Labels under which countries register names.
@@ -66,8 +66,11 @@ def visible(page: str | None) -> str:
 def declared(page: Column) -> Column:
     """The primary language of the markup's declaration (``html`` tag, else ``meta`` header), or nothing; comments declare none."""
     shown = F.regexp_replace(F.coalesce(page, F.lit("")), _COMMENT, " ")
-    found = let(shown, lambda p: F.coalesce(*[F.nullif(F.regexp_extract(p, x, 1), F.lit("")) for x in _DECLARED], F.lit("")))
-    return F.lower(found)
+    tags = F.transform(F.regexp_extract_all(shown, F.lit(_TAGS), F.lit(0)), lambda t: F.regexp_replace(t, r"\s+", " "))
+    own = lambda t: F.nullif(F.regexp_extract(t, _LANG, 1), F.lit(""))
+    header = lambda t: F.when(t.rlike(_CONTENT_LANGUAGE), F.nullif(F.regexp_extract(t, _CONTENT, 1), F.lit("")))
+    first = lambda ts, find: F.get(F.array_compact(F.transform(ts, find)), 0)
+    return F.lower(let(tags, lambda ts: F.coalesce(first(ts, own), first(ts, header), F.lit(""))))
 
 
 def address(url: Column) -> tuple[Column, Column, Column]:

@@ -86,7 +86,7 @@ def op8() -> str:
   i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k),
   a AS (SELECT rid, rank, kind, v[i] AS value, least, bare, coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS e, length(m[i]) AS n FROM i),
   f AS (SELECT rid, rank, kind, value, (e - CASE WHEN bare = 1 THEN length(value) + 1 ELSE n END)::BIGINT AS s, (e - bare)::BIGINT AS e FROM a WHERE length(value) >= least),
-  o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) >= {secrets.EXAMPLE_OWNERS} OR count(DISTINCT coalesce(doc_id::VARCHAR, '')) >= {secrets.EXAMPLE_REPOSITORIES} AS shared FROM f JOIN d USING (rid) GROUP BY value),
+  o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) >= {secrets.EXAMPLE_OWNERS} OR count(DISTINCT coalesce(source, chr(0))) >= 2 AND count(DISTINCT coalesce(doc_id::VARCHAR, '')) >= {secrets.EXAMPLE_REPOSITORIES} AS shared FROM f JOIN d USING (rid) GROUP BY value),
   c AS (SELECT rid, {n}, sha256(coalesce({listed} FILTER (WHERE rank < {len(secrets.BASE)}), '')) AS base_sha256, {listed} AS spans, {listed} FILTER (WHERE NOT shared) AS live_spans,
     count(DISTINCT value) FILTER (WHERE NOT shared) AS n_live, count(DISTINCT value) FILTER (WHERE shared) AS n_example FROM f JOIN o USING (value) GROUP BY rid)
   SELECT doc_id, {back}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live_spans, '') AS live_spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN c USING (rid)"""

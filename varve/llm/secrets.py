@@ -4,9 +4,10 @@ Spans come from ``split`` and ``regexp_extract_all`` with one pattern: the
 pieces between matches and the matches alternate, so running lengths give code
 point offsets without user functions; every pattern looks at a character a bounded
 number of times.  Candidate values are hashed and counted by distinct owners and
-repositories over the whole corpus.  A value that ``example_owners`` owners or
-``example_repositories`` repositories carry is a copied example, wherever it
-stands; one that stays with few looks live, and ``live_spans`` names its spans.
+repositories over the whole corpus.  A value that ``example_owners`` owners carry is
+a copied example, wherever it stands, and so is one of two owners or more in
+``example_repositories`` repositories; what stays with one owner looks live however
+often that owner repeats it, and ``live_spans`` names its spans.
 Counting is grouped aggregation with partial sums, and verdicts return over the
 distinct candidate lists, so a value pasted into a third of all documents costs
 one row in each map task.
@@ -60,9 +61,15 @@ MORE = (
     Kind("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     Kind("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     Kind("jwt", "[^A-Za-z0-9_-](eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,})", 1, 28, True),
-    Kind("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
+    # the value is the key itself, with the two header lines that an encrypted one may have
+    Kind(
+        "pem",
+        "-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----([\\x20\\t\\r\\n]*(?:Proc-Type:[^\\n]*\\n[\\x20\\t\\r]*)?(?:DEK-Info:[^\\n]*\\n)?[^-]*)",
+        1,
+        20,
+    ),
 )
-#: A value that at least so many owners, or so many repositories, carry is a copied example.
+#: A value that at least so many owners, or two and so many repositories, carry is a copied example.
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 50
 SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
@@ -139,7 +146,7 @@ def judged(
     some = base.filter(F.size("found") > 0).withColumn("values", hashes).withColumn("list_id", F.xxhash64("values"))
     lists = some.groupBy("list_id").agg(F.min("values").alias("values"))
     seen = lists.select("list_id", F.explode("values").alias("value_hash"))
-    shared = (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories)
+    shared = (F.col("n_owners") >= example_owners) | (F.col("n_owners") >= 2) & (F.col("n_repositories") >= example_repositories)
     counts = ownership(base).select(F.col("value_hash").alias("h"), shared.alias("shared"))
     verdicts = (
         seen.join(counts, F.xxhash64("value_hash", F.lit(1)) == F.xxhash64("h", F.lit(1)))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window, WindowSpec
 
 
@@ -43,16 +44,30 @@ def average_rank(value: str, by: Sequence[str] = ()) -> Column:
     return F.rank().over(over(by, value)) + (ties - 1) / F.lit(2.0)
 
 
+def range_edges(df: DataFrame, value: str, buckets: int = 256) -> list:
+    """Values that cut a column into at most ``buckets`` ranges, in its own order: numbers by approximate quantiles,
+    text, dates and whatever else can be ordered by a bounded sample of the values with the least hashes."""
+    if isinstance(df.schema[value].dataType, NumericType):
+        cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
+        return sorted(set(cuts or []))
+    known = df.select(F.col(value).alias("v")).filter("v IS NOT NULL")
+    sample = [r[0] for r in known.orderBy(F.xxhash64("v")).limit(16 * buckets).distinct().orderBy("v").collect()]
+    step = max(1, len(sample) // buckets)
+    return sample[step::step][: buckets - 1]
+
+
+def range_of(value: str, edges: Sequence) -> Column:
+    """In which of the ranges a value lies."""
+    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(value))) if edges else F.lit(0)
+
+
 def global_places(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
     """(__v, __n, __below): each distinct value, how many rows hold it and how many hold a lesser one.
 
-    No task sees all rows: distinct values are counted first, approximate
-    quantiles cut them into ranges, and below a value lies what is in the ranges
-    below and what is below it in its own.
+    No task sees all rows: distinct values are counted first and cut into ranges;
+    below a value lies what is in the ranges below and what is below it in its own.
     """
-    cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
-    edges = sorted(set(cuts or []))
-    b = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(value))) if edges else F.lit(0)
+    b = range_of(value, range_edges(df, value, buckets))
     n = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", b)
     below = n.groupBy("__b").agg(F.sum("__n").alias("__t"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,6 +77,22 @@ def global_places(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
     return n.join(F.broadcast(below), "__b").select(F.col(value).alias("__v"), "__n", lesser.alias("__below"))
 
 
+def prefix_sums(df: DataFrame, order: str, cols: Sequence[str], out: str = "__i", buckets: int = 256) -> DataFrame:
+    """``order``, its place from 0 (``out``) and, under each name of ``cols``, the sum of the rows before it; ``order`` is unique.
+
+    Rows are cut into ranges of ``order``; only a range is ordered in one task.
+    """
+    rows = df.select(order, *cols).withColumn("__b", range_of(order, range_edges(df, order, buckets)))
+    parts = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__t"), *[F.sum(c).alias(f"__t_{c}") for c in cols])
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    parts = parts.select("__b", *[F.coalesce(F.sum(f"__t{c}").over(before), none).alias(f"__o{c}") for c in ("", *[f"_{c}" for c in cols])])
+    inside = over(["__b"], order).rowsBetween(Window.unboundedPreceding, -1)
+    place = (F.count(F.lit(1)).over(inside) + F.col("__o")).cast("long")
+    sums = [(F.coalesce(F.sum(c).over(inside), none) + F.col(f"__o_{c}")).alias(c) for c in cols]
+    return rows.join(F.broadcast(parts), "__b").select(order, place.alias(out), *sums)
+
+
 def global_average_rank(df: DataFrame, value: str, out: str = "rank", buckets: int = 256) -> DataFrame:
     """``df`` with the average rank of ``value`` among all rows; null values have none."""
     ranks = global_places(df, value, buckets).select("__v", (F.col("__below") + (F.col("__n") + 1) / F.lit(2.0)).alias(out))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -108,7 +109,7 @@ def test_trie_holds_each_run_once():
     buf = np.frombuffer(b"a b a b a c", np.uint8)
     starts, ends, first = words(buf, np.array([0, len(buf)]), importance._INNER)
     found, which = distinct_words(buf, starts, ends)
-    trie.walk(trie.intern(found)[which], first[-1] - np.arange(len(which)), len(which))
+    trie.walk(trie.intern(found.to_pylist())[which], first[-1] - np.arange(len(which)), len(which))
     assert [len(x.crc) for x in trie.levels] == [3, 3, 3]
     assert [sorted(x.count.tolist()) for x in trie.levels] == [[1, 2, 3], [1, 2, 2], [1, 1, 2]]
     assert trie.totals().sum() == 6 + 5 + 4
@@ -148,6 +149,15 @@ def test_every_vocabulary_entry_encodes_to_itself():
             assert [t.id for t in word.tokenizer.model.tokenize(entry[:-4])] == [k], entry
 
 
+def test_plain_characters_fold_as_the_tokenizer_folds_them():
+    encoder = tokens.word_encoder(WORD)
+    plain = [c for c in map(chr, range(0x21, 0xD800)) if not tokens._ODD.search(c)]
+    assert len(plain) > 30000
+    for c in plain:
+        text = f"a{c}b"
+        assert encoder.tokenizer.normalizer.normalize_str(text) == unicodedata.normalize("NFC", text).lower(), hex(ord(c))
+
+
 def test_word_table_forgets_and_goes_on(monkeypatch):
     monkeypatch.setattr(tokens, "WORDS", 3)
     table, plain = tokens.WordTable(tokens.word_encoder(WORD)), Tokenizer.from_file(WORD)

@@ -194,7 +194,7 @@ def walked(column: pa.Array, trie: WordTrie, full=None) -> Iterator[tuple[int, i
                     full()
                 trie.clear()
             found, which = distinct_words(buf[starts[a] : ends[more - 1]], starts[a:more] - starts[a], ends[a:more] - starts[a])
-            got = trie.walk(trie.intern(found)[which], left[a:more], b - a)
+            got = trie.walk(trie.intern(found.to_pylist())[which], left[a:more], b - a)
             if got is not None:
                 own = text[a:b]
                 cuts = np.flatnonzero(np.diff(own, prepend=-1))

@@ -86,7 +86,7 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def distinct_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+def distinct_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The distinct words in order of appearance, and for each word which of them it is."""
     sizes = np.cumsum(ends - starts)
     marks = np.zeros(len(buf) + 1, np.int8)
@@ -97,7 +97,7 @@ def distinct_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     offsets[1:] = sizes
     array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
     coded = array.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64)
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -40,7 +40,7 @@ END = 2
 SHARD = 1024
 #: fixed values: the usual saturation and length weights of BM25
 K1, B = 1.2, 0.75
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: pieces returned at a time
 ROWS = 4096
 
@@ -208,8 +208,9 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, sha
         for batch in batches:
             ends = np.full((batch.num_rows, 2), vocabulary, np.int64)
             for k, (n, ids) in enumerate(zip(batch.column("length").to_pylist(), batch.column("ids").to_pylist())):
-                first = np.unique(places[unpacked_numbers(ids, n)])[:2]
-                ends[k, : len(first)] = first
+                own = places[unpacked_numbers(ids, n)]
+                ends[k, 0] = own.min()
+                ends[k, 1] = own.min(where=own != ends[k, 0], initial=vocabulary)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends[:, 0]), pa.array(ends[:, 1])], [*batch.schema.names, "first", "second"])
 
     kinds = [(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]

@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import functools
 import json
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 import tiktoken
@@ -21,9 +24,10 @@ from tokenizers import Tokenizer
 
 from varve.llm.kernels import distinct_words, spans, words
 
-#: Printable ASCII, Latin, Greek, Cyrillic, kana, Han and Hangul as they are in every version of Unicode since 3.0.
-_PLAIN = r"\x21-\x7e\xa1-\xac\xae-ȠȢ-ȳΑ-ΡΣ-ώЀ-ҁҐ-ӄぁ-ゔァ-ヺ一-龥가-힣"
-_ODD = regex.compile(f"[^{_PLAIN}]")
+#: Printable ASCII, Latin, Greek (but sigma, whose lower case depends on its place), Cyrillic, kana, Han and
+#: Hangul as they are in every version of Unicode since 3.0.
+_PLAIN = r"\x21-\x7e\xa1-\xac\xae-ȠȢ-ȳΑ-ΡΤ-ρτ-ώЀ-ҁҐ-ӄぁ-ゔァ-ヺ一-龥가-힣"
+_ODD = regex.compile(f"[^\n{_PLAIN}]+")
 _ODD_TEXT = regex.compile(rf"[^\x20\t\n\r{_PLAIN}]")
 #: Fixed value: how byte-level BPE cuts a text.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,7 +57,7 @@ class WordEncoder:
         cut = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"]
         if not mark or not cut:
             raise ValueError("a tokenizer that marks the ends of words is needed")
-        self.pattern = regex.compile(cut[0])
+        self.pattern = regex.compile(rf"\n|{cut[0]}")
         letters = byte_letters()
         special = set(self.special)
         # the end of a word is written as a zero byte, which the texts encoded here do not hold
@@ -68,23 +72,52 @@ class WordEncoder:
 
     def encode(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and where each word's begin."""
-        texts = [w.decode() for w in found]
-        out: list = [None] * len(texts)
-        plain = [k for k, w in enumerate(texts) if not _ODD.search(w) and not any(s in w for s in self.special)]
-        folded = self.tokenizer.normalizer.normalize_str("\0".join(texts[k] for k in plain)).split("\0")
-        parts = [self.pattern.findall(w) for w in folded] if plain else []
-        place = {p: k for k, p in enumerate(dict.fromkeys(p for x in parts for p in x))}
-        ids = np.array(self.ranks.encode_ordinary("".join(f"{p}\0" for p in place)), np.uint32)
-        last = np.flatnonzero(self.ends[ids]) + 1
-        bounds = np.concatenate([[0], last]).tolist()
-        for k, x in zip(plain, parts):
-            out[k] = [ids[bounds[place[p]] : bounds[place[p] + 1]] for p in x]
-        for k, w in enumerate(texts):
-            if out[k] is None:
-                out[k] = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)]
-        flat = [p for x in out for p in x]
-        sizes = np.array([sum(map(len, x)) for x in out], np.int64)
-        return (np.concatenate(flat) if flat else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum(sizes)])
+        joined = b"\n".join(found).decode()
+        odd = self._odd(joined, found)
+        if odd:
+            plain = [w for k, w in enumerate(found) if k not in odd]
+            ids, sizes = self._plain(b"\n".join(plain).decode(), len(plain))
+            own = {k: np.array(self.tokenizer.encode(found[k].decode(), add_special_tokens=False).ids, np.uint32) for k in odd}
+            which = np.array([k not in odd for k in range(len(found))])
+            every = np.empty(len(found), np.int64)
+            every[which] = sizes
+            every[~which] = [len(own[k]) for k in range(len(found)) if k in odd]
+            bounds = np.concatenate([[0], np.cumsum(every)])
+            flat = np.empty(int(bounds[-1]), np.uint32)
+            flat[spans(bounds[:-1][which], sizes)] = ids
+            for k, x in own.items():
+                flat[bounds[k] : bounds[k + 1]] = x
+            return flat, bounds
+        ids, sizes = self._plain(joined, len(found))
+        return ids, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _odd(self, joined: str, found: list[bytes]) -> set[int]:
+        """Which words hold a character that is not plain, or the string of a special token."""
+        places = [m.start() for m in _ODD.finditer(joined)]
+        for s in self.special:
+            at = joined.find(s)
+            while at >= 0:
+                places.append(at)
+                at = joined.find(s, at + 1)
+        if not places:
+            return set()
+        starts = np.cumsum([0, *(len(w.decode()) + 1 for w in found)])
+        return set((np.searchsorted(starts, places, "right") - 1).tolist())
+
+    def _plain(self, joined: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``n`` plain words, one a line, and how many each has."""
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        parts = self.pattern.findall(unicodedata.normalize("NFC", joined).lower())
+        place = {p: k for k, p in enumerate(dict.fromkeys(parts))}
+        which = np.array([place[p] for p in parts], np.int64)
+        ids = np.array(self.ranks.encode_ordinary("\0".join(place) + "\0"), np.uint32)
+        bounds = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        line = which == place.get("\n", -1)
+        word = np.cumsum(line)[~line]
+        which = which[~line]
+        sizes = bounds[which + 1] - bounds[which]
+        return ids[spans(bounds[which], sizes)], np.bincount(word, weights=sizes, minlength=n).astype(np.int64)
 
 
 class WordTable:
@@ -95,7 +128,7 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = pa.array([], pa.large_binary())
         self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +137,13 @@ class WordTable:
         found, which = distinct_words(buf, starts, ends)
         if len(self.known) > WORDS:
             self.clear()
-        known = len(self.known)
-        place = np.array([self.known.setdefault(w, len(self.known)) for w in found], np.int64)
-        fresh = [w for w, k in zip(found, place.tolist()) if k >= known]
-        if fresh:
-            ids, bounds = self.encoder.encode(fresh)
+        place = pc.index_in(found, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = place < 0
+        place[new] = np.arange(len(self.known), len(self.known) + int(new.sum()))
+        if new.any():
+            fresh = found.filter(pa.array(new))
+            ids, bounds = self.encoder.encode(fresh.to_pylist())
+            self.known = pa.concat_arrays([self.known, fresh])
             self.bounds = np.concatenate([self.bounds, len(self.ids) + bounds[1:]])
             self.ids = np.concatenate([self.ids, ids])
         word = place[which]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: list[str] = ["relational", "windows", "scalars", "diversity", "statistics", "models"]
+MODULES: list[str] = ["relational", "windows", "scalars", "diversity", "statistics", "models", "inference"]
 
 
 def _all() -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from varve.operators import networks as net
 from varve.operators import nulls as nu
 from varve.operators import relational as rel
 from varve.operators import windows as win
@@ -222,3 +223,35 @@ def ss_42_joint_log_contrast(spark, d):
     drawn = F.when(F.col("draw") >= 0, F.col("delta"))
     q = lambda x: F.round(F.percentile(drawn, F.lit(x)), 6)
     return out.groupBy("weighting").agg(F.round(F.max(F.when(F.col("draw") < 0, F.col("delta"))), 6).alias("delta"), F.count(drawn).alias("valid"), q(0.025).alias("low"), q(0.975).alias("high"))
+
+
+_ALPHAS = [0.15, 0.25, 0.35, 0.5]
+
+
+def _ratios(spark, d):
+    c = counts(spark, d)
+    return net.centred_ratios(densify(c, ["position", "campaign", "site"], "feature", "count", c), "position", "campaign", "site", "feature", "count")
+
+
+@query(f"""WITH {SQL_COUNTS}, units AS (SELECT DISTINCT campaign, site, position FROM counts), feats AS (SELECT DISTINCT feature FROM counts),
+  l AS (SELECT u.*, f.feature, ln(coalesce(c.count, 0) + 0.5::DOUBLE) AS l FROM units u CROSS JOIN feats f LEFT JOIN counts c USING (campaign, site, position, feature)),
+  k AS (SELECT campaign, site, position, feature, l - avg(l) OVER (PARTITION BY campaign, site, position) AS k FROM l), z AS (SELECT campaign, site, position, feature, k - avg(k) OVER (PARTITION BY position, campaign, feature) AS v FROM k),
+  m AS (SELECT draw, z.* FROM z, range(0, 5) d(draw)), a AS (SELECT draw, campaign, site, position, feature, row_number() OVER (PARTITION BY draw, position, campaign, feature ORDER BY site) AS n FROM m),
+  b AS (SELECT draw, campaign, position, feature, v, row_number() OVER (PARTITION BY draw, position, campaign, feature ORDER BY {_H.format("'47', draw, position, campaign, feature, site")}, site) AS n FROM m), p AS (SELECT draw, campaign, site, position, feature, v FROM a JOIN b USING (draw, position, campaign, feature, n)),
+  s AS (SELECT DISTINCT site FROM z), si AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS i FROM s), sn AS (SELECT count(*) AS n FROM s), pick AS (SELECT draw, {_H.format("'48', draw, i")} % n AS i FROM si, sn, range(0, 5) d(draw)), w AS (SELECT draw, site, count(*) AS w FROM pick JOIN si USING (i) GROUP BY ALL),
+  o AS (SELECT 'observed' AS kind, 0 AS draw, position, a.feature AS i, b.feature AS j, corr(a.v, b.v) AS r FROM z a JOIN z b USING (campaign, site, position) WHERE a.feature < b.feature GROUP BY ALL),
+  u AS (SELECT 'null' AS kind, draw, position, a.feature AS i, b.feature AS j, corr(a.v, b.v) AS r FROM p a JOIN p b USING (draw, campaign, site, position) WHERE a.feature < b.feature GROUP BY ALL),
+  t AS (SELECT 'bootstrap' AS kind, draw, position, a.feature AS i, b.feature AS j, corr(a.v, b.v) AS r FROM w JOIN z a USING (site) JOIN z b USING (campaign, site, position) JOIN range(1, 100) c(copy) ON copy <= w WHERE a.feature < b.feature GROUP BY ALL)
+  SELECT kind, draw::BIGINT AS draw, position AS compartment, i, j, round(r, 6) + 0.0::DOUBLE AS r FROM (SELECT * FROM o UNION ALL SELECT * FROM u UNION ALL SELECT * FROM t)""")
+def ss_32_network_refits(spark, d):
+    """Correlations of the campaign-centred log ratios, of tables permuted within campaigns and of resampled sites: what every refit of the network starts from."""
+    z = _ratios(spark, d)
+    r = net.correlations(z, "observed", 0, 47).unionByName(net.correlations(z, "null", 5, 47)).unionByName(net.correlations(z, "bootstrap", 5, 48))
+    return r.filter("i < j").select("kind", "draw", "compartment", "i", "j", (F.round("r", 6) + F.lit(0.0)).alias("r"))
+
+
+@query(None)
+def ss_32_33_calibrated_network(spark, d):
+    """Networks of each position: the penalty from ten permuted tables, stability and sign from twenty resamples of sites."""
+    alpha, e = net.calibrated_network(_ratios(spark, d), _ALPHAS, 10, 20, 47)
+    return e.select("compartment", "i", "j", *[F.round(c, 6).alias(c) for c in ("weight", "stability", "sign_share", "null_share")], "stable", F.lit(alpha).cast("double").alias("alpha"))

@@ -126,6 +126,51 @@ def nearest(df: DataFrame, key: str, x: str, y: str, k: int, by: Sequence[str] =
         reach *= 4
 
 
+def similar_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, threshold: float, by: Sequence[str] = (), pivots: int = 32) -> DataFrame:
+    """(i, j, similarity): all pairs of a left and a right row, equal in ``by``, whose cosine is at least ``threshold``; vectors without length match nothing.
+
+    Unit vectors of cosine c lie at distance sqrt(2 - 2c), so the join is one of a
+    radius.  The right rows are dealt to the nearest of a few of them (``pivots``, those
+    with the least hashes).  A left row visits a pivot's cell only where that cell can
+    hold a row within the radius: its distance to the pivot exceeds neither the cell's
+    reach plus the radius nor its distance to its own nearest pivot by two radii.  Pairs
+    in a cell are compared only where their distances to the pivot differ by the radius at
+    most.  No pair is lost; what is compared is ``similar_candidates``.
+    """
+    near = similar_candidates(left, right, key, vector, threshold, by, pivots)
+    dot = F.aggregate(F.zip_with("__x", "__y", lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+    return near.withColumn("similarity", dot).filter(F.col("similarity") >= threshold - 1e-12).select(*by, "i", "j", "similarity")
+
+
+def similar_candidates(left: DataFrame, right: DataFrame, key: str, vector: str, threshold: float, by: Sequence[str] = (), pivots: int = 32) -> DataFrame:
+    """The pairs that ``similar_pairs`` compares, with both unit vectors."""
+
+    def unit(df: DataFrame, k: str, v: str) -> DataFrame:
+        d = df.select(*by, F.col(key).alias(k), F.transform(F.col(vector), lambda x: x.cast("double")).alias(v))
+        size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return d.withColumn("__n", size).filter("__n > 0").withColumn(v, F.transform(v, lambda x: x / F.col("__n"))).drop("__n")
+
+    a, b = unit(left, "i", "__x"), unit(right, "j", "__y")
+    chosen = [r[0] for r in b.orderBy(F.xxhash64("j"), "j").limit(pivots).select("__y").collect()]
+    if not chosen:
+        return a.join(b, [*by], "inner").limit(0) if by else a.crossJoin(b).limit(0)
+    centres = F.array(*[F.array(*[F.lit(x) for x in p]) for p in chosen])
+    radius = (2 - 2 * threshold) ** 0.5 + 1e-9
+    apart = lambda v: F.transform(centres, lambda p: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with(v, p, lambda x, y: x * y), F.lit(0.0), lambda s, t: s + t))))
+    b = b.withColumn("__d", apart(F.col("__y")))
+    b = b.withColumn("__to", F.array_min("__d")).withColumn("__cell", (F.array_position("__d", F.col("__to")) - 1).cast("int")).drop("__d")
+    reach = {r[0]: r[1] for r in b.groupBy("__cell").agg(F.max("__to")).collect()}
+    most = F.array(*[F.lit(reach.get(k, -10.0)) for k in range(len(chosen))])
+    a = a.withColumn("__d", apart(F.col("__x"))).withColumn("__low", F.array_min("__d"))
+    cells = F.filter(
+        F.transform("__d", lambda d, k: F.struct(k.alias("c"), d.alias("d"))),
+        lambda s: (s["d"] <= F.get(most, s["c"]) + radius) & (s["d"] - F.col("__low") <= 2 * radius),
+    )
+    a = a.withColumn("__s", F.explode(cells)).select(*[F.col(c).alias(f"__l_{c}") for c in by], "i", "__x", F.col("__s.c").alias("__c"), F.col("__s.d").alias("__from"))
+    on = reduce(lambda p, q: p & q, [F.col(c) == F.col(f"__l_{c}") for c in by], F.col("__c") == F.col("__cell"))
+    return a.join(b, on & (F.abs(F.col("__from") - F.col("__to")) <= radius)).select(*by, "i", "j", "__x", "__y")
+
+
 def symmetric_edges(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, each once."""
     return edges.select("i", "j").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()

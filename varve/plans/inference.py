@@ -255,3 +255,12 @@ def ss_32_33_calibrated_network(spark, d):
     """Networks of each position: the penalty from ten permuted tables, stability and sign from twenty resamples of sites."""
     alpha, e = net.calibrated_network(_ratios(spark, d), _ALPHAS, 10, 20, 47)
     return e.select("compartment", "i", "j", *[F.round(c, 6).alias(c) for c in ("weight", "stability", "sign_share", "null_share")], "stable", F.lit(alpha).cast("double").alias("alpha"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c FROM e a JOIN e b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)
+  SELECT label, i, j, round(c, 6) AS similarity FROM p WHERE c >= 0.35""")
+def jn_19_similarity_join(spark, d):
+    """Rows of one source (even ids) that duplicate rows of the other (odd ids) under the same label; whole vectors, exact cosine."""
+    e = table(spark, d, "embeddings")
+    p = rel.similar_pairs(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "vec_id", "embedding", 0.35, ["label"])
+    return p.select("label", "i", "j", F.round("similarity", 6).alias("similarity"))

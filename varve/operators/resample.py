@@ -59,6 +59,15 @@ def block_bootstrap(blocks: DataFrame, block: str, sums: Sequence[str], n: int,
     return times.join(ranked, "__i").groupBy("draw").agg(*[F.sum(F.col("__m") * F.col(c)).alias(c) for c in sums])
 
 
+def multiplicities(units: DataFrame, unit: str, n: int, seed: int) -> DataFrame:
+    """(draw, unit, times): how often each resample of the distinct units takes each of them, those it leaves out not listed."""
+    ranked = indexed(units.select(unit).distinct(), unit)
+    size = ranked.agg(F.count(F.lit(1)).alias("__n"))
+    slots = draws(ranked.select(F.col("__i").alias("slot")), n).crossJoin(F.broadcast(size))
+    picks = slots.select("draw", (hash_draw(seed, "draw", "slot") % F.col("__n")).alias("__i"))
+    return picks.groupBy("draw", "__i").agg(F.count(F.lit(1)).alias("times")).join(ranked, "__i").select("draw", unit, "times")
+
+
 def sign_flips(units: DataFrame, unit: str, value: str, n: int, seed: int) -> DataFrame:
     """Mean of each draw with every unit's sign kept or flipped."""
     sign = F.when(hash_draw(seed, "draw", unit) % 2 == 0, 1).otherwise(-1)

@@ -61,20 +61,30 @@ def range_of(value: str, edges: Sequence) -> Column:
     return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(value))) if edges else F.lit(0)
 
 
-def global_places(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
-    """(__v, __n, __below): each distinct value, how many rows hold it and how many hold a lesser one.
+def _same(by: Sequence[str], mark: str) -> Column:
+    """Join condition of the columns ``by`` with their twins led by ``mark``, nulls alike; hashed once more so that a hot group can be split."""
+    out = F.xxhash64(*[F.col(c) for c in by], F.lit(1)) == F.xxhash64(*[F.col(f"{mark}{c}") for c in by], F.lit(1))
+    for c in by:
+        out = out & F.col(c).eqNullSafe(F.col(f"{mark}{c}"))
+    return out
 
-    No task sees all rows: distinct values are counted first and cut into ranges;
-    below a value lies what is in the ranges below and what is below it in its own.
+
+def global_places(df: DataFrame, value: str, buckets: int = 256, by: Sequence[str] = ()) -> DataFrame:
+    """(by, __v, __n, __below): each distinct value, how many rows hold it and how many hold a lesser one, of all rows or of each group.
+
+    No task sees all rows of a group: distinct values are counted first and cut into
+    ranges; below a value lies what is in the ranges below and what is below it in its own.
     """
+    by = list(by)
     b = range_of(value, range_edges(df, value, buckets))
-    n = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", b)
-    below = n.groupBy("__b").agg(F.sum("__n").alias("__t"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    below = below.select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))  # at most ``buckets`` rows
-    inside = over(["__b"], value).rowsBetween(Window.unboundedPreceding, -1)
+    n = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", b)
+    below = n.groupBy(*by, "__b").agg(F.sum("__n").alias("__t"))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows a group
+    below = below.select(*[F.col(c).alias(f"__p_{c}") for c in by], F.col("__b").alias("__p___b"), F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
+    inside = over([*by, "__b"], value).rowsBetween(Window.unboundedPreceding, -1)
     lesser = F.col("__o") + F.coalesce(F.sum("__n").over(inside), F.lit(0))
-    return n.join(F.broadcast(below), "__b").select(F.col(value).alias("__v"), "__n", lesser.alias("__below"))
+    met = n.join(below, _same([*by, "__b"], "__p_")) if by else n.join(F.broadcast(below), F.col("__b") == F.col("__p___b"))
+    return met.select(*by, F.col(value).alias("__v"), "__n", lesser.alias("__below"))
 
 
 def prefix_sums(df: DataFrame, order: str, cols: Sequence[str], out: str = "__i", buckets: int = 256) -> DataFrame:
@@ -93,11 +103,28 @@ def prefix_sums(df: DataFrame, order: str, cols: Sequence[str], out: str = "__i"
     return rows.join(F.broadcast(parts), "__b").select(order, place.alias(out), *sums)
 
 
-def global_average_rank(df: DataFrame, value: str, out: str = "rank", buckets: int = 256) -> DataFrame:
-    """``df`` with the average rank of ``value`` among all rows; null values have none."""
-    ranks = global_places(df, value, buckets).select("__v", (F.col("__below") + (F.col("__n") + 1) / F.lit(2.0)).alias(out))
-    on = (F.xxhash64(value, F.lit(1)) == F.xxhash64("__v", F.lit(1))) & (F.col(value) == F.col("__v"))
-    return df.join(ranks, on, "left").drop("__v")
+def global_average_rank(df: DataFrame, value: str, out: str = "rank", buckets: int = 256, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the average rank of ``value`` among all rows or those of its group; null values have none."""
+    by = list(by)
+    ranks = global_places(df, value, buckets, by).select(*[F.col(c).alias(f"__p_{c}") for c in by], F.col("__v").alias(f"__p_{value}"), (F.col("__below") + (F.col("__n") + 1) / F.lit(2.0)).alias(out))
+    return df.join(ranks, _same([*by, value], "__p_") & F.col(value).isNotNull(), "left").drop(*[f"__p_{c}" for c in [*by, value]])
+
+
+def grouped_quantiles(df: DataFrame, value: str, fractions: dict[str, float], by: Sequence[str]) -> DataFrame:
+    """Exact linear quantiles of each group under the names of ``fractions``, from counts of distinct values; a group is no single task."""
+    by = list(by)
+    places = global_places(df, value, 256, by)
+    total = places.groupBy(*by).agg(F.sum("__n").alias("__t")).select(*[F.col(c).alias(f"__q_{c}") for c in by], "__t")
+    met = places.join(total, _same(by, "__q_"))
+    found = []
+    for name, f in fractions.items():
+        at = F.lit(f) * (F.col("__t") - 1)
+        low, high = F.floor(at), F.least(F.floor(at) + 1, F.col("__t") - 1)
+        holds = lambda k: (F.col("__below") <= k) & (k < F.col("__below") + F.col("__n"))
+        pick = lambda k: F.max(F.when(holds(k), F.col("__v")))
+        found += [pick(low).alias(f"__l_{name}"), pick(high).alias(f"__h_{name}"), F.max(at - low).alias(f"__w_{name}")]
+    out = met.groupBy(*by).agg(*found)
+    return out.select(*by, *[(F.col(f"__l_{k}") + F.col(f"__w_{k}") * (F.col(f"__h_{k}") - F.col(f"__l_{k}"))).alias(k) for k in fractions])
 
 
 def global_quantiles(df: DataFrame, value: str, fractions: Sequence[float]) -> list[float]:
@@ -123,7 +150,7 @@ def indexed(df: DataFrame, unit: str, out: str = "__i") -> DataFrame:
 
 def ranked(df: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
     """``df`` with average ranks within groups, or among all rows where there are no groups."""
-    return df.withColumn(out, average_rank(value, by)) if by else global_average_rank(df, value, out)
+    return global_average_rank(df, value, out, by=by)
 
 
 def leave_one_out(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -133,15 +160,26 @@ def leave_one_out(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.crossJoin(F.broadcast(whole)).withColumn(out, mean).drop("__s", "__n")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "q") -> DataFrame:
-    """Step-up q values within a family; a null p has no q and does not count."""
-    known = F.col(p).isNotNull()
-    n = F.count(p).over(over(by))
-    i = F.row_number().over(over(by, F.col(p).asc_nulls_last()))
-    df = df.withColumn("__i", i).withColumn("__r", F.when(known, F.col(p) * n / F.col("__i")))
-    tail = over(by, F.col("__i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.when(known, F.least(F.lit(1.0), F.min("__r").over(tail)))
-    return df.withColumn(out, q).drop("__i", "__r")
+def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "q", buckets: int = 256) -> DataFrame:
+    """Step-up q values within a family; a null p has no q and does not count.
+
+    A family is cut into ranges of p.  A value's step is p n / (how many are no
+    greater); its q is the least step from it upwards: that of its own range and the
+    least of each range above, so no task orders a whole family.
+    """
+    by = list(by)
+    edges = range_edges(df, p, buckets)
+    steps = global_places(df, p, buckets, by)
+    n = steps.groupBy(*by).agg(F.sum("__n").alias("__t")).select(*[F.col(c).alias(f"__f_{c}") for c in by], "__t")
+    steps = steps.join(n, _same(by, "__f_")) if by else steps.crossJoin(F.broadcast(n))
+    steps = steps.withColumn("__s", F.col("__v") * F.col("__t") / (F.col("__below") + F.col("__n"))).withColumn("__b", range_of("__v", edges))
+    above = Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows a family
+    least = steps.groupBy(*by, "__b").agg(F.min("__s").alias("__m"))
+    least = least.select(*[F.col(c).alias(f"__u_{c}") for c in by], F.col("__b").alias("__u___b"), F.min("__m").over(above).alias("__a"))
+    tail = over([*by, "__b"], F.desc("__v")).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.min("__s").over(tail), F.col("__a"))
+    found = steps.join(least, _same([*by, "__b"], "__u_")).select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__v").alias(f"__k_{p}"), q.alias(out))
+    return df.join(found, _same([*by, p], "__k_") & F.col(p).isNotNull(), "left").drop(*[f"__k_{c}" for c in [*by, p]])
 
 
 def bonferroni(p: str, by: Sequence[str] = ()) -> Column:

@@ -8,7 +8,9 @@ from varve.operators import networks as net
 from varve.operators import nulls as nu
 from varve.operators import relational as rel
 from varve.operators import windows as win
-from varve.operators.compose import bray_curtis, densify, hill1
+from varve.operators import stats as st
+from varve.operators.compose import bray_curtis, closure, clr, densify, hill1, trait_turnover
+from varve.operators.resample import multiplicities
 from varve.plans.base import SQL_COUNTS, SQL_LINES, counts, lines
 from varve.plans.diversity import _DENSE, _SITE, _site, dense
 from varve.session import table
@@ -264,3 +266,156 @@ def jn_19_similarity_join(spark, d):
     e = table(spark, d, "embeddings")
     p = rel.similar_pairs(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "vec_id", "embedding", 0.35, ["label"])
     return p.select("label", "i", "j", F.round("similarity", 6).alias("similarity"))
+
+
+def _stream(spark, d):
+    """The events as an unbounded source."""
+    have = table(spark, d, "events")
+    return spark.readStream.schema(have.schema).parquet(f"{d}/events.parque[t]").withColumn("t", F.col("ts").cast("timestamp"))
+
+
+@query("""WITH mark AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events), e AS (SELECT user_id, ts::DATE AS day, sum(value) AS total FROM events GROUP BY ALL HAVING sum(value) >= 20), i AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day)::INT AS run FROM e),
+  r AS (SELECT user_id, min(day) AS first, max(day) AS last, count(*) AS length, round(sum(total), 6) AS total FROM i GROUP BY user_id, run) SELECT r.* FROM r, mark WHERE last + 2 <= mark""")
+def sm_1_closed_spells(spark, d):
+    """Runs of active days of each user that the stream has closed: the watermark lies two days behind the last event."""
+    from varve.streaming.stateful import run_available, spells
+
+    rows, _ = run_available(spells(_stream(spark, d), "user_id", "t", "value", 20.0))
+    return rows.select("user_id", "first", "last", "length", F.round("total", 6).alias("total"))
+
+
+@query("""WITH mark AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events), g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR, true) AS new FROM events),
+  s AS (SELECT user_id, ts, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), r AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k) SELECT r.* FROM r, mark WHERE "end" <= mark""")
+def sm_1_closed_sessions(spark, d):
+    """Sessions that the stream has closed."""
+    from varve.streaming.exposure import sessions
+    from varve.streaming.stateful import run_available
+
+    rows, _ = run_available(sessions(_stream(spark, d), "user_id", "t"))
+    return rows.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")
+
+
+@query("""SELECT v.event_id AS visit, e.event_id AS reading FROM events v JOIN events e ON v.user_id = e.user_id AND v.event_type = 'purchase' AND e.event_type <> 'purchase' AND e.ts <= v.ts AND e.ts > v.ts - INTERVAL 3 DAY""")
+def sm_1_interval_join(spark, d):
+    """Readings in the three days before each visit, as a join of two streams with bounded state."""
+    from varve.streaming.exposure import interval_join
+    from varve.streaming.stateful import run_available
+
+    ev = _stream(spark, d)
+    visits = ev.filter("event_type = 'purchase'").select("user_id", F.col("t").alias("at"), F.col("event_id").alias("visit"))
+    readings = ev.filter("event_type <> 'purchase'").select("user_id", "t", F.col("event_id").alias("reading"))
+    rows, _ = run_available(interval_join(visits, readings, "user_id", "at", "t"))
+    return rows.select("visit", "reading")
+
+
+@query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL)
+  SELECT user_id, round(avg(value) FILTER (WHERE i >= floor(n * 0.1::DOUBLE) AND i < n - floor(n * 0.1::DOUBLE)), 9) AS trimmed, count(*) AS n FROM r GROUP BY user_id""")
+def ud_2_array_statistic(spark, d):
+    """A statistic that is no Column: the trimmed mean of each user's values from an Arrow array."""
+    from varve.operators.callback import array_statistic, statistic, trimmed_mean
+
+    t = statistic(table(spark, d, "events"), {"trimmed": array_statistic(trimmed_mean)("value")}, ["user_id"])
+    n = statistic(table(spark, d, "events"), {"n": F.count("value")}, ["user_id"]).withColumnRenamed("user_id", "u")
+    return t.join(n, F.col("user_id") == F.col("u")).filter("n > 0").select("user_id", F.round("trimmed", 9).alias("trimmed"), "n")
+
+
+@query(f"""WITH u AS (SELECT DISTINCT user_id FROM events), i AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS i FROM u), n AS (SELECT count(*) AS n FROM u), p AS (SELECT draw, {_H.format("'49', draw, i")} % n AS i FROM i, n, range(0, 20) d(draw))
+  SELECT draw, round(avg(value), 6) AS mean, count(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM p JOIN i USING (i) JOIN events USING (user_id) GROUP BY draw""")
+def ud_3_callback_bootstrap(spark, d):
+    """Any aggregates over resamples of whole users."""
+    from varve.operators.callback import bootstrap
+
+    aggregates = {"mean": F.round(F.avg("value"), 6), "purchases": F.count_if(F.col("event_type") == "purchase")}
+    return bootstrap(table(spark, d, "events"), "user_id", aggregates, 20, 49)
+
+
+@query("""WITH b AS (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events)
+  SELECT user_id, event_id, value AS record, before FROM b WHERE before IS NULL OR value > before""")
+def ud_4_partition_records(spark, d):
+    """A table function over a partitioned, ordered table: the events that break their user's record."""
+    from varve.functions.udtf import records
+
+    ev = table(spark, d, "events").select("user_id", "event_id", "ts", "value")
+    out = records(ev.asTable().partitionBy("user_id").orderBy("ts", "event_id"), F.lit("value"))
+    return out.select("user_id", "event_id", "record", "before")
+
+
+@query(f"""WITH {SQL_LINES}, u AS (SELECT campaign, site, position, ln(sum(reads)) AS y, count(DISTINCT feature)::DOUBLE AS x FROM lines GROUP BY ALL)
+  SELECT o.campaign AS omitted, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_r2(y, x), 6) AS r2, round(regr_slope(y, x) - (SELECT regr_slope(y, x) FROM u), 6) + 0.0::DOUBLE AS change FROM (SELECT DISTINCT campaign FROM u) o JOIN u ON u.campaign <> o.campaign GROUP BY o.campaign""")
+def rm_12_refit_without_campaign(spark, d):
+    """The regression refitted without each campaign in turn, from sums of the whole less the campaign's own."""
+    u = lines(spark, d).groupBy("campaign", "site", "position").agg(F.log(F.sum("reads")).alias("y"), F.countDistinct("feature").cast("double").alias("x")).withColumn("one", F.lit(1.0))
+    cols = ["one", "x", "y"]
+    own = st.gram(u, cols, ["campaign"])
+    sums = [c for c in own.columns if c.startswith("g_")]
+    whole = own.agg(*[F.sum(c).alias(f"w_{c}") for c in sums])
+    t = own.crossJoin(F.broadcast(whole))
+    of = lambda i, j, rest: F.col(f"w_g_{i}_{j}") - (F.col(f"g_{i}_{j}") if rest else F.lit(0.0))
+
+    def fit(rest):
+        n = of(0, 0, rest)
+        c = lambda i, j: of(i, j, rest) - of(0, i, rest) * of(0, j, rest) / n
+        return n, c(1, 2) / c(1, 1), c(1, 2) * c(1, 2) / (c(1, 1) * c(2, 2))
+
+    (n, slope, r2), (_, all_slope, _) = fit(True), fit(False)
+    return t.select(F.col("campaign").alias("omitted"), n.cast("long").alias("n"), F.round(slope, 6).alias("slope"), F.round(r2, 6).alias("r2"), (F.round(slope - all_slope, 6) + F.lit(0.0)).alias("change"))
+
+
+_RANKED = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE"
+
+
+@query(f"""WITH {_SITE}, h AS (SELECT site, feature, count + length(feature) * site % 50 AS other, count FROM m), s AS (SELECT site, feature, count / sum(count) OVER (PARTITION BY site)::DOUBLE AS x, other / sum(other) OVER (PARTITION BY site)::DOUBLE AS y FROM h),
+  a AS (SELECT feature, round(avg(x), 12) AS x, round(avg(y), 12) AS y FROM s GROUP BY feature), r AS (SELECT feature, x, y, {_RANKED.format("x")} AS rx, {_RANKED.format("y")} AS ry FROM a)
+  SELECT count(*) AS features, round(corr(rx, ry), 6) AS rho, round(corr(x, y), 6) AS r, round(sum(least(x, y)), 6) AS shared FROM r""")
+def ss_37_community_profile(spark, d):
+    """Concordance of two profiles of the whole community: each sample closed to one, then averaged over samples."""
+    h = _site(spark, d).withColumn("other", F.col("count") + F.length("feature") * F.col("site") % 50)
+    s = h.select("feature", closure("count", ["site"]).alias("x"), closure("other", ["site"]).alias("y"))
+    a = s.groupBy("feature").agg(F.round(F.avg("x"), 12).alias("x"), F.round(F.avg("y"), 12).alias("y"))
+    r = st.spearman(a, "x", "y").select("n", "rho")
+    line = a.agg(F.round(F.corr("x", "y"), 6).alias("r"), F.round(F.sum(F.least("x", "y")), 6).alias("shared"))
+    return r.crossJoin(F.broadcast(line)).select(F.col("n").alias("features"), F.round("rho", 6).alias("rho"), "r", "shared")
+
+
+_TREND = f"""{SQL_LINES}, k AS (SELECT site, position, kind, sum(reads) AS n FROM lines GROUP BY ALL), us AS (SELECT DISTINCT site, position FROM k), ks AS (SELECT DISTINCT kind FROM k), full_ AS (SELECT us.site, us.position, ks.kind, ln(coalesce(n, 0) + 0.5::DOUBLE) AS l FROM us CROSS JOIN ks LEFT JOIN k USING (site, position, kind)),
+  c AS (SELECT site, position, site || '|' || position AS unit, kind, l - avg(l) OVER (PARTITION BY site, position) AS y FROM full_ WHERE site IN (SELECT site FROM us GROUP BY site HAVING count(*) = 3)),
+  u AS (SELECT DISTINCT site, unit, CASE position WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END::DOUBLE AS x FROM c), r AS (SELECT site, unit, x - avg(x) OVER (PARTITION BY site) AS r FROM u),
+  m AS (SELECT draw, r.* FROM r, range(0, 49) d(draw)), a AS (SELECT draw, site, unit, row_number() OVER (PARTITION BY draw, site ORDER BY unit) AS n FROM m), b AS (SELECT draw, site, r, row_number() OVER (PARTITION BY draw, site ORDER BY {_H.format("'50', draw, unit")}, unit) AS n FROM m),
+  e AS (SELECT draw, unit, b.r FROM a JOIN b USING (draw, site, n) UNION ALL SELECT -1, unit, r FROM r), t AS (SELECT draw, kind, sum(r * y) AS t FROM e JOIN c USING (unit) GROUP BY ALL), q AS (SELECT sum(r * r) AS q FROM r),
+  ef AS (SELECT draw, sum(t * t) / any_value(q) AS effect FROM t, q GROUP BY draw), s AS (SELECT sum(y * y) AS sse FROM (SELECT y - avg(y) OVER (PARTITION BY site, kind) AS y FROM c)), df AS (SELECT count(*) - count(DISTINCT site) - 1 AS free FROM u),
+  g AS (SELECT draw, effect / sse AS r2, effect / ((sse - effect) / free) AS f, free FROM ef, s, df)"""
+
+
+@query(f"WITH {_TREND} SELECT round(o.r2, 6) AS partial_r2, round(o.f, 5) AS pseudo_f, round((1 + count(*) FILTER (WHERE g.f >= o.f - 1e-12)) / (1 + count(*)), 6) AS p, o.free::BIGINT AS residual_df FROM g o, g WHERE o.draw = -1 AND g.draw >= 0 GROUP BY o.r2, o.f, o.free")
+def cx_24_pathway_trend(spark, d):
+    """Trend of all pathways along the positions of a site, tested by permuting positions within sites."""
+    k = lines(spark, d).groupBy("site", "position", "kind").agg(F.sum("reads").alias("n"))
+    c = clr(densify(k, ["site", "position"], "kind", "n", k), ["site", "position"], "n")
+    c = rel.complete_blocks(c, ["site"], "position", 3).withColumn("unit", F.concat_ws("|", "site", "position"))
+    x = F.when(F.col("position") == "A", 0).when(F.col("position") == "N", 1).otherwise(2)
+    t = nu.nested_test(c.select("unit", "site", x.alias("x")).distinct(), c, "unit", "site", [], "x", "kind", "clr", 49, 50)
+    return t.select(F.round("partial_r2", 6).alias("partial_r2"), F.round("pseudo_f", 5).alias("pseudo_f"), F.round("p", 6).alias("p"), "residual_df")
+
+
+_BOOT = f"""{SQL_LINES}, own AS (SELECT site, substr(kind, 1, 3) AS guild, feature AS grp, sum(reads) FILTER (WHERE campaign = 1996)::DOUBLE AS a, sum(reads) FILTER (WHERE campaign = 1997)::DOUBLE AS b FROM lines GROUP BY ALL),
+  si AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS i FROM (SELECT DISTINCT site FROM own)), n AS (SELECT count(*) AS n FROM si), pk AS (SELECT draw, {_H.format("'51', draw, i")} % n AS i FROM si, n, range(0, 29) d(draw)), tm AS (SELECT draw, site, count(*) AS w FROM pk JOIN si USING (i) GROUP BY ALL UNION ALL SELECT -1, site, 1 FROM si),
+  g AS (SELECT draw, guild, grp, sum(w * coalesce(a, 0)) AS a, sum(w * coalesce(b, 0)) AS b FROM tm JOIN own USING (site) GROUP BY ALL),
+  w AS (SELECT draw, guild, grp, a / sum(a) OVER (PARTITION BY draw, guild) AS wa, b / sum(b) OVER (PARTITION BY draw, guild) AS wb, substr(grp, 7)::DOUBLE AS t, substr(grp, 7, 1) AS major FROM g),
+  m AS (SELECT draw, guild, major, sum(wa) AS ma, sum(wb) AS mb, sum(wa * t) / nullif(sum(wa), 0) AS ta, sum(wb * t) / nullif(sum(wb), 0) AS tb FROM w GROUP BY ALL),
+  e AS (SELECT draw, guild, sum(CASE WHEN ma > 0 AND mb > 0 THEN (ma - mb) * (ta + tb) / 2 ELSE 0 END) AS bt, sum(coalesce(ma * ta, 0) - coalesce(mb * tb, 0)) AS total FROM m GROUP BY ALL)"""
+
+
+@query(f"""WITH {_BOOT} SELECT guild, round(any_value(bt) FILTER (WHERE draw = -1), 6) AS "between", round(any_value(total) FILTER (WHERE draw = -1), 6) AS total, round(quantile_cont(total, 0.025) FILTER (WHERE draw >= 0), 6) AS low, round(quantile_cont(total, 0.975) FILTER (WHERE draw >= 0), 6) AS high FROM e GROUP BY guild""")
+def cx_23_guild_bootstrap(spark, d):
+    """Turnover of a trait within each guild between two campaigns, with its interval over resampled sites."""
+    r = lambda c: F.coalesce(F.sum(F.when(F.col("campaign") == c, F.col("reads"))), F.lit(0)).cast("double")
+    own = lines(spark, d).groupBy("site", F.substring("kind", 1, 3).alias("guild"), F.col("feature").alias("grp")).agg(r(1996).alias("a"), r(1997).alias("b"))
+    times = multiplicities(own, "site", 29, 51)
+    times = times.unionByName(own.select("site").distinct().select(F.lit(-1).cast("long").alias("draw"), "site", F.lit(1).cast("long").alias("times")))
+    g = times.join(own, "site").groupBy("draw", "guild", "grp").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("a", "b")])
+    share = lambda c: F.col(c) / F.nullif(F.sum(c).over(win.over(["draw", "guild"])), F.lit(0.0))
+    g = g.withColumns({"wa": share("a"), "wb": share("b"), "t": F.substring("grp", 7, 9).cast("double"), "major": F.substring("grp", 7, 1)})
+    e = trait_turnover(g, "major", "t", "wa", "wb", ["draw", "guild"])
+    drawn, seen = F.when(F.col("draw") >= 0, F.col("total")), lambda c: F.round(F.max(F.when(F.col("draw") < 0, F.col(c))), 6).alias(c)
+    q = lambda x: F.round(F.percentile(drawn, F.lit(x)), 6)
+    return e.groupBy("guild").agg(seen("between"), seen("total"), q(0.025).alias("low"), q(0.975).alias("high"))

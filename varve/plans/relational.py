@@ -359,8 +359,8 @@ def ag_6_13_conditional_weighted(spark, d):
 
 @query("SELECT event_type, round(median(value), 6) AS median, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.975), 6) AS q975 FROM events GROUP BY 1")
 def ag_7_quantiles(spark, d):
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    return table(spark, d, "events").groupBy("event_type").agg(p(0.5).alias("median"), p(0.05).alias("q05"), p(0.975).alias("q975"))
+    q = win.grouped_quantiles(table(spark, d, "events"), "value", {"median": 0.5, "q05": 0.05, "q975": 0.975}, ["event_type"])
+    return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("median", "q05", "q975")])
 
 
 @query("SELECT p_brand, p_type AS mode, n FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) = 1")

@@ -71,6 +71,9 @@ def test_planted_edges_are_stable_and_no_others(table, monkeypatch):
     assert alpha in (0.2, 0.4)
     assert {(r.i, r.j, r.weight > 0) for r in rows if r.stable} == {("a", "b", True), ("c", "d", False)}
     assert all(r.stability == 1 and r.sign_share == 1 for r in rows if r.stable)
+    got = {r.compartment: r for r in networks.summary(found, table).collect()}
+    assert got["deep"].stable_edges == ["a~b", "c~d"] and got["deep"].density == round(2 * got["deep"].edges / 56, 6)
+    assert (got["top"].edges, got["top"].stable, got["top"].stable_edges) == (0, 0, [])
 
 
 def test_no_penalty_passes_without_ties_and_bounds_are_checked(table):

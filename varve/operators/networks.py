@@ -162,3 +162,21 @@ def calibrated_network(z: DataFrame, alphas: Sequence[float], n_null: int, n_boo
     boot = edges(correlations(z, "bootstrap", n_bootstrap, seed + 1), [used])
     at = lambda e: e.filter(F.abs(F.col("alpha") - used) < 1e-12)
     return alpha, stable_edges(at(seen), boot, at(null), n_bootstrap, n_null, **settings)
+
+
+def summary(found: DataFrame, z: DataFrame) -> DataFrame:
+    """For each compartment of the table the edges, the stable ones (by name too), their density, positive share and median strength."""
+    size = z.groupBy("compartment").agg(F.countDistinct("f").alias("n"))
+    name = F.when(F.col("stable"), F.concat_ws("~", "i", "j"))
+    per = found.groupBy(F.col("compartment").alias("c")).agg(
+        F.count(F.lit(1)).alias("edges"),
+        F.count_if("stable").alias("stable"),
+        F.round(F.avg((F.col("weight") > 0).cast("int")), 6).alias("positive"),
+        F.round(F.median(F.abs("weight")), 6).alias("strength"),
+        F.array_sort(F.collect_list(name)).alias("stable_edges"),
+    )
+    met = size.join(per, F.col("compartment") == F.col("c"), "left")
+    edges = F.coalesce("edges", F.lit(0))
+    density = F.round(2 * edges / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0)), 6)
+    none = F.array().cast("array<string>")
+    return met.select("compartment", edges.alias("edges"), F.coalesce("stable", F.lit(0)).alias("stable"), density.alias("density"), "positive", "strength", F.coalesce("stable_edges", none).alias("stable_edges"))

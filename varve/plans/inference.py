@@ -254,9 +254,10 @@ def ss_32_network_refits(spark, d):
 
 @query(None)
 def ss_32_33_calibrated_network(spark, d):
-    """Networks of each position: the penalty from ten permuted tables, stability and sign from twenty resamples of sites."""
-    alpha, e = net.calibrated_network(_ratios(spark, d), _ALPHAS, 10, 20, 47)
-    return e.select("compartment", "i", "j", *[F.round(c, 6).alias(c) for c in ("weight", "stability", "sign_share", "null_share")], "stable", F.lit(alpha).cast("double").alias("alpha"))
+    """Networks of each position, summed up with their stable edges: the penalty from ten permuted tables, stability and sign from twenty resamples of sites."""
+    z = _ratios(spark, d)
+    alpha, e = net.calibrated_network(z, _ALPHAS, 10, 20, 47)
+    return net.summary(e, z).withColumn("alpha", F.lit(alpha).cast("double"))
 
 
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c FROM e a JOIN e b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)

@@ -31,3 +31,21 @@ def test_domain_files(spark, tmp_path):
 @pytest.mark.parametrize("text, n", [("(a,b);", 1), ("a;", 0), ("(a:1,(b:1,(c:1,d:1):1):1);", 6)])
 def test_tree_shapes(text, n):
     assert len(list(formats.tip_distances(text.encode()))) == n
+
+
+RDF = b"""<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#">
+<owl:Class rdf:about="x:root"><rdfs:label>root</rdfs:label></owl:Class>
+<owl:Class rdf:about="x:leaf"><rdfs:label>leaf</rdfs:label><rdfs:subClassOf rdf:resource="x:root"/><rdfs:subClassOf rdf:resource="x:other"/><rdfs:subClassOf><owl:Restriction/></rdfs:subClassOf></owl:Class>
+</rdf:RDF>"""
+OWL = b"""<Ontology xmlns="http://www.w3.org/2002/07/owl#"><Declaration><Class IRI="#a"/></Declaration><Declaration><Class IRI="#b"/></Declaration>
+<SubClassOf><Class IRI="#a"/><Class IRI="#b"/></SubClassOf><SubClassOf><Class IRI="#a"/><ObjectSomeValuesFrom/></SubClassOf>
+<AnnotationAssertion><AnnotationProperty abbreviatedIRI="rdfs:label"/><IRI>#a</IRI><Literal>the a</Literal></AnnotationAssertion></Ontology>"""
+
+
+def test_ontologies_in_either_form(spark, tmp_path):
+    from varve.sources import formats
+
+    for name, content in (("one.owl", RDF), ("two.owl", OWL)):
+        (tmp_path / name).write_bytes(content)
+    got = {(r.term, r.label, r.parent) for r in formats.read_ontology(spark, f"{tmp_path}/*.owl").collect()}
+    assert got == {("x:root", "root", None), ("x:leaf", "leaf", "x:root"), ("x:leaf", "leaf", "x:other"), ("#a", "the a", "#b"), ("#b", None, None)}

@@ -358,3 +358,16 @@ def test_network_calibration_reads_all_brands(spark):
     edges = li.network_edges(whole, "unit", "feature", "count", [0.1, 0.2, 0.4], draws=2)
     got = QUERIES["ss_31_32_network_calibration"][0](spark, d)
     assert {(r.alpha, r.draw): r.edges for r in got.collect()} == {(r.alpha, r.draw): r["count"] for r in edges.groupBy("alpha", "draw").count().collect()}
+
+
+def test_pins_tell_missing_empty_and_changed_apart(spark, tmp_path):
+    import hashlib
+
+    for name, content in (("good", b"x"), ("bad", b"y"), ("none", b"")):
+        (tmp_path / name).write_bytes(content)
+    short = F.regexp_extract("path", "[^/]+$", 0)
+    files = io.manifest(spark, str(tmp_path)).withColumn("path", short)
+    empty = io.empty_files(spark, str(tmp_path)).withColumn("path", short)
+    lock = spark.createDataFrame([(n, hashlib.sha256(b"x").hexdigest()) for n in ("good", "bad", "none", "gone")], "path string, sha256 string")
+    assert {tuple(r) for r in io.unpinned(files, lock, empty).collect()} == {("bad", "changed"), ("none", "empty"), ("gone", "missing")}
+    assert {tuple(r) for r in io.unpinned(files, lock).collect()} == {("bad", "changed"), ("none", "missing"), ("gone", "missing")}

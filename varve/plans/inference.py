@@ -12,7 +12,7 @@ from varve.operators import stats as st
 from varve.operators.compose import bray_curtis, closure, clr, densify, hill1, trait_turnover
 from varve.operators.resample import multiplicities
 from varve.plans.base import SQL_COUNTS, SQL_LINES, counts, lines
-from varve.plans.diversity import _DENSE, _SITE, _site, dense
+from varve.plans.diversity import _DENSE, _RARE, _SITE, _rare, _site, dense
 from varve.session import table
 
 QUERIES: dict = {}
@@ -420,3 +420,19 @@ def cx_23_guild_bootstrap(spark, d):
     drawn, seen = F.when(F.col("draw") >= 0, F.col("total")), lambda c: F.round(F.max(F.when(F.col("draw") < 0, F.col(c))), 6).alias(c)
     q = lambda x: F.round(F.percentile(drawn, F.lit(x)), 6)
     return e.groupBy("guild").agg(seen("between"), seen("total"), q(0.025).alias("low"), q(0.975).alias("high"))
+
+
+@query(f"""WITH {_RARE}, a AS (SELECT draw, site, position, count(*)::DOUBLE AS richness, ln(sum(count)) - sum(count * ln(count)) / sum(count) AS shannon FROM rare GROUP BY ALL),
+  u AS (SELECT site, position, round(avg(richness), 9) AS richness, round(avg(shannon), 9) AS shannon, count(*) AS draws FROM a GROUP BY ALL), r AS (SELECT position, draws, rank() OVER (PARTITION BY position ORDER BY site % 9) + (count(*) OVER (PARTITION BY position, site % 9) - 1) / 2.0::DOUBLE AS x,
+   rank() OVER (PARTITION BY position ORDER BY shannon) + (count(*) OVER (PARTITION BY position, shannon) - 1) / 2.0::DOUBLE AS y, richness FROM u)
+  SELECT position, count(*) AS n, round(corr(x, y), 6) AS rho, round(avg(richness), 6) AS richness, min(draws) AS draws FROM r GROUP BY position HAVING count(*) >= 3""")
+def cx_13_rarefied_gradient(spark, d):
+    """Diversity averaged over rarefactions to one depth, against a gradient, by position."""
+    from varve.operators.compose import shannon
+
+    keys = ["site", "position"]
+    a = _rare(spark, d).groupBy("draw", *keys).agg(F.count(F.lit(1)).cast("double").alias("richness"), shannon("count").alias("shannon"))
+    u = a.groupBy(*keys).agg(F.round(F.avg("richness"), 9).alias("richness"), F.round(F.avg("shannon"), 9).alias("shannon"), F.count(F.lit(1)).alias("draws")).withColumn("x", F.col("site") % 9)
+    rho = st.spearman(u, "x", "shannon", ["position"]).filter("n >= 3").select(F.col("position").alias("p"), "n", "rho")
+    m = u.groupBy("position").agg(F.round(F.avg("richness"), 6).alias("richness"), F.min("draws").alias("draws"))
+    return m.join(rho, F.col("position") == F.col("p")).select("position", "n", F.round("rho", 6).alias("rho"), "richness", "draws")

@@ -273,15 +273,17 @@ def rm_3_refit_bootstrap(spark, d):
     return s.select("draw", F.round(slope, 6).alias("slope"))
 
 
-@query(f"""WITH c AS (SELECT replicate, unit FROM range(0, 200) r(replicate), range(0, 30) u(unit)), z AS (SELECT replicate, sqrt(-2 * ln(({_H.format("'31', replicate, unit")} + 1) / 4294967296.0::DOUBLE)) * cos(2 * 3.141592653589793::DOUBLE * {_H.format("'32', replicate, unit")} / 4294967296.0::DOUBLE) AS z FROM c),
-  t AS (SELECT replicate, avg(z) / (stddev_samp(z) / sqrt(count(*))) AS t FROM z GROUP BY replicate) SELECT count(*) AS replicates, round(avg((abs(t) >= 2.045)::INT), 6) AS rejected FROM t""")
+@query(f"""WITH c AS (SELECT replicate, c_acctbal AS v, {_H.format("'31', replicate, c_custkey")} % 2 AS half FROM customer, range(0, 100) r(replicate)), m AS (SELECT replicate, half, avg(v) AS m, var_samp(v) / count(*) AS s FROM c GROUP BY ALL),
+  t AS (SELECT a.replicate, (a.m - b.m) / sqrt(a.s + b.s) AS t FROM m a JOIN m b ON a.replicate = b.replicate AND a.half = 0 AND b.half = 1) SELECT count(*) AS replicates, round(avg((abs(t) >= 1.959964)::INT), 6) AS rejected, round(avg(t * t), 6) AS mean_square FROM t""")
 def rm_11_null_calibration(spark, d):
-    from varve.operators.resample import hash_draw
+    """How often a two-sample test rejects where halves of the customers are drawn by hash, so that no difference is there: about one in twenty."""
+    from varve.operators.resample import draws, hash_draw
 
-    case = spark.range(200).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("unit"))
-    z = F.sqrt(-2 * F.log((hash_draw(31, "replicate", "unit") + 1) / float(1 << 32))) * F.cos(2 * 3.141592653589793 * hash_draw(32, "replicate", "unit") / float(1 << 32))
-    t = case.withColumn("z", z).groupBy("replicate").agg((F.avg("z") / (F.stddev_samp("z") / F.sqrt(F.count(F.lit(1))))).alias("t"))
-    return t.agg(F.count(F.lit(1)).alias("replicates"), F.round(F.avg((F.abs("t") >= 2.045).cast("int")), 6).alias("rejected"))
+    many = draws(table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("v")), 100)
+    half = hash_draw(31, "draw", "c_custkey") % 2
+    side = lambda k: [F.avg(F.when(half == k, F.col("v"))).alias(f"m{k}"), (F.var_samp(F.when(half == k, F.col("v"))) / F.count(F.when(half == k, F.col("v")))).alias(f"s{k}")]
+    t = many.groupBy("draw").agg(*side(0), *side(1)).select(((F.col("m0") - F.col("m1")) / F.sqrt(F.col("s0") + F.col("s1"))).alias("t"))
+    return t.agg(F.count("t").alias("replicates"), F.round(F.avg((F.abs("t") >= 1.959964).cast("int")), 6).alias("rejected"), F.round(F.avg(F.col("t") * F.col("t")), 6).alias("mean_square"))
 
 
 @query(f"WITH {SQL_LINES}, g AS (SELECT site, position, sum(reads) AS v FROM lines GROUP BY ALL), top AS (SELECT site, position FROM g ORDER BY v DESC, site, position LIMIT 1) SELECT round((SELECT avg(v) FROM g), 6) AS all_groups, round((SELECT avg(v) FROM g ANTI JOIN top USING (site, position)), 6) AS without_group, round((SELECT avg(v) FROM g ANTI JOIN top USING (site)), 6) AS without_site")
@@ -478,6 +480,21 @@ def src_16_pinned_inputs(spark, d):
     return unpinned(manifest(spark, home).withColumn("path", name), lock).select(F.col("path").alias("name"), "violation")
 
 
+@query("SELECT n_name AS name, CASE n_nationkey % 5 WHEN 1 THEN 'changed' WHEN 2 THEN 'empty' ELSE 'missing' END AS violation FROM nation WHERE n_nationkey % 5 BETWEEN 1 AND 3")
+def src_16_pin_states(spark, d):
+    """A file for each nation, written beside one another: those that are gone, empty or of another hash, apart."""
+    from varve.sources.io import empty_files, manifest, put, unpinned
+
+    home, nations = _folder(spark), table(spark, d, "nation").select("n_name", (F.col("n_nationkey") % 5).alias("k"))
+    rows = nations.filter(~F.col("k").isin(2, 3)).select(F.when(F.col("k") == 1, "other").otherwise(F.col("n_name")).alias("value"), F.col("n_name").alias("file"))
+    rows.write.partitionBy("file").option("lineSep", ";").text(home)
+    for (name,) in nations.filter("k = 2").select("n_name").collect():  # five of a fixed table of 25 rows; Spark writes no empty files
+        put(spark, f"{home}/file={name}/part-none", b"")
+    of = lambda df: df.withColumn("path", F.regexp_extract("path", "file=([^/]+)/part[^/]*$", 1)).filter("path <> ''")
+    lock = nations.select(F.col("n_name").alias("path"), F.sha2(F.concat("n_name", F.lit(";")).cast("binary"), 256).alias("sha256"))
+    return unpinned(of(manifest(spark, home)), lock, of(empty_files(spark, home))).select(F.col("path").alias("name"), "violation")
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE round(c_acctbal, 2)::VARCHAR END AS balance, CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END AS positive FROM customer WHERE c_acctbal <> round(c_acctbal, 0)")
 def src_13_canonical_text(spark, d):
     from varve.sources.io import canonical

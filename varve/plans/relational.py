@@ -509,11 +509,12 @@ def rs_3_one_hot(spark, d):
     return df.select("c_custkey", F.col("s_BUILDING").alias("building"), F.col("s_FURNITURE").alias("furniture"))
 
 
-@query("SELECT t::DOUBLE AS t, m, v FROM (VALUES (0.01), (0.05), (0.1)) a(t), (VALUES (1), (2), (3)) b(m), (VALUES ('keep'), ('drop')) c(v)")
+@query("""SELECT segment, priority, floor FROM (SELECT DISTINCT c_mktsegment AS segment FROM customer), (SELECT DISTINCT o_orderpriority AS priority FROM orders), (SELECT event_type, round(quantile_cont(value, 0.5), 6) AS floor FROM events GROUP BY event_type)""")
 def rs_4_parameter_grid(spark, d):
-    values = lambda name, *xs: F.explode(F.array(*[F.lit(x) for x in xs])).alias(name)
-    one = spark.range(1)
-    return one.select(values("t", 0.01, 0.05, 0.1)).crossJoin(one.select(values("m", 1, 2, 3))).crossJoin(one.select(values("v", "keep", "drop")))
+    """Every segment with every priority and the median of every event type: the levels come from the tables."""
+    levels = lambda name, c, out: table(spark, d, name).select(F.col(c).alias(out)).distinct()
+    floors = win.grouped_quantiles(table(spark, d, "events"), "value", {"floor": 0.5}, ["event_type"]).select(F.round("floor", 6).alias("floor"))
+    return levels("customer", "c_mktsegment", "segment").crossJoin(levels("orders", "o_orderpriority", "priority")).crossJoin(floors)
 
 
 @query("SELECT page_id, piece FROM (SELECT page_id, unnest(string_split(url, '/')) AS piece FROM pages) WHERE piece <> ''")

@@ -131,13 +131,15 @@ def jn_12_sc_13_pulse_exposure(spark, d):
     return df.groupBy("visit", "peak").agg(F.round(F.sum(F.col("mm") * ex.pulse(F.col("lag"), F.col("peak"))), 6).alias("exposure"))
 
 
-@query("""WITH g AS (SELECT peak, x * peak / 1000.0::DOUBLE AS t FROM (VALUES (1.0::DOUBLE), (4.0)) p(peak), range(1000, 20001) r(x)),
-  k AS (SELECT peak, t, t / peak * exp(1 - t / peak) AS v FROM g) SELECT peak, round(min(t) FILTER (WHERE v <= 0.5), 6) AS half, round(min(t) FILTER (WHERE v <= 0.1), 6) AS tenth FROM k GROUP BY peak""")
+@query("""WITH p AS (SELECT user_id % 20 AS cohort, round(1 + avg(value) / 10, 4) AS peak FROM events GROUP BY 1), g AS (SELECT cohort, peak, x * peak / 1000.0::DOUBLE AS t FROM p, range(1000, 20001) r(x)),
+  k AS (SELECT cohort, peak, t, t / peak * exp(1 - t / peak) AS v FROM g) SELECT cohort, peak, round(min(t) FILTER (WHERE v <= 0.5), 6) AS half, round(min(t) FILTER (WHERE v <= 0.1), 6) AS tenth FROM k GROUP BY ALL""")
 def sc_14_decay_times(spark, d):
-    grid = spark.range(1000, 20001).withColumn("peak", F.explode(F.array(F.lit(1.0), F.lit(4.0)))).withColumn("t", F.col("id") * F.col("peak") / 1000.0)
+    """When a pulse that peaks at a cohort's own time has decayed to a half and to a tenth, on a grid of thousandths of the peak."""
+    peaks = table(spark, d, "events").groupBy((F.col("user_id") % 20).alias("cohort")).agg(F.round(1 + F.avg("value") / 10, 4).alias("peak"))
+    grid = peaks.withColumn("x", F.explode(F.sequence(F.lit(1000), F.lit(20000)))).withColumn("t", F.col("x") * F.col("peak") / 1000.0)
     k = grid.withColumn("v", ex.pulse(F.col("t"), F.col("peak")))
     first = lambda y: F.round(F.min(F.when(F.col("v") <= y, F.col("t"))), 6)
-    return k.groupBy("peak").agg(first(0.5).alias("half"), first(0.1).alias("tenth"))
+    return k.groupBy("cohort", "peak").agg(first(0.5).alias("half"), first(0.1).alias("tenth"))
 
 
 @query(f"""WITH {_CELL}, w AS (SELECT campaign, site, max(v) FILTER (WHERE position = 'A') AS a, max(v) FILTER (WHERE position = 'R') AS r FROM cell GROUP BY ALL)

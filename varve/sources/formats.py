@@ -106,6 +106,42 @@ def placemarks(content: bytes) -> Iterator[tuple]:
                     yield name, float(lon), float(lat)
 
 
+def ontology_terms(content: bytes) -> Iterator[tuple]:
+    """(term, label, parent) of the classes of an ontology in RDF or OWL XML: one row for each named parent, or one without."""
+    root = ElementTree.fromstring(content)
+    rdf = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
+    labels, parents = {}, {}
+    for e in root.iter():
+        kind = _local(e.tag)
+        if kind == "Class" and e.get(f"{rdf}about"):
+            term = e.get(f"{rdf}about")
+            parents.setdefault(term, [])
+            for child in e:
+                if _local(child.tag) == "label" and term not in labels:
+                    labels[term] = child.text
+                elif _local(child.tag) == "subClassOf" and child.get(f"{rdf}resource"):
+                    parents[term].append(child.get(f"{rdf}resource"))
+        elif kind == "Declaration":
+            for child in e:
+                if _local(child.tag) == "Class" and child.get("IRI"):
+                    parents.setdefault(child.get("IRI"), [])
+        elif kind == "SubClassOf" and [_local(c.tag) for c in e] == ["Class", "Class"]:
+            term, parent = (c.get("IRI") for c in e)
+            parents.setdefault(term, []).append(parent)
+        elif kind == "AnnotationAssertion":
+            found = {_local(c.tag): c for c in e}
+            named = found.get("AnnotationProperty")
+            if named is not None and "rdfs:label" in (named.get("abbreviatedIRI"), named.get("IRI")) and "IRI" in found and "Literal" in found:
+                labels.setdefault(found["IRI"].text, found["Literal"].text)
+    for term, above in parents.items():
+        for parent in above or [None]:
+            yield term, labels.get(term), parent
+
+
+def read_ontology(spark: SparkSession, path: str) -> DataFrame:
+    return _each_file(spark, path, "term string, label string, parent string", ontology_terms)
+
+
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     return _each_file(spark, path, "sheet int, row int, column int, value string", workbook_cells)
 

@@ -126,9 +126,24 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return df.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def unpinned(files: DataFrame, lock: DataFrame) -> DataFrame:
-    """Locked files that are missing (or empty, which Spark's readers skip) or of another hash; ``lock`` has (path, sha256)."""
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of files without content under a folder, which Spark's readers pass over."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    found = []
+    while files.hasNext():
+        status = files.next()
+        if status.getLen() == 0:
+            found.append((status.getPath().toString(),))
+    return spark.createDataFrame(found, "path string")
+
+
+def unpinned(files: DataFrame, lock: DataFrame, empty: DataFrame | None = None) -> DataFrame:
+    """Locked files that are missing or of another hash, and those that are ``empty`` if these are given (Spark's readers skip them); ``lock`` has (path, sha256)."""
     have = files.select(F.col("path").alias("__p"), "length", F.col("sha256").alias("__h"))
+    if empty is not None:
+        none = F.lit(0).cast("long").alias("length"), F.lit(None).cast("string").alias("__h")
+        have = have.filter("length > 0").unionByName(empty.select(F.col("path").alias("__p"), *none))
     df = lock.join(have, F.col("path") == F.col("__p"), "left")
-    why = F.when(F.col("__p").isNull(), "missing").when(F.col("__h") != F.col("sha256"), "changed")
+    why = F.when(F.col("__p").isNull(), "missing").when(F.col("length") == 0, "empty").when(F.col("__h") != F.col("sha256"), "changed")
     return df.select("path", why.alias("violation")).filter("violation is not null")

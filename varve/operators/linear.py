@@ -19,6 +19,7 @@ from varve.operators.compose import densify
 from varve.operators.resample import hash_draw
 from varve.operators.stats import _matrix, gram, ols
 from varve.operators.windows import global_average_rank, over
+from varve.session import durable
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, covariates: Sequence[str]) -> dict:
@@ -87,7 +88,7 @@ def gee_exchangeable(df: DataFrame, y: str, xs: Sequence[str], cluster: str, rou
     k, rho = len(cols), 0.0
     own = gram(data, [*cols, y], [cluster]).toDF(cluster, "n", *[f"g_{i}_{j}" for i in range(k + 1) for j in range(i, k + 1)])
     sums = data.groupBy(cluster).agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate([*cols, y])])
-    per = own.join(sums, cluster).cache()
+    per = durable(own.join(sums, cluster))
     n_all, g = per.agg(F.sum("n"), F.count(F.lit(1))).first()
     beta = np.zeros(k)
     for _ in range(rounds):
@@ -112,7 +113,6 @@ def gee_exchangeable(df: DataFrame, y: str, xs: Sequence[str], cluster: str, rou
     meat = _matrix(gram(per.select(*[s.alias(f"u{i}") for i, s in enumerate(score)]), [f"u{i}" for i in range(k)]).first(), k)
     bread = np.linalg.inv(m[:k, :k])
     cov = bread @ meat @ bread
-    per.unpersist()
     return {"beta": beta, "se": np.sqrt(np.diag(cov)), "cov": cov, "rho": rho, "clusters": g}
 
 

@@ -95,6 +95,7 @@ def nearest(df: DataFrame, key: str, x: str, y: str, k: int, by: Sequence[str] =
     outside, it looks again in a wider square, until all are certain.
     """
     from varve.operators.windows import over, top_per_group
+    from varve.session import durable
 
     b = df.select(*[F.col(c).alias(f"__{c}") for c in by], F.col(key).alias("j"), F.col(x).alias("xj"), F.col(y).alias("yj"))
     lo_x, hi_x, lo_y, hi_y, n = df.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count(F.lit(1))).first()
@@ -117,10 +118,11 @@ def nearest(df: DataFrame, key: str, x: str, y: str, k: int, by: Sequence[str] =
             return near if found is None else found.unionByName(near)
         whole = over([*by, "i"])
         sure = (F.count(F.lit(1)).over(whole) == k) & (F.max("distance").over(whole) < reach * side - 1e-9)
-        near = near.withColumn("__sure", sure).filter("__sure").select(*by, "i", "j", "distance")
+        # each round is written, so the next does not compute it anew
+        near = durable(near.withColumn("__sure", sure).filter("__sure").select(*by, "i", "j", "distance"))
         found = near if found is None else found.unionByName(near)
         done = near.select(*by, "i").distinct()
-        left = left.join(done, [*by, "i"], "left_anti")
+        left = durable(left.join(done, [*by, "i"], "left_anti"))
         if left.isEmpty():
             return found
         reach *= 4

@@ -65,6 +65,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="varve-shared-")
 
 
+def durable(df):
+    """``df`` written to the checkpoint folder (``shared_folder`` if none is set) and reread: an executor that is lost costs a reread."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables under ``sf_dir``; a path only Spark can open is fine."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

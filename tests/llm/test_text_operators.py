@@ -877,3 +877,29 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError):
             durable.shared_folder(fake(master, None))
+
+
+# --- paths of large corpora ----------------------------------------------------------------
+
+
+def test_shuffled_paths_return_what_broadcast_ones_do(make_docs, monkeypatch):
+    """What a large corpus takes, where the keys of some documents are too many to broadcast: the same rows."""
+    rng = random.Random(41)
+    rows = [(k, prose(rng, 60), f"s{k % 5}") for k in range(40)]
+    rows += [(100 + k, rows[k][1], f"s{k % 3}") for k in range(10)]
+    rows += [(200 + k, f"{prose(rng, 30)} password=own{k}secret99", f"s{k % 2}") for k in range(8)] + [(300, None, None), (300, None, None)]
+    docs = make_docs(rows, clashing=True)
+
+    def results():
+        return [sorted(str(r) for r in f(docs).collect()) for f in (simhash_dedup.deduplicated, secrets.redacted, mixing.mix)]
+
+    few = results()
+    monkeypatch.setattr(simhash_dedup, "FEW", 0)
+    monkeypatch.setattr(secrets, "FEW", 0)
+    monkeypatch.setattr(mixing, "SOURCES", 0)
+    assert results() == few
+
+
+def test_license_scan_of_no_documents(make_docs):
+    none = make_docs([(1, "x")]).limit(0)
+    assert licenses.scan(none).count() == 0

@@ -17,7 +17,8 @@ and rotated by expressions; speakers are a partial aggregate.
 
 Edge cases: a null text is an empty message, a null role the speaker
 ``unknown``; null turns come last, in a piece of their own; ties go by role,
-then text; many messages of one turn, or without one, are many parts; repeated rows are repeated messages; a dialogue of system messages
+then text; many messages of one turn, or without one, are many parts, though those of one
+dialogue without a turn are put in order by one task; repeated rows are repeated messages; a dialogue of system messages
 alone has no perspective; null ``conv_id`` is a dialogue of its own.  Only the
 four named columns are read.
 """

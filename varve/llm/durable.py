@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and checkpoints that nothing refers to any more; else they wait for the driver to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bounded(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
     """A narrow ``df`` of fixed-size rows, made durable, and whether it is known to have at most ``most`` rows; if so it is broadcast."""
     kept = durable(df)

@@ -660,6 +660,62 @@ def test_passage_of_three_frequent_lines_is_found(make_docs):
         assert {i for r in got if r.doc_id == k for i in range(r.first_word, r.end_word)} >= set(range(20, 110))
 
 
+def test_edited_copy_made_of_frequent_lines_is_found(make_docs):
+    """Any two lines that follow one another have holders on either side in order of ids, so no representative has all three, and edits leave no run of 50 words."""
+    rng = random.Random(29)
+    lines = [prose(rng, 20) for _ in range(3)]
+    two = [" ".join(lines[:2]), " ".join(lines[1:])]
+    rows = [(k if k < 60 else 2000 + k, f"{prose(rng, 40)} {two[k % 2]} {prose(rng, 40)}") for k in range(120)]
+    whole = " ".join(lines).split()
+    copies = [whole, edited(rng, whole, 20, ["replace"]), edited(rng, whole, 20, ["add", "drop"])]
+    rows += [(1000 + k, f"{prose(rng, 30)} {' '.join(c)} {prose(rng, 30)}") for k, c in enumerate(copies)]
+    got = substring.repeated_passages(make_docs(rows, clashing=True)).collect()
+    assert {r.doc_id for r in got} == {1000, 1001, 1002}
+    for k in range(3):
+        spans = {i for r in got if r.doc_id == 1000 + k for i in range(r.first_word, r.end_word)}
+        assert len(spans & set(range(30, 30 + len(copies[k])))) >= 0.9 * len(copies[k])
+
+
+def test_all_places_of_a_seed_are_joined_where_alike():
+    """Against all pairs by ``reaches``, by sets and by matrix product, in one tile and over two blocks."""
+    rng = np.random.default_rng(31)
+    seed = rng.integers(0, 60000, substring.K)
+    for families, each, vocabulary in ((4, 3, 60000), (30, 4, 60000), (60, 2, 40)):
+        docs, pos, near = [], [], []
+        for f in range(families):
+            body = [rng.integers(0, vocabulary, substring.EXTENSION) for _ in range(2)]
+            for k in range(each):
+                sides = [np.where(rng.random(substring.EXTENSION) < 0.03 * k, rng.integers(0, 60000, substring.EXTENSION), b) for b in body]
+                at = int(rng.integers(20, 90))
+                before = sides[0][-min(at, substring.EXTENSION) :]
+                near.append(np.concatenate([before, seed, sides[1]]).astype(np.uint16).tobytes())
+                docs.append(int(rng.integers(0, families * each // 2)))
+                pos.append(at)
+        for blocks in ([0] * len(docs), [k % 2 for k in range(len(docs))]):
+            got = list(substring.joined(docs, pos, near, blocks))
+            root = {(d, p): (d, p) for d, p in zip(docs, pos)}
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for x, y in got:
+                assert x[0] != y[0]
+                root[find(x)] = find(y)
+            n, apart = len(docs), 0
+            for i in range(n):
+                for j in range(i):
+                    cut = [min(pos[k], substring.EXTENSION) for k in (i, j)]
+                    whole = [np.frombuffer(near[k], np.uint16).tolist() for k in (i, j)]
+                    sides = [(w[:c][::-1], w[c + substring.K :]) for w, c in zip(whole, cut)]
+                    if docs[i] != docs[j] and (not any(blocks) or blocks[i] != blocks[j]) and substring.reaches(*sides):
+                        assert find((docs[i], pos[i])) == find((docs[j], pos[j]))
+                    else:
+                        apart += find((docs[i], pos[i])) != find((docs[j], pos[j]))
+            assert got and apart
+
+
 def edited(rng, body, every, kinds):
     """``body`` with one word of ``every`` replaced, left out or followed by another."""
     copy = []

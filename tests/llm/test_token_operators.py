@@ -131,6 +131,17 @@ def test_encoders_return_the_ids_of_the_tokenizers(spark):
         assert tokens.byte_encoder(BYTE).encode(t) == byte.encode(t, add_special_tokens=False).ids, t
 
 
+def test_tasks_of_a_process_encode_a_word_once(monkeypatch):
+    asked, encode = [], tokens.WordEncoder.encode
+    monkeypatch.setattr(tokens.WordEncoder, "encode", lambda self, found: asked.extend(found) or encode(self, found))
+    tokens.word_table(WORD).clear()
+    for text in (b"one two three", b"three two four one"):
+        buf = np.frombuffer(text, np.uint8)
+        ids, _ = tokens.word_table(WORD).encode(buf, np.array([0, len(text)]))
+        assert ids.tolist() == Tokenizer.from_file(WORD).encode(text.decode(), add_special_tokens=False).ids
+    assert asked == [b"one", b"two", b"three", b"four"]
+
+
 def test_every_vocabulary_entry_encodes_to_itself():
     """What makes merging by rank the same as merging by the merge list."""
     word, byte = tokens.word_encoder(WORD), tokens.byte_encoder(BYTE)

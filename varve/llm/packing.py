@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from varve.llm.durable import durable
 from varve.llm.kernels import mix, packed_numbers, spans, text_slices, unpacked_numbers
-from varve.llm.tokens import WordTable, word_encoder
+from varve.llm.tokens import word_encoder, word_table
 
 WINDOW = 4096
 END = 2
@@ -63,8 +63,8 @@ def encoded(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, wi
     schema = [(c, pa.int64()) for c in ("doc_id", "doc_tokens", "start", "length", "ids_crc32", "sequence")] + [("ids", pa.binary())]
 
     def run(batches):
-        encoder = word_encoder(path)
-        table, vocabulary = WordTable(encoder), encoder.tokenizer.get_vocab_size()
+        table, vocabulary = word_table(path), word_encoder(path).tokenizer.get_vocab_size()
+        last = np.zeros(vocabulary, np.int64)
         held, sequence = np.zeros(vocabulary, np.int64), TaskContext.get().partitionId() << 32
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
@@ -80,7 +80,10 @@ def encoded(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, wi
                         sequence += 1
                     if n > whole:
                         rows.append((doc_ids[lo + k], n, whole, n - whole, None, None, packed_numbers(own[whole:])))
-                        held[np.unique(own[whole:])] += 1
+                        rest = own[whole:]
+                        at = np.arange(len(rest))
+                        last[rest] = at
+                        held[rest[last[rest] == at]] += 1  # each id where it stands last
                 yield _rows([list(c) for c in zip(*rows)], schema)
         if held.any():
             yield _rows([[None], [None], [None], [None], [None], [None], [packed_numbers(held)]], schema)

@@ -121,7 +121,7 @@ class WordEncoder:
 
 
 class WordTable:
-    """Ids of the words met in a task; each word is encoded once until there are WORDS of them."""
+    """Ids of the words met in a process; each word is encoded once until there are WORDS of them."""
 
     def __init__(self, encoder: WordEncoder):
         self.encoder = encoder
@@ -146,10 +146,12 @@ class WordTable:
             self.known = pa.concat_arrays([self.known, fresh])
             self.bounds = np.concatenate([self.bounds, len(self.ids) + bounds[1:]])
             self.ids = np.concatenate([self.ids, ids])
-        word = place[which]
-        sizes = self.bounds[word + 1] - self.bounds[word]
+        begin, size = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
+        sizes = size[which]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        return self.ids[spans(self.bounds[word], sizes)], total[first]
+        if (size == 1).all():
+            return self.ids[begin[which]], total[first]
+        return self.ids[spans(begin[which], sizes)], total[first]
 
 
 class ByteEncoder:
@@ -193,6 +195,12 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+@functools.lru_cache
+def word_table(path: str) -> WordTable:
+    """The table that the tasks of a process share, one after another."""
+    return WordTable(word_encoder(path))
+
+
 @functools.lru_cache
 def byte_encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)

@@ -716,6 +716,47 @@ def test_all_places_of_a_seed_are_joined_where_alike():
             assert got and apart
 
 
+def test_reach_by_columns_is_that_of_each_pair():
+    rng = np.random.default_rng(37)
+    size = 2 * substring.EXTENSION + substring.K
+    x, y, sides = np.full((900, size), -1, np.int32), np.full((900, size), -2, np.int32), []
+    for k in range(900):
+        vocabulary, rate = (40, 60000)[k % 2], (0.03, 0.1, 0.16, 0.22)[k % 4]
+        pair = [[], []]
+        for _ in range(2):
+            body = rng.integers(0, vocabulary, substring.EXTENSION).tolist()
+            copy = [v for w in body for v in ([w], [w, 7], [], [9])[rng.integers(1, 4) if rng.random() < rate else 0]]
+            for text, part in zip(pair, (body, copy)):
+                text.append(part[: int(rng.choice([20, 50, 50]))][: substring.EXTENSION])
+        for rows, (before, after) in zip((x, y), pair):
+            rows[k, substring.EXTENSION - len(before) : substring.EXTENSION] = before[::-1]
+            rows[k, substring.EXTENSION : substring.EXTENSION + substring.K] = 1
+            rows[k, substring.EXTENSION + substring.K :][: len(after)] = after
+        sides.append(pair)
+    got = substring._reach_each(x, y)
+    assert got.tolist() == [substring.reaches(tuple(a), tuple(b)) for a, b in sides]
+    assert 100 < got.sum() < 850
+
+
+def test_two_documents_are_linked_once_and_returned_both_ways(make_docs, monkeypatch):
+    """Also where the places of a seed take several tiles."""
+    rng = random.Random(41)
+    common = prose(rng, 60)
+    rows = [(k, f"{prose(rng, 30)} {common} {prose(rng, 30)}") for k in range(2)]
+    phrase = prose(rng, 20)
+    rows += [(10 + k, f"{prose(rng, 60)} {phrase} {prose(rng, 60)}") for k in range(40)]
+    whole = f"{prose(rng, 20)} {phrase} {prose(rng, 20)}".split()
+    rows += [(100 + k, f"{prose(rng, 60)} {' '.join(edited(rng, whole, 20, ['replace']))} {prose(rng, 60)}") for k in range(2)]
+    links, chained, bits = [], substring.chained, substring.seed_bits
+    monkeypatch.setattr(substring, "chained", lambda df: links.append(df) or chained(df))
+    monkeypatch.setattr(substring, "seed_bits", lambda df: [*bits(df)[:3], substring.Shipped(np.full(1 << substring.BITS - 6, 3, np.int32))] if tiled else bits(df))
+    for tiled in (False, True):
+        got = {(r.doc_id, r.partner_id) for r in substring.repeated_passages(make_docs(rows)).collect()}
+        assert got == {(0, 1), (1, 0), (100, 101), (101, 100)}
+        met = links.pop().select("doc", "partner").collect()
+        assert met and all(r.doc < r.partner for r in met)
+
+
 def edited(rng, body, every, kinds):
     """``body`` with one word of ``every`` replaced, left out or followed by another."""
     copy = []

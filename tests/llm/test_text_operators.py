@@ -1000,3 +1000,35 @@ def test_shuffled_paths_return_what_broadcast_ones_do(make_docs, monkeypatch):
 def test_license_scan_of_no_documents(make_docs):
     none = make_docs([(1, "x")]).limit(0)
     assert licenses.scan(none).count() == 0
+
+
+def test_places_of_one_class_are_compared_where_one_covers_more_of_another():
+    """Against all pairs: two documents are alike on either side of a seed, the first only before it; what each place has in common with any other lies in a link of its own."""
+    rng = np.random.default_rng(43)
+    seed = rng.integers(0, 60000, substring.K)
+    body = [rng.integers(0, 60000, substring.EXTENSION) for _ in range(4)]
+    docs, near = [], []
+    for k, (after, shared) in enumerate([(0, 0), (1, 30), (1, 30), (2, 30), (2, 42), (2, 42), (3, 0), (3, 12)]):
+        own = rng.integers(0, 60000, substring.EXTENSION)
+        own[:shared] = body[after][:shared]
+        before = np.where(rng.random(substring.EXTENSION) < 0.04 * (k > 5), rng.integers(0, 60000, substring.EXTENSION), body[0])
+        docs.append(k)
+        near.append(np.concatenate([before, seed, own]).astype(np.uint16).tobytes())
+    pos = [substring.EXTENSION] * len(docs)
+    words = [np.frombuffer(x, np.uint16).tolist() for x in near]
+
+    def ends(a, b):
+        chain = [(substring.EXTENSION, substring.EXTENSION, substring.K)]
+        sides = [(np.array(words[k], np.uint32), np.full(len(words[k]), 0xFFFF, np.uint32)) for k in (a, b)]
+        return [(p[0], p[1]) for p in substring.passages(*sides, chain)]
+
+    whole, got = {}, {}
+    for a in docs:
+        whole[a] = {i for b in docs if b != a for lo, hi in ends(a, b) for i in range(lo, hi)}
+    links = list(substring.joined(docs, pos, near, [0] * len(docs)))
+    for (a, _), (b, _) in links:
+        for x, y in ((a, b), (b, a)):
+            got.setdefault(x, set()).update(i for lo, hi in ends(x, y) for i in range(lo, hi))
+    assert got == whole
+    assert {frozenset((a, b)) for (a, _), (b, _) in links} >= {frozenset((1, 2)), frozenset((4, 5))}
+    assert len(links) < len(docs) * (len(docs) - 1) // 2

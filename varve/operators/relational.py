@@ -135,27 +135,37 @@ def similar_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, thre
     radius.  The right rows are dealt to the nearest of a few of them (``pivots``, those
     with the least hashes).  A left row visits a pivot's cell only where that cell can
     hold a row within the radius: its distance to the pivot exceeds neither the cell's
-    reach plus the radius nor its distance to its own nearest pivot by two radii.  Pairs
-    in a cell are compared only where their distances to the pivot differ by the radius at
-    most.  No pair is lost; what is compared is ``similar_candidates``.
+    reach plus the radius nor its distance to its own nearest pivot by two radii.  No pair
+    is lost.  Blocks of a cell's rows are compared by matrix products.  From a radius of
+    one on the second rule leaves no cell out, so there all rows are one cell.
     """
-    near = similar_candidates(left, right, key, vector, threshold, by, pivots)
-    dot = F.aggregate(F.zip_with("__x", "__y", lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-    return near.withColumn("similarity", dot).filter(F.col("similarity") >= threshold - 1e-12).select(*by, "i", "j", "similarity")
+    from varve.operators.vectors import alike
+
+    if 2 - 2 * threshold >= 1:
+        return alike(left, right, key, vector, threshold, by)
+    a, b, _ = _cells(left, right, key, vector, threshold, by, pivots)
+    a = a.select(*[F.col(f"__l_{c}").alias(c) for c in by], F.col("__c").alias("__cell"), F.col("i").alias("__key"), F.col("__x").alias("__v"))
+    b = b.select(*by, "__cell", F.col("j").alias("__key"), F.col("__y").alias("__v"))
+    return alike(a, b, "__key", "__v", threshold, [*by, "__cell"]).drop("__cell")
 
 
 def similar_candidates(left: DataFrame, right: DataFrame, key: str, vector: str, threshold: float, by: Sequence[str] = (), pivots: int = 32) -> DataFrame:
-    """The pairs that ``similar_pairs`` compares, with both unit vectors."""
+    """The pairs of a cell whose distances to its pivot differ by the radius at most, with both unit vectors: no other can be a pair."""
+    a, b, radius = _cells(left, right, key, vector, threshold, by, pivots)
+    on = reduce(lambda p, q: p & q, [F.col(c) == F.col(f"__l_{c}") for c in by], F.col("__c") == F.col("__cell"))
+    return a.join(b, on & (F.abs(F.col("__from") - F.col("__to")) <= radius)).select(*by, "i", "j", "__x", "__y")
+
+
+def _cells(left: DataFrame, right: DataFrame, key: str, vector: str, threshold: float, by: Sequence[str], pivots: int) -> tuple[DataFrame, DataFrame, float]:
+    """Left rows with the cells they visit, right rows with their own, both with the distance to its pivot, and the radius."""
 
     def unit(df: DataFrame, k: str, v: str) -> DataFrame:
         d = df.select(*by, F.col(key).alias(k), F.transform(F.col(vector), lambda x: x.cast("double")).alias(v))
         size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        return d.withColumn("__n", size).filter("__n > 0").withColumn(v, F.transform(v, lambda x: x / F.col("__n"))).drop("__n")
+        return d.withColumn("__n", size).filter("__n > 0").withColumn(v, F.transform(v, lambda x: x / F.nullif(F.col("__n"), F.lit(0.0)))).drop("__n")
 
     a, b = unit(left, "i", "__x"), unit(right, "j", "__y")
-    chosen = [r[0] for r in b.orderBy(F.xxhash64("j"), "j").limit(pivots).select("__y").collect()]
-    if not chosen:
-        return a.join(b, [*by], "inner").limit(0) if by else a.crossJoin(b).limit(0)
+    chosen = [r[0] for r in b.orderBy(F.xxhash64("j"), "j").limit(pivots).select("__y").collect()] or [[1.0]]
     centres = F.array(*[F.array(*[F.lit(x) for x in p]) for p in chosen])
     radius = (2 - 2 * threshold) ** 0.5 + 1e-9
     apart = lambda v: F.transform(centres, lambda p: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with(v, p, lambda x, y: x * y), F.lit(0.0), lambda s, t: s + t))))
@@ -169,8 +179,7 @@ def similar_candidates(left: DataFrame, right: DataFrame, key: str, vector: str,
         lambda s: (s["d"] <= F.get(most, s["c"]) + radius) & (s["d"] - F.col("__low") <= 2 * radius),
     )
     a = a.withColumn("__s", F.explode(cells)).select(*[F.col(c).alias(f"__l_{c}") for c in by], "i", "__x", F.col("__s.c").alias("__c"), F.col("__s.d").alias("__from"))
-    on = reduce(lambda p, q: p & q, [F.col(c) == F.col(f"__l_{c}") for c in by], F.col("__c") == F.col("__cell"))
-    return a.join(b, on & (F.abs(F.col("__from") - F.col("__to")) <= radius)).select(*by, "i", "j", "__x", "__y")
+    return a, b, radius
 
 
 def symmetric_edges(edges: DataFrame) -> DataFrame:

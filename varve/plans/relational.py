@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varve.operators import relational as rel
+from varve.operators import vectors
 from varve.operators import windows as win
 from varve.operators.compose import shannon
 from varve.plans.base import SQL_COUNTS, SQL_DAILY, SQL_LINES, counts, daily, lines, visits
@@ -304,13 +305,9 @@ def jn_17_matrix_product(spark, d):
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)
   SELECT DISTINCT id FROM (SELECT j AS id FROM p WHERE c >= 0.6 UNION ALL SELECT vec_id FROM embeddings WHERE vec_id % 50 = 7)""")
 def jn_19_similar_duplicates(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-    e = e.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
-    a = e.filter("vec_id % 2 = 0").select(F.col("label").alias("l"), F.col("v").alias("w"), F.col("n").alias("m"))
-    near = e.filter("vec_id % 2 = 1").join(a, F.col("label") == F.col("l")).filter(dot(F.col("v"), F.col("w")) >= 0.6 * F.col("n") * F.col("m"))
-    flagged = e.filter("vec_id % 50 = 7").select(F.col("vec_id").alias("id"))
-    return near.select(F.col("vec_id").alias("id")).union(flagged).distinct()
+    e = table(spark, d, "embeddings")
+    near = vectors.with_alike(e.filter("vec_id % 2 = 1"), e.filter("vec_id % 2 = 0"), "vec_id", "embedding", 0.6, ["label"])
+    return near.union(e.filter("vec_id % 50 = 7").select(F.col("vec_id").alias("id"))).distinct()
 
 
 # --- aggregates ----------------------------------------------------------------

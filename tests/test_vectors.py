@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from test_odd_tables import against_sql  # noqa: F401
+from test_odd_tables import against_sql, line_tables  # noqa: F401
 
 from varve.operators import relational, vectors
 
@@ -66,3 +66,30 @@ def test_odd_vectors_as_in_sql(against_sql, query):  # noqa: F811
     ids = [*range(n - 1), None]
     t = pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(v, pa.list_(pa.float32())), "label": pa.array(labels, pa.int32())})
     assert against_sql(query, embeddings=t)
+
+
+@pytest.mark.parametrize("side,members", [(5, 3), (4096, 1024)])
+def test_keys_that_share_a_member(spark, side, members):
+    rng = np.random.default_rng(7)
+    a = {k: {f"m{x}" for x in rng.integers(0, 30, rng.integers(1, 4))} for k in range(40)}
+    b = {k: {f"m{x}" for x in rng.integers(0, 30, rng.integers(1, 4))} for k in range(1000, 1060)}
+    a[40], b[2000] = a[3], b[1000]
+    frames = [spark.createDataFrame([(k, m) for k, s in t.items() for m in s] + [(next(iter(t)), None)], "key long, m string") for t in (a, b)]
+    got = vectors.meeting(*frames, "key", "m", side, members).collect()
+    assert {r.key: r.n for r in got} == {k: sum(bool(s & t) for t in b.values()) for k, s in a.items()} and len(got) == len(a)
+
+
+def test_spillover_is_counted_by_classes_of_sets(against_sql, spark, monkeypatch):  # noqa: F811
+    """Sixty profiles of three sets of features: three classes meet, not profiles."""
+    rows = []
+    for s in range(0, 120, 2):
+        brands = [("a", "b"), ("b", "c"), ("d",)][s % 3]
+        for x in brands:
+            rows += [(1995, s + s % 3, p, x, kind, reads) for p, kind, reads in (("N" if s % 5 else "A", "STANDARD", 46 if s % 4 else 3), ("R" if s % 7 else "A", "ECONOMY", 50))]
+    rows += [(1995, 500, "N", "alone", "STANDARD", 50), (1995, 501, "N", "a", "STANDARD", 50), (1995, 502, "R", "a", "ECONOMY", 5), (1995, 503, None, "a", "STANDARD", 50)]
+    met = []
+    inner = vectors.met
+    monkeypatch.setattr(vectors, "met", lambda a, b, *rest: met.append((a.count(), b.count())) or inner(a, b, *rest))
+    got = against_sql("ss_24_spillover_trace", **line_tables(rows))
+    assert len(got) > 20 and 500 not in {r[0] for r in got}
+    assert len(met) == 3 and all(x <= 5 and y <= 7 for x, y in met)

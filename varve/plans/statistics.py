@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from varve.operators import relational as rel
 from varve.operators import resample as rs
 from varve.operators import stats as st
+from varve.operators import vectors
 from varve.operators import windows as win
 from varve.plans.base import SQL_COUNTS, SQL_LINES, SQL_SITES, counts, lines, sites
 from varve.plans.diversity import _DENSE, _SITE, _site, dense
 from varve.plans.relational import _KNN, points
-from varve.session import table
+from varve.session import durable, table
 
 QUERIES: dict = {}
 
@@ -224,12 +225,19 @@ def ss_23_contaminant_grid(spark, d):
 @query(f"""WITH {SQL_LINES}, src AS (SELECT DISTINCT feature, profile FROM lines WHERE kind LIKE 'S%' AND reads >= 45) SELECT src.profile AS source, count(DISTINCT l.profile) FILTER (WHERE l.position = 'N') AS negatives,
   count(DISTINCT l.profile) FILTER (WHERE l.position = 'R') AS biological, count(DISTINCT l.profile) FILTER (WHERE abs(l.profile - src.profile) <= 2) AS neighbours FROM src JOIN lines l ON l.feature = src.feature AND l.profile <> src.profile GROUP BY src.profile""")
 def ss_24_spillover_trace(spark, d):
-    li = lines(spark, d)
-    src = li.filter("kind like 'S%' and reads >= 45").select(F.col("feature").alias("f"), F.col("profile").alias("source")).distinct()
-    seen = li.groupBy("feature", "profile").agg(F.bool_or(F.col("position") == "N").alias("neg"), F.bool_or(F.col("position") == "R").alias("bio"))
-    df = seen.join(src, (F.col("feature") == F.col("f")) & (F.col("profile") != F.col("source")))
-    hit = lambda c: F.countDistinct(F.when(c, F.col("profile")))
-    return df.groupBy("source").agg(hit(F.col("neg")).alias("negatives"), hit(F.col("bio")).alias("biological"), hit(F.abs(F.col("profile") - F.col("source")) <= 2).alias("neighbours"))
+    """Profiles that share a feature with each source of high counts; they are counted by classes of equal feature sets, never paired one by one."""
+    found = F.col("kind").like("S%") & (F.col("reads") >= 45)
+    seen = lines(spark, d).groupBy("feature", "profile").agg(F.bool_or(F.col("position") == "N").alias("neg"), F.bool_or(F.col("position") == "R").alias("bio"), F.bool_or(found).alias("src"))
+    seen = durable(seen.filter("feature IS NOT NULL AND profile IS NOT NULL"))
+    src = seen.filter("src")
+    others = lambda c, name: vectors.meeting(src, seen.filter(c), "profile", "feature").select(F.col("profile").alias(f"of_{name}"), F.col("n").alias(name))
+    own = src.groupBy(F.col("profile").alias("source")).agg(F.bool_or(F.coalesce("neg", F.lit(False))).alias("own_neg"), F.bool_or(F.coalesce("bio", F.lit(False))).alias("own_bio"))
+    near = src.select(F.col("feature").alias("f"), F.col("profile").alias("of_near"), F.explode(F.array(*[F.col("profile") + k for k in (-2, -1, 1, 2)])).alias("p"))
+    near = near.join(seen, (F.col("f") == F.col("feature")) & (F.col("p") == F.col("profile"))).groupBy("of_near").agg(F.countDistinct("p").alias("neighbours"))
+    for name, t in (("met", others("true", "met")), ("neg", others("neg", "neg")), ("bio", others("bio", "bio")), ("near", near)):
+        own = own.join(t, F.col("source") == F.col(f"of_{name}"), "left")
+    less = lambda n, mine: F.col(n) - F.col(mine).cast("long")
+    return own.filter("met > 1").select("source", less("neg", "own_neg").alias("negatives"), less("bio", "own_bio").alias("biological"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
 
 
 @query(f"""WITH {_DENSE}, l AS (SELECT *, ln(count + 0.5::DOUBLE) AS l FROM dense), c AS (SELECT site, position, feature, l - avg(l) OVER (PARTITION BY site, position) AS clr FROM l),
